@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, gif, mixing, url_rules
+from . import common, gif, mixing, phrase_index, url_rules
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark")
+    return phrase_index.digest(phrase_index.contamination(docs, items))
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +29,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op7_url_rules, op9_gif_media, op10_mixing)
+    for f in (op4_decontamination, op7_url_rules, op9_gif_media, op10_mixing)
 }
 ORACLE_SQL: dict[str, str] = {}
