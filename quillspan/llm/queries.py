@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, gif, mixing, phrase_index, url_rules
+from . import common, gif, mixing, phrase_index, pii, url_rules
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(common.load(spark, sf_dir, "documents")))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +33,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_decontamination, op7_url_rules, op9_gif_media, op10_mixing)
+    for f in (op3_pii, op4_decontamination, op7_url_rules, op9_gif_media, op10_mixing)
 }
 ORACLE_SQL: dict[str, str] = {}
