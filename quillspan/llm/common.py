@@ -127,8 +127,13 @@ class Words:
         self.end = np.flatnonzero(change == -1)
         self.first = np.searchsorted(self.start, begins)
         h = prefix_hash(data)
+        self._h = h
         self.hash = mix64(span_hash(h, self.start, self.end))
 
+    def prefix(self, n: int) -> np.ndarray:
+        """Hash of the first n bytes of each word, apart from the hashes of whole words."""
+        return mix64(span_hash(self._h, self.start, np.minimum(self.end, self.start + n)) + np.uint64(n))
+
     def words(self) -> list[str]:
         b = self.data.tobytes()
         return [b[s:e].decode("utf-8", "replace") for s, e in zip(self.start.tolist(), self.end.tolist(), strict=True)]

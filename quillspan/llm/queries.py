@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, gif, mixing, phrase_index, pii, url_rules
+from . import common, gif, mixing, phrase_index, pii, toxicity, url_rules
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.load(spark, sf_dir, "documents")
+    return toxicity.score(docs, *toxicity.train(docs, common.load(spark, sf_dir, "labels")))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +38,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_pii, op4_decontamination, op7_url_rules, op9_gif_media, op10_mixing)
+    for f in (op1_toxicity, op3_pii, op4_decontamination, op7_url_rules, op9_gif_media, op10_mixing)
 }
 ORACLE_SQL: dict[str, str] = {}
