@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, gif, mixing, phrase_index, pii, toxicity, url_rules
+from . import common, gif, mixing, phrase_index, pii, resampling, toxicity, url_rules, wrappers
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, *toxicity.train(docs, common.load(spark, sf_dir, "labels")))
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.select(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(common.load(spark, sf_dir, "documents")))
 
@@ -23,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.digest(phrase_index.contamination(docs, items))
 
 
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(common.load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = common.load(spark, sf_dir, "pages"), common.load(spark, sf_dir, "labels")
     return url_rules.judge(pages, url_rules.mine(url_rules.labelled_pages(pages, labels)))
@@ -38,6 +46,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op3_pii, op4_decontamination, op7_url_rules, op9_gif_media, op10_mixing)
+    for f in (op1_toxicity, op2_importance_resampling, op3_pii, op4_decontamination, op5_html_wrappers, op7_url_rules, op9_gif_media, op10_mixing)
 }
 ORACLE_SQL: dict[str, str] = {}
