@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, gif, mixing, phrase_index, pii, resampling, toxicity, url_rules, wrappers
+from . import common, gif, jaccard_join, mixing, phrase_index, pii, resampling, suffix_dedup, toxicity, url_rules, wrappers
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,19 @@ def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(common.load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(common.load(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = common.load(spark, sf_dir, "pages"), common.load(spark, sf_dir, "labels")
     return url_rules.judge(pages, url_rules.mine(url_rules.labelled_pages(pages, labels)))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(common.load(spark, sf_dir, "documents"))
+
+
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digest(common.load(spark, sf_dir, "documents"))
 
@@ -46,6 +54,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_importance_resampling, op3_pii, op4_decontamination, op5_html_wrappers, op7_url_rules, op9_gif_media, op10_mixing)
+    for f in (op1_toxicity, op2_importance_resampling, op3_pii, op4_decontamination, op5_html_wrappers, op6_jaccard_join, op7_url_rules, op8_suffix_dedup, op9_gif_media, op10_mixing)
 }
 ORACLE_SQL: dict[str, str] = {}
