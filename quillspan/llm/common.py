@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -55,14 +55,14 @@ def drop_stored(df: DataFrame) -> None:
     owner, path = df.stored_at
     if path in _written.get(owner, []):
         _written[owner].remove(path)
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession, owner: str | None = None) -> None:
     """Delete the stored tables of one owner, or of all; call it when their results have been written."""
     for name in [owner] if owner else list(_written):
         for path in _written.pop(name, []):
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

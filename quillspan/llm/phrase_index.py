@@ -229,3 +229,9 @@ def contamination(docs: DataFrame, items: DataFrame, segment_words: int = 1 << 1
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, owner: str = "decontamination", **how) -> DataFrame:
+    """The documents that are not contaminated, with all their columns; rows are matched by doc_id, null included."""
+    bad = contamination(docs, items, owner=owner, **how).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(bad, docs["`doc_id`"].eqNullSafe(bad["__id"]), "left_anti")
