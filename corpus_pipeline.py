@@ -1,10 +1,58 @@
-"""Corpus pipeline: the corpus operators in sequence over the documents table."""
+"""Corpus pipeline: five of the corpus operators in sequence over the documents table.
+
+Every stage gets what its predecessor kept, written as Parquet and read again, and its decisions take effect: rejected,
+near-duplicate and contaminated documents go, personal data is replaced, and the last stage says how many words of each
+remaining document the mix takes. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.llm import common, jaccard_join, mixing, phrase_index, pii, resampling
+
+#: Weighing, sampling and redaction have no SQL form; tests compare the stages with brute force instead.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
+    return resampling.keep(docs, common.load(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
+    return jaccard_join.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
+    return phrase_index.drop_contaminated(docs, common.load(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
+    return mixing.mix(docs)
+
+
+STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("personal data", personal_data), ("mixing", mix)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.load(spark, sf_dir, "documents")
+    base = f"{common.shared_dir(spark)}/quillspan-pipeline/{uuid.uuid4().hex[:12]}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            common.delete(spark, f"{base}/{k - 1}")
+    common.release(spark)
+    return docs
