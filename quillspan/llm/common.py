@@ -18,7 +18,13 @@ _own_dir: str | None = None
 _written: dict[str, list[str]] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Batches between Spark and Python by bytes, not rows: texts may be long, and a worker holds a batch several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -42,6 +48,7 @@ def delete(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, tag: str, owner: str) -> DataFrame:
     """Write df to the shared folder and read it back: the result has no lineage, so a lost executor costs no recomputation."""
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     _written.setdefault(owner, []).append(path)
@@ -60,6 +67,7 @@ def drop_stored(df: DataFrame) -> None:
 
 def release(spark: SparkSession, owner: str | None = None) -> None:
     """Delete the stored tables of one owner, or of all; call it when their results have been written."""
+    prepare(spark)
     for name in [owner] if owner else list(_written):
         for path in _written.pop(name, []):
             delete(spark, path)
@@ -139,7 +147,7 @@ class Words:
         return [b[s:e].decode("utf-8", "replace") for s, e in zip(self.start.tolist(), self.end.tolist(), strict=True)]
 
 
-def batches(frames, column: str = "text", most: int = 8 << 20):
+def batches(frames, column: str = "text", most: int = 1 << 20):
     """Split pandas batches so that each holds about `most` characters at most, or one row."""
     for pdf in frames:
         if not len(pdf):

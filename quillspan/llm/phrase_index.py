@@ -137,7 +137,7 @@ class Items:
 def blocks_of(items: DataFrame, block_words: int) -> Iterator[Items]:
     """The distinct items, block by block."""
     rows, held = [], 0
-    for r in common.table_of(items, "item_id", "text").distinct().toLocalIterator():
+    for r in common.table_of(items, "item_id", "text").distinct().coalesce(8).toLocalIterator():
         text = r.text or ""
         rows.append((None if r.item_id is None else str(r.item_id), text))
         held += len(text) // 4 + 1
