@@ -5,13 +5,13 @@ same one). Every such string is a suffix's first `length` bytes. Suffixes are fi
 by the one at their start but by the smallest-hashed q-gram of the string, so that neighbouring suffixes share one bucket
 entry, a run. Equal strings have equal q-grams at the same offset, hence lie in the same bucket. Fixed-size bit tables,
 filled from all documents, drop buckets with a single entry. Within a bucket the runs are refined by the bucket
-identifiers (hashes) of what follows from each later offset: first the identifier of the whole run, so that identical
-runs are settled at once and already where they are read; then, for crowded buckets, the identifiers of parts of the run;
-at last those of single strings, in order of place, where the first of each bucket is the one that stays.
+identifiers (hashes) of what follows from each later offset: crowded buckets are first split by the identifiers of parts
+of the run; then the identifier of the whole run settles identical runs, where they are read if it can; only buckets left
+with several kinds of runs are refined down to single strings, in order of place, where the first of each stays.
 
 Defined results: null text counts as empty; texts shorter than `length` are kept whole; rows with equal doc_id stand in
 order of reading, rows without one come first; an empty table gives an empty result; extra columns are ignored. The
-documents must come from files or a stored table: they are read three times and must come in the same order.
+documents must come from files or a stored table: they are read four times and must come in the same order.
 """
 
 from __future__ import annotations
@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bits import bit_tables, slot_of, test_bits
 
 Q, LENGTH = 40, 100
-SLOT_BITS = 27
-PART_BITS = 16
 #: Entries from which a bucket counts as crowded, and the number of strings in a part of a run there.
-CROWDED, STEP = 512, 8
-BATCH = 1 << 20
+CROWDED, STEP = 1 << 14, 8
+BATCH = 1 << 19
 
 
 class Runs:
@@ -46,128 +45,161 @@ class Runs:
         self.gram = np.zeros(0, np.uint64)
         if n < length:
             return
-        v = common.mix64((self.h[q:] - self.h[: n - q + 1]) * common.powers(n + 1, "down")[: n - q + 1])
+        v = (self.h[q:] - self.h[: n - q + 1]) * common.powers(n + 1, "down")[: n - q + 1]
+        v *= np.uint64(0x9E3779B97F4A7C15)
         blocks = -(-len(v) // w) + 1
-        padded = np.full(blocks * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-        padded[: len(v)] = v
-        keys = (padded.reshape(blocks, w) & np.uint64(0xFFFFFFFFFFFFFFC0)) | np.arange(w, dtype=np.uint64)
-        ahead = np.minimum.accumulate(keys, axis=1).reshape(-1)
-        behind = np.minimum.accumulate(keys[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        i = np.arange(n - length + 1)
-        off = i % w
-        left = behind[i]
-        right = np.where(off > 0, ahead[np.minimum(i + w - 1, len(ahead) - 1)], np.uint64(0xFFFFFFFFFFFFFFFF))
-        take = (left >> np.uint64(6)) <= (right >> np.uint64(6))
+        keys = np.full(blocks * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+        keys[: len(v)] = v
+        keys = keys.reshape(blocks, w)
+        keys &= np.uint64(0xFFFFFFFFFFFFFFC0)
+        keys |= np.arange(w, dtype=np.uint64)
+        count = n - length + 1
+        right = np.minimum.accumulate(keys, axis=1).reshape(-1)[w - 1 : w - 1 + count]
+        left = np.minimum.accumulate(keys[:, ::-1], axis=1)[:, ::-1].reshape(-1)[:count]
         six = np.uint64(63)
-        owner = np.where(take, i - off + (left & six).astype(np.int64), i - off + w + (right & six).astype(np.int64))
-        doc = np.searchsorted(self.begin, i, "right") - 1
-        ok = i + length <= self.begin[doc + 1]
-        first = ok.copy()
-        first[1:] &= (owner[1:] != owner[:-1]) | ~ok[:-1]
-        last = ok.copy()
-        last[:-1] &= (owner[1:] != owner[:-1]) | ~ok[1:]
-        self.low, self.high = i[first], i[last]
-        self.anchor, self.doc, self.gram = owner[first], doc[first], v[owner[first]]
+        take = (left | six) <= (right | six)  # on equal hashes the first place in the string
+        owner = np.repeat(np.arange(blocks) * w, w)[:count]
+        owner += np.where(take, left & six, (right & six) + np.uint64(w)).astype(np.int64)
+        ok = np.ones(count, bool)
+        for e in self.begin[1:].tolist():
+            ok[max(0, e - length + 1) : e] = False
+        new = owner[1:] != owner[:-1]
+        first, last = ok.copy(), ok.copy()
+        first[1:] &= new | ~ok[:-1]
+        last[:-1] &= new | ~ok[1:]
+        self.low, self.high = np.flatnonzero(first), np.flatnonzero(last)
+        self.anchor = owner[self.low]
+        self.doc = np.searchsorted(self.begin, self.low, "right") - 1
+        self.gram = v[self.anchor]
+
+
+def bucket_bits(docs: DataFrame) -> list[np.ndarray]:
+    """(repeated, crowded): bit tables over q-grams with two entries or more, and with CROWDED or more."""
+
+    grams = lambda pdf: (Runs(part["text"].tolist()).gram for part in common.batches([pdf], most=BATCH))
+    return bit_tables(common.table_of(docs, "text"), grams, (2, CROWDED))
+
+
+class Entries:
+    """Bucket entries of a batch: the runs of repeated q-grams, those of crowded ones cut into parts."""
+
+    def __init__(self, pdf: pd.DataFrame, repeated: np.ndarray, crowded: np.ndarray, length: int = LENGTH):
+        self.runs = r = Runs(pdf["text"].tolist())
+        slot = slot_of(r.gram)
+        keep = np.flatnonzero(test_bits(repeated, slot))
+        low, high, anchor, gram, doc = r.low[keep], r.high[keep], r.anchor[keep], r.gram[keep], r.doc[keep]
+        many = test_bits(crowded, slot[keep])
+        # parts are aligned to multiples of STEP of the distance to the anchor
+        cut_low, cut_high = np.where(many, (anchor - low) // STEP, 0), np.where(many, (anchor - high) // STEP, 0)
+        n_parts = cut_low - cut_high + 1
+        of = np.repeat(np.arange(len(low)), n_parts)
+        step = cut_low[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts))
+        anchor, many, self.doc = anchor[of], many[of], doc[of]
+        self.low = np.where(many, np.maximum(low[of], anchor - step * STEP - (STEP - 1)), low[of])
+        self.high = np.where(many, np.minimum(high[of], anchor - step * STEP), high[of])
+        self.bucket = gram[of]
+        c = np.flatnonzero(many)  # what all strings of such a part share, and which part it is
+        core = anchor[c] - step[c] * STEP
+        self.bucket[c] = common.mix64(common.span_hash(r.h, core, core - (STEP - 1) + length) + step[c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.shift = self.low - anchor
+        self.whole = common.mix64(common.span_hash(r.h, self.low, self.high + length) + self.shift.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (self.high - self.low).astype(np.uint64) + self.bucket * np.uint64(3))
+        self.many = many
+        self.start = self.low - r.begin[self.doc]
+
+
+def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values("doc_id", kind="stable", na_position="first", ignore_index=True)
 
 
-def _slot(gram: np.ndarray) -> np.ndarray:
-    return (gram >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def bucket_bits(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, crowded): bit tables over hashed q-grams with two entries or more, and with CROWDED or more.
-
-    Only slot numbers travel, two bytes each, dealt by table part; the driver gets two tables of fixed size.
-    """
+def entries(docs: DataFrame, repeated, crowded, length: int = LENGTH) -> DataFrame:
+    """bucket, whole, doc_id, rid, start, n for the bucket entries of repeated q-grams. A run identical to an earlier one of
+    the same batch, or in a crowded bucket of the same task, has no whole: it is lost already."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
-        held, size = [], 0
-
-        def flush():
-            slots = np.sort(np.concatenate(held))
-            part = slots >> PART_BITS
-            cut = np.flatnonzero(np.diff(part)) + 1
-            return pd.DataFrame({"part": part[np.concatenate([[0], cut])].astype(np.int32), "slots": [x.astype(np.uint16).tobytes() for x in np.split(slots, cut)]})
-
+        seen: dict[int, tuple] = {}
         for pdf in common.batches(it, most=BATCH):
-            held.append(_slot(Runs(pdf["text"].tolist()).gram))
-            size += len(held[-1])
-            if size > 1 << 22:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    def count(key, pdf):
-        n = np.zeros(1 << PART_BITS, np.int64)
-        for b in pdf["slots"]:
-            n += np.bincount(np.frombuffer(b, np.uint16), minlength=1 << PART_BITS)
-        return pd.DataFrame({"part": [key[0]], "repeated": [np.packbits(n >= 2).tobytes()], "crowded": [np.packbits(n >= CROWDED).tobytes()]})
+            pdf = _in_order(pdf)
+            e = Entries(pdf, repeated.value, crowded.value, length)
+            if not len(e.low):
+                continue
+            lost = np.ones(len(e.whole), bool)
+            lost[np.unique(e.whole, return_index=True)[1]] = False
+            ids, rids = pdf["doc_id"], pdf["rid"]
+            for x in np.flatnonzero(e.many & ~lost).tolist():
+                d = ids[e.doc[x]]
+                place = (0, 0, int(rids[e.doc[x]]), int(e.start[x])) if pd.isna(d) else (1, d, int(rids[e.doc[x]]), int(e.start[x]))
+                old = seen.setdefault(int(e.whole[x]), place)
+                if old < place:
+                    lost[x] = True
+                elif old != place:
+                    seen[int(e.whole[x])] = place
+            if len(seen) > 1 << 20:
+                seen.clear()
+            yield pd.DataFrame({"bucket": e.bucket.view(np.int64), "whole": pd.Series(e.whole.view(np.int64)).astype("Int64").mask(lost), "doc_id": ids.take(e.doc).to_numpy(), "rid": rids.take(e.doc).to_numpy(), "start": e.start.astype(np.int32), "n": (e.high - e.low + 1).astype(np.int32)})
 
-    tables = np.zeros((2, 1 << (SLOT_BITS - PART_BITS), 1 << (PART_BITS - 3)), np.uint8)
-    found = common.table_of(docs, "text").mapInPandas(run, "part int, slots binary").groupBy("part").applyInPandas(count, "part int, repeated binary, crowded binary")
-    for r in found.toLocalIterator():
-        tables[0, r.part], tables[1, r.part] = np.frombuffer(r.repeated, np.uint8), np.frombuffer(r.crowded, np.uint8)
-    return tables[0].reshape(-1), tables[1].reshape(-1)
+    return docs.mapInPandas(run, f"bucket long, whole long, doc_id {kind}, rid long, start int, n int")
 
 
-def _test(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (table[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
+def settle(dealt: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Rows (rid, lost_from, lost_to) for runs identical to an earlier one, and rows (whole) for the first of each kind of
+    run in buckets with several kinds. Input: one bucket after the other, in order of place."""
 
+    def run(it):
+        open_ = last = None  # the bucket that goes on in the next batch, and the kind of its only run so far
+        held: set[int] = set()
+        for pdf in it:
+            if not len(pdf):
+                continue
+            bucket, whole = pdf["bucket"].to_numpy(np.int64), pdf["whole"].to_numpy(np.int64)
+            pair = common.mix64(bucket.view(np.uint64)) + whole.view(np.uint64)
+            first = np.zeros(len(pair), bool)
+            first[np.unique(pair, return_index=True)[1]] = True
+            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            goes_on = open_ is not None and bucket[0] == open_
+            if goes_on:
+                head = np.flatnonzero(bucket == open_)
+                first[head] &= [int(x) not in held for x in whole[head]]
+            kinds = np.add.reduceat(first.astype(np.int64), begin)
+            if goes_on:
+                kinds[0] += len(held)
+            ask = whole[first & np.repeat(kinds >= 2, np.diff(np.append(begin, len(bucket))))]
+            if goes_on and kinds[0] >= 2 and last is not None:
+                ask = np.append(ask, last)
+                last = None
+            tail = bucket == bucket[-1]
+            held = (held if open_ == bucket[-1] else set()) | set(whole[tail & first].tolist())
+            if open_ != bucket[-1]:
+                last = int(whole[tail][0]) if kinds[-1] == 1 else None
+            open_ = bucket[-1]
+            gone = pdf[~first]
+            if len(gone):
+                yield pd.DataFrame({"rid": gone["rid"], "lost_from": gone["start"].astype(np.int64), "lost_to": gone["start"].astype(np.int64) + gone["n"] - 1 + length, "whole": None})
+            if len(ask):
+                yield pd.DataFrame({"rid": None, "lost_from": None, "lost_to": None, "whole": ask})
 
-ENTRIES = "bucket long, doc_id {kind}, rid long, start long, shift int, n int, bytes binary, lost_from long, lost_to long"
+    return dealt.mapInPandas(run, "rid long, lost_from long, lost_to long, whole long")
 
 
-def entries(docs: DataFrame, repeated, crowded, length: int = LENGTH) -> DataFrame:
-    """Bucket entries of repeated q-grams (bucket, doc_id, rid, start, shift, n strings, bytes), and, for runs identical to
-    an earlier one of the same task, rows (rid, lost_from, lost_to) instead."""
+def strings_of(docs: DataFrame, repeated, crowded, mixed, length: int = LENGTH) -> DataFrame:
+    """bucket, doc_id, rid, start, shift, n, bytes of the runs whose buckets hold several kinds (and of a few others)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
-        seen: dict[int, tuple] = {}
-        rep, crowd = repeated.value, crowded.value
         for pdf in common.batches(it, most=BATCH):
-            r = Runs(pdf["text"].tolist())
-            slot = _slot(r.gram)
-            keep = np.flatnonzero(_test(rep, slot))
-            if not len(keep):
+            pdf = _in_order(pdf)
+            e = Entries(pdf, repeated.value, crowded.value, length)
+            wanted = np.zeros(len(e.whole), bool)
+            wanted[np.unique(e.whole, return_index=True)[1]] = True
+            x = np.flatnonzero(wanted & test_bits(mixed.value, slot_of(e.whole)))
+            if not len(x):
                 continue
-            low, high, anchor, gram, doc = r.low[keep], r.high[keep], r.anchor[keep], r.gram[keep], r.doc[keep]
-            many = _test(crowd, slot[keep])
-            # parts of crowded runs: aligned to multiples of STEP of the distance to the anchor
-            cut_low, cut_high = np.where(many, (anchor - low) // STEP, 0), np.where(many, (anchor - high) // STEP, 0)
-            n_parts = cut_low - cut_high + 1
-            of = np.repeat(np.arange(len(low)), n_parts)
-            j = np.arange(len(of)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-            step = cut_low[of] - j
-            lo = np.where(many[of], np.maximum(low[of], anchor[of] - step * STEP - (STEP - 1)), low[of])
-            hi = np.where(many[of], np.minimum(high[of], anchor[of] - step * STEP), high[of])
-            bucket = gram[of].copy()
-            c = np.flatnonzero(many[of])  # what all strings of such a part share, and which part it is
-            core = anchor[of][c] - step[c] * STEP
-            bucket[c] = common.mix64(common.span_hash(r.h, core, core - (STEP - 1) + length) + step[c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            shift = lo - anchor[of]
-            whole = common.mix64(common.span_hash(r.h, lo, hi + length) + shift.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (hi - lo).astype(np.uint64) + bucket * np.uint64(3))
-            ids, rids = pdf["doc_id"].tolist(), pdf["rid"].tolist()
-            data = r.data.tobytes()
-            ship, lost = [], []
-            for w, b, d, s, e, sh, base in zip(whole.tolist(), bucket.view(np.int64).tolist(), doc[of].tolist(), lo.tolist(), hi.tolist(), shift.tolist(), r.begin[doc[of]].tolist(), strict=True):
-                key = ids[d] is None or ids[d] != ids[d], ids[d], rids[d], s - base
-                place = (0,) if key[0] else (1, key[1], key[2], key[3])
-                old = seen.get(w)
-                if old is not None and old < place:
-                    lost.append((rids[d], s - base, e - base + length))
-                    continue
-                seen[w] = place
-                ship.append((b, ids[d], rids[d], s - base, sh, e - s + 1, data[s : e + length]))
-            if len(seen) > 1 << 20:
-                seen.clear()
-            if ship:
-                yield pd.DataFrame(ship, columns=["bucket", "doc_id", "rid", "start", "shift", "n", "bytes"]).assign(lost_from=None, lost_to=None)
-            if lost:
-                yield pd.DataFrame(lost, columns=["rid", "lost_from", "lost_to"]).assign(bucket=None, doc_id=None, start=None, shift=None, n=None, bytes=None)
+            data = e.runs.data.tobytes()
+            raw = [data[a:b] for a, b in zip(e.low[x].tolist(), (e.high[x] + length).tolist(), strict=True)]
+            at = e.doc[x]
+            yield pd.DataFrame({"bucket": e.bucket[x].view(np.int64), "doc_id": pdf["doc_id"].take(at).to_numpy(), "rid": pdf["rid"].take(at).to_numpy(), "start": e.start[x].astype(np.int32), "shift": e.shift[x].astype(np.int32), "n": (e.high[x] - e.low[x] + 1).astype(np.int32), "bytes": raw})
 
-    return docs.mapInPandas(run, ENTRIES.format(kind=kind))
+    return docs.mapInPandas(run, f"bucket long, doc_id {kind}, rid long, start int, shift int, n int, bytes binary")
 
 
 def refine(found: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -210,13 +242,21 @@ def refine(found: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.mapInPandas(run, "rid long, lost_from long, lost_to long")
 
 
+def by_bucket(d: DataFrame) -> DataFrame:
+    return d.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "rid", "start")
+
+
 def removed(docs: DataFrame, owner: str = "suffixes") -> DataFrame:
-    """rid and its sorted, merged, non-touching lost ranges [from, to), for documents that lose bytes."""
+    """rid and its lost ranges [from, to), sorted, for documents that lose bytes. docs: rid, doc_id, text."""
     sc = docs.sparkSession.sparkContext
     repeated, crowded = map(sc.broadcast, bucket_bits(docs))  # fixed size: 2 ** SLOT_BITS bits each
     found = common.stored(entries(docs, repeated, crowded), "entries", owner)
-    dealt = found.where("bucket is not null").select("bucket", "doc_id", "rid", "start", "shift", "n", "bytes").repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "rid", "start")
-    lost = refine(dealt).unionByName(found.where("lost_from is not null").select("rid", "lost_from", "lost_to"))
+    settled = common.stored(settle(by_bucket(found.where("whole is not null"))), "settled", owner)
+    asked = settled.where("whole is not null").select("whole")
+    (mixed,) = map(sc.broadcast, bit_tables(asked, lambda pdf: [pdf["whole"].to_numpy(np.int64).view(np.uint64)], (1,)))
+    lost = refine(by_bucket(strings_of(docs, repeated, crowded, mixed)))
+    early = found.where("whole is null").select("rid", F.col("start").cast("long").alias("lost_from"), (F.col("start") + F.col("n") - 1 + LENGTH).cast("long").alias("lost_to"))
+    lost = lost.unionByName(settled.where("lost_from is not null").select("rid", "lost_from", "lost_to")).unionByName(early)
     return lost.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("lost_from", "lost_to"))).alias("lost"))
 
 
