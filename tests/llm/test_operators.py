@@ -107,6 +107,23 @@ def test_resampling_prefers_the_target(make):
     assert none.count() == docs.count()
 
 
+def test_resampling_rejects_junk_of_every_length(make):
+    rng = random.Random(4)
+    vocabulary, noise = [f"w{i}" for i in range(300)], [f"!!{i}" for i in range(300)]
+    lengths = [20, 40, 80, 200, 600, 2000]
+    good = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in lengths for _ in range(60)]
+    junk = [" ".join(rng.choice(noise if rng.random() < 0.5 else vocabulary) for _ in range(n)) for n in lengths for _ in range(10)]
+    docs = make(DOCS, docs_of([*good, *junk]))
+    labels = make("doc_id long, quality int, toxic int", [(i, int(i < 360), 0) for i in range(420)])
+    p = resampling.select(docs, labels).toPandas().set_index("doc_id").sort_index()
+    assert p.selected[:360].mean() > 0.97
+    for j, n in enumerate(lengths):
+        assert not p.selected[360 + 10 * j : 370 + 10 * j].any(), n
+    some = resampling.select(docs, labels, k=200).toPandas().set_index("doc_id").sort_index()
+    assert some.selected.sum() == 200 and not some.selected[360:].any()
+    assert resampling.select(docs, labels, k=400).where("selected").count() == 400
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=40), st.integers(1, 40))
 def test_kth_largest(spark, values, k):
