@@ -4,9 +4,11 @@ A page becomes a stream of structural tags and texts; runs that repeat side by s
 pages of a host are aligned one after the other with the wrapper so far (longest common subsequence of items): different
 texts at the same place become a slot, an item that one side lacks becomes an optional group, and a single copy of a group
 that the other side repeats becomes that repeated group. There are no unions. Partial wrappers of salted parts of a host
-are aligned with each other in the same way, so a host with a third of all pages is no one task's burden.
+are aligned with each other in the same way, so a host with a third of all pages is no one task's burden. Pages without
+any text say nothing about a template and are left out; wrappers of any length are kept, long ones are aligned in pieces.
 
-The wrapper says where a host keeps its article, and which texts outside of one are the template's. The text of a page is
+The wrapper says where a host keeps its article, and which texts outside of one are the template's: those constant over
+five or more pages that differ in their texts (copies of one page are one page). The text of a page is
 taken block by block from the article region, without navigation, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments.
 
@@ -17,10 +19,12 @@ tolerated.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,8 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|b
 ROLE = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|form)\b", re.I)
 MARK = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
+#: Cells of the table that two wrappers are aligned by at once.
+CELLS = 1 << 22
 
 
 def blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
@@ -103,9 +109,13 @@ def text_key(s: str) -> str:
 
 def stream(html: str | None) -> list:
     """Structural items: an open tag, a close tag, or '=hash' for a text."""
+    return stream_of(blocks(html))
+
+
+def stream_of(found: list[tuple[tuple[str, ...], str]]) -> list:
     out: list[str] = []
     path: tuple[str, ...] = ()
-    for p, s in blocks(html):
+    for p, s in found:
         k = 0
         while k < min(len(p), len(path)) and p[k] == path[k] and k < len(p) - (p == path):
             k += 1
@@ -166,11 +176,11 @@ def unify(a, b):
 
 def group_singles(items: list, other: list) -> list:
     """Wrap single copies of groups that the other side repeats."""
-    for body in [x[1] for x in other if not isinstance(x, str)]:
-        want, w = [shape(x) for x in body], len(body)
+    for body in {tuple(map(shape, x[1])): x[1] for x in other if not isinstance(x, str)}.values():
+        want, w, keys = [shape(x) for x in body], len(body), [shape(x) for x in items]
         i, out = 0, []
         while i < len(items):
-            if [shape(x) for x in items[i : i + w]] == want and not (w == 1 and not isinstance(items[i], str)):
+            if keys[i : i + w] == want and not (w == 1 and not isinstance(items[i], str)):
                 out.append(("?", tuple(items[i : i + w])))
                 i += w
             else:
@@ -180,22 +190,44 @@ def group_singles(items: list, other: list) -> list:
     return items
 
 
+def common_lengths(x: np.ndarray, y: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Lengths of the longest common subsequences of x and every suffix of y; of every suffix of x, too, into table."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        new = row.copy()
+        new[:-1] = np.maximum(new[:-1], np.where(y == x[i], row[1:] + 1, 0))
+        row = np.maximum.accumulate(new[::-1])[::-1]
+        if table is not None:
+            table[i] = row
+    return row
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of two wrappers: common items unified, items of one side alone made optional."""
     ka, kb = [shape(x) for x in a], [shape(x) for x in b]
     if ka == kb:
         return [unify(x, y) for x, y in zip(a, b, strict=True)]
     a, b = group_singles(a, b), group_singles(b, a)
-    ka, kb = [shape(x) for x in a], [shape(x) for x in b]
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(shape(v), len(codes)) for v in side], np.int64) for side in (a, b))
+    return aligned(a, b, x, y)
+
+
+def aligned(a: list, b: list, x: np.ndarray, y: np.ndarray) -> list:
+    """align() by the codes x, y of the items' shapes; what exceeds CELLS is split where its halves have most in common."""
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+    if n * m > CELLS and n > 1:
+        half = n // 2
+        before, after = common_lengths(x[:half][::-1], y[::-1])[::-1], common_lengths(x[half:], y)
+        cut = int(np.argmax(before + after))
+        return aligned(a[:half], b[:cut], x[:half], y[:cut]) + aligned(a[half:], b[cut:], x[half:], y[cut:])
+    table = np.zeros((n + 1, m + 1), np.int32)
+    common_lengths(x, y, table)
+    best, ka, kb = table.tolist(), x.tolist(), y.tolist()
     out, i, j = [], 0, 0
 
     def optional(x):
-        return x if not isinstance(x, str) and x[0] == "?" else ("?", (slot(x),)) if isinstance(x, str) else ("?", (slot(x),))
+        return slot(x) if not isinstance(x, str) and x[0] == "?" else ("?", (slot(x),))
 
     while i < n and j < m:
         if ka[i] == kb[j]:
@@ -210,15 +242,18 @@ def align(a: list, b: list) -> list:
     return [*out, *map(optional, a[i:]), *map(optional, b[j:])]
 
 
-def infer(pages: list[str | None], limit: int = 400) -> list:
+def merged(streams) -> list:
+    """One wrapper of all streams or wrappers, iteratively; the empty ones are left out."""
+    wrapper: list = []
+    for items in streams:
+        if items:
+            wrapper = align(wrapper, items) if wrapper else items
+    return wrapper
+
+
+def infer(pages: list[str | None]) -> list:
     """Fold pages into one wrapper, iteratively."""
-    wrapper = None
-    for s in pages:
-        items = stream(s)
-        wrapper = items if wrapper is None else align(wrapper, items)
-        if len(wrapper) > limit:  # a host without a template: its wrapper says nothing
-            return []
-    return wrapper or []
+    return merged(map(stream, pages))
 
 
 def pattern(items) -> str:
@@ -226,33 +261,34 @@ def pattern(items) -> str:
     return "".join(x if isinstance(x, str) and x[0] in "#=" else f"<{x}>" if isinstance(x, str) else f"({pattern(x[1])}){x[0]}" for x in items)
 
 
-def wrap_hosts(pages: DataFrame, per_part: int = 256) -> DataFrame:
-    """host, n_pages, wrapper (JSON): parts of per_part pages or so are folded on their own, then the parts of a host."""
+def content_key(found: list[tuple[tuple[str, ...], str]]) -> int:
+    """64 bits of the texts of a page, in page order."""
+    return int.from_bytes(hashlib.blake2b("\n".join(s for _, s in found).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def wrap_hosts(pages: DataFrame, per_part: int = 256, owner: str = "wrappers") -> DataFrame:
+    """host, n_pages, n_distinct (pages that differ in their texts), wrapper (JSON): parts of per_part pages or so are folded on their own, then the parts of a host."""
     host, _ = url_rules.host_and_path(F.col("`url`"))
     part = F.pmod(F.xxhash64("`page_id`", "`url`"), F.lit(1 << 16))
     d = pages.select(host.alias("host"), part.alias("part"), F.col("`html`").alias("html"))
 
     def shapes(it):
         for pdf in it:
-            yield pd.DataFrame({"host": pdf["host"], "part": pdf["part"], "items": [json.dumps(stream(h)) for h in pdf["html"]]})
+            found = [blocks(h) for h in pdf["html"]]
+            yield pd.DataFrame({"host": pdf["host"], "part": pdf["part"], "items": [json.dumps(stream_of(f)) for f in found], "content": np.array([content_key(f) if f else 0 for f in found], np.int64), "some": [bool(f) for f in found]})
 
-    level = d.mapInPandas(shapes, "host string, part long, items string").groupBy("host", "part", "items").agg(F.count(F.lit(1)).alias("n"))
-    counts = level.groupBy("host").agg(F.sum("n").alias("_all"))
+    level = d.mapInPandas(shapes, "host string, part long, items string, content long, some boolean").groupBy("host", "part", "items", "content", "some").agg(F.count(F.lit(1)).alias("n"))
+    level = common.stored(level, "streams", owner)  # read twice, parsed once
+    counts = level.groupBy("host", "content", "some").agg(F.sum("n").alias("n")).groupBy("host").agg(F.sum("n").alias("_all"), F.sum(F.col("some").cast("long")).alias("n_distinct"))
 
     def merge(key, pdf):
-        wrapper = None
-        for s in sorted(pdf["items"].tolist()):
-            items = load_wrapper(s)
-            wrapper = items if wrapper is None or not items else align(wrapper, items)
-            if len(wrapper) > 400:
-                wrapper = []
-                break
-        return pd.DataFrame({"host": [key[0]], "items": [json.dumps(wrapper or [])], "n": [int(pdf["n"].sum())]})
+        return pd.DataFrame({"host": [key[0]], "items": [json.dumps(merged(map(load_wrapper, sorted(set(pdf["items"])))))], "n": [int(pdf["n"].sum())]})
 
+    level = level.drop("content", "some")
     for parts in (4096, 64):  # ever fewer parts; small hosts have one from the start
         slots = F.greatest(F.lit(1), F.least(F.lit(parts), F.ceil(F.col("_all") / per_part))).cast("long")
-        level = level.join(counts, "host").withColumn("part", F.pmod("part", slots)).groupBy("host", "part").applyInPandas(lambda k, p: merge(k, p).assign(part=k[1]), "host string, items string, n long, part long")
-    return level.groupBy("host").applyInPandas(merge, "host string, items string, n long").select("host", F.col("n").alias("n_pages"), F.col("items").alias("wrapper"))
+        level = level.join(counts.select("host", "_all"), "host").withColumn("part", F.pmod("part", slots)).select("host", "part", "items", "n").groupBy("host", "part").applyInPandas(lambda k, p: merge(k, p).assign(part=k[1]), "host string, items string, n long, part long")
+    return level.groupBy("host").applyInPandas(merge, "host string, items string, n long").join(counts.select("host", "n_distinct"), "host").select("host", F.col("n").alias("n_pages"), "n_distinct", F.col("items").alias("wrapper"))
 
 
 def load_wrapper(s: str) -> list:
@@ -301,7 +337,7 @@ def main_text(html: str | None, region: str | None = None, fixed: frozenset[str]
 
 def extract(pages: DataFrame, owner: str = "wrappers") -> DataFrame:
     """page_id, url, text, n_chars, and the wrapper's regular expression of the page's host with the pages behind it."""
-    w = common.stored(wrap_hosts(pages), "wrappers", owner)
+    w = common.stored(wrap_hosts(pages, owner=owner), "wrappers", owner)
     host, _ = url_rules.host_and_path(F.col("`url`"))
     d = pages.select(F.col("`page_id`").alias("page_id"), F.col("`url`").alias("url"), F.col("`html`").alias("html"), host.alias("host")).join(w, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -310,7 +346,7 @@ def extract(pages: DataFrame, owner: str = "wrappers") -> DataFrame:
         seen: dict = {}
         for pdf in it:
             out = []
-            for h, n, s in zip(pdf["html"], pdf["n_pages"], pdf["wrapper"], strict=True):
+            for h, n, s in zip(pdf["html"], pdf["n_distinct"], pdf["wrapper"], strict=True):
                 if s not in seen:
                     if len(seen) > 10_000:
                         seen.clear()
@@ -321,4 +357,4 @@ def extract(pages: DataFrame, owner: str = "wrappers") -> DataFrame:
                 out.append((t, len(t), expression))
             yield pd.concat([pdf[["page_id", "url"]].reset_index(drop=True), pd.DataFrame(out, columns=["text", "n_chars", "wrapper"])], axis=1)
 
-    return d.select("page_id", "url", "html", "n_pages", "wrapper").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long, wrapper string")
+    return d.select("page_id", "url", "html", "n_distinct", "wrapper").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long, wrapper string")

@@ -251,6 +251,31 @@ def test_wrapper_extraction(make):
     assert "(<p>#</p>)" in p.wrapper[3].replace("+", "").replace("?", "")
 
 
+def test_template_texts_with_empty_copied_and_long_pages(make):
+    page = "<div><h2>Our site</h2><p>body {0} {0}</p><div>All rights</div></div>"
+    pages = [(i, "http://a.example/x", page.format(i)) for i in range(8)] + [(8, "http://a.example/x", None), (9, "http://a.example/x", "<div></div>")]
+    pages += [(20 + i, "http://b.example/x", "<div><h1>Short</h1><p>all there is</p></div>") for i in range(6)]
+    rng = random.Random(5)
+    mess = ["".join(f"<{t}>m{i} {j}</{t}>" for j, t in enumerate(rng.choices(["h2", "h3", "pre", "blockquote", "section", "address"], k=500))) for i in range(6)]
+    pages += [(40 + i, "http://c.example/x", f"<div><h1>Our site</h1>{m}</div>") for i, m in enumerate(mess)]
+    p = wrappers.extract(make("page_id long, url string, html string", pages)).toPandas().set_index("page_id")
+    assert [p.text[i] for i in range(10)] == [f"body {i} {i}" for i in range(8)] + ["", ""]
+    assert {p.text[20 + i] for i in range(6)} == {"Short\nall there is"}
+    for i in range(6):
+        got = p.text[40 + i].split("\n")
+        assert got == [f"m{i} {j}" for j in range(500)] and len(p.wrapper[40 + i]) > 400
+
+
+def test_alignment_in_pieces_loses_no_match(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(20):
+        a, b = ([rng.choice(["div", "p", "h1", "ul"]) for _ in range(rng.randint(1, 60))] for _ in "ab")
+        want = len(wrappers.align(a, b))
+        monkeypatch.setattr(wrappers, "CELLS", 50)
+        assert len(wrappers.align(a, b)) == want
+        monkeypatch.undo()
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     a = wrappers.stream("<div><ul><li>x</li></ul><p>one</p></div>")
     b = wrappers.stream("<div><ul><li>x</li><li>y</li><li>z</li></ul><h2>new</h2><p>two</p></div>")
