@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,22 +21,31 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float = -1.0, max_queries: int = 10_000) -> DataFrame:
     """query_id, rank, vec_id, similarity: the k most similar vectors of each query, itself left out, smaller id on ties.
 
-    Queries (query_id, q) are a bounded set, checked; each partition of vectors (vec_id, v) keeps k rows per query before
-    anything is shuffled.
+    Queries (query_id, q) are taken in blocks of about max_queries, dealt by their id, so the driver and a task hold one block
+    at a time; each partition of vectors (vec_id, v) keeps k rows per query before anything is shuffled.
     """
-    got = queries.limit(max_queries + 1).collect()
-    if len(got) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; call it in blocks")
+    n = queries.count()
+    blocks = max(1, -(-n // max_queries))
+    if blocks == 1:
+        return _nearest(queries, vectors, k, least)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.union, (_nearest(queries.where(block == i), vectors, k, least) for i in range(blocks)))
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
+    """nearest() for one block of queries."""
+    got = queries.select("query_id", "q").collect()
     spark = vectors.sparkSession
     ids = [r.query_id for r in got]
-    data = spark.sparkContext.broadcast(np.array([r.q for r in got], np.float64).reshape(len(got), -1))
+    data = spark.sparkContext.broadcast(np.array([r.q for r in got], np.float64).reshape(len(got), -1 if got else 0))
 
     def run(it):
         q = data.value
         qn = np.linalg.norm(q, axis=1)
         best: dict[int, list] = {}
-        for pdf in it:
-            if not len(pdf) or not len(q):
+        step = max(1, (1 << 22) // max(1, len(q)))  # so many vectors at once that their similarities stay small
+        for pdf in (p[i : i + step] for p in it for i in range(0, len(p), step)):
+            if not len(q):
                 continue
             v = np.array(pdf["v"].tolist(), np.float64)
             n = qn[:, None] * np.linalg.norm(v, axis=1)[None]
