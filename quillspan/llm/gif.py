@@ -287,23 +287,21 @@ def text_to_media(docs: DataFrame) -> DataFrame:
 
 
 def digest_row(text: str | None) -> tuple:
-    """Store, read the stored bytes back, and describe what came back: palette lookup, then the red channel of each frame."""
+    """Store, read the stored bytes back, and describe what came back: the red channel of each composed frame, where it was drawn."""
     n, media = store(text)
-    red = GREY_RED
     parts, hist, frames, delay = [], np.zeros(8, np.int64), 0, 0
-    for f in decode(media, compose=False):
-        seen = red[f["indices"].reshape(-1)]
+    for f in decode(media):
+        (h, w), left, top = f["indices"].shape, f["left"], f["top"]
+        seen = f["canvas"][top : top + h, left : left + w, 0].reshape(-1)
         parts.append(seen)
+        hist += histogram(seen)
         frames += 1
         delay += f["delay"]
-    payload = np.concatenate(parts)
-    hist += np.bincount(payload >> 5, minlength=8)
-    raw = payload.tobytes()
+    raw = np.concatenate(parts).tobytes()
     feature = f"frames={frames};seconds={delay / 100:.2f};hist=" + ",".join(map(str, hist.tolist()))
     return n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
-GREY_RED = np.frombuffer(GREY, np.uint8).reshape(-1, 3)[:, 0].copy()
 NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 

@@ -425,6 +425,17 @@ def test_gif_digest(make):
     assert tuple(got.loc[2]) == tuple(got.loc[6])
 
 
+def test_gif_digest_reads_the_stored_palette(monkeypatch):
+    inverted = bytes(255 - i for i in range(256) for _ in range(3))
+    plain, payload = gif.digest_row("abc" * 20_000), gif.to_payload("abc" * 20_000)[1]
+    monkeypatch.setattr(gif, "store", lambda text: (len(text), gif.encode([payload[i : i + gif.TILES * gif.TILE] for i in range(0, len(payload), gif.TILES * gif.TILE)], palette=inverted)))
+    got = gif.digest_row("abc" * 20_000)
+    assert plain[2] == hashlib.sha256(payload).hexdigest()
+    assert got[2] == hashlib.sha256(bytes(255 - x for x in payload)).hexdigest()
+    hist = [x.split("hist=")[1].split(",") for x in (plain[6], got[6])]
+    assert hist[0] == hist[1][::-1] and hist[0] != hist[1]
+
+
 def test_gif_disposal_transparency_and_interlace():
     import struct
 
