@@ -1,7 +1,8 @@
-"""Bit tables of fixed size over the hashes of any number of rows.
+"""Bit tables of bounded size over the hashes of any number of rows.
 
 A bit says that at least k rows fall into a slot. A table can only let too much through, never too little, so it serves as
-a filter in front of an exact step; its size, and so what is broadcast, does not depend on the input.
+a filter in front of an exact step; it has eight slots for each expected row, and never more than 2 ** SLOT_BITS, so what
+is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -16,16 +17,22 @@ SLOT_BITS = 27
 PART_BITS = 16
 
 
-def slot_of(gram: np.ndarray) -> np.ndarray:
-    return (gram >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def slot_of(gram: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
+    return (gram >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bit_tables(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterable[np.ndarray]], levels: tuple[int, ...]) -> list[np.ndarray]:
+def met(table: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Whether the table may hold each hash."""
+    return test_bits(table, slot_of(gram, len(table).bit_length() + 2))
+
+
+def bit_tables(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterable[np.ndarray]], levels: tuple[int, ...], rows: int | None = None) -> list[np.ndarray]:
     """For each level a bit table over the slots that at least so many of the 64-bit hashes of df fall into.
 
     hashes gives the hashes of a pandas batch. Only slot numbers travel, two bytes each, dealt by table part; the driver
-    gets tables of fixed size.
+    gets tables of bounded size. rows: how many hashes are expected, if that is known.
     """
+    slot_bits = SLOT_BITS if rows is None else min(SLOT_BITS, max(PART_BITS, (8 * rows).bit_length()))
 
     def run(it):
         held, size = [], 0
@@ -38,7 +45,7 @@ def bit_tables(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterable[np.ndarr
 
         for pdf in it:
             for h in hashes(pdf):
-                held.append(slot_of(h).astype(np.uint32))
+                held.append(slot_of(h, slot_bits).astype(np.uint32))
                 size += len(held[-1])
                 if size > 1 << 20:
                     yield flush()
@@ -53,7 +60,7 @@ def bit_tables(df: DataFrame, hashes: Callable[[pd.DataFrame], Iterable[np.ndarr
         return pd.DataFrame({"part": [key[0]], "bits": [b"".join(np.packbits(n >= k).tobytes() for k in levels)]})
 
     width = 1 << (PART_BITS - 3)
-    tables = np.zeros((len(levels), 1 << (SLOT_BITS - PART_BITS), width), np.uint8)
+    tables = np.zeros((len(levels), 1 << (slot_bits - PART_BITS), width), np.uint8)
     found = df.mapInPandas(run, "part int, slots binary").groupBy("part").applyInPandas(count, "part int, bits binary")
     for r in found.collect():  # one row per table part, a fixed number
         tables[:, r.part] = np.frombuffer(r.bits, np.uint8).reshape(len(levels), width)

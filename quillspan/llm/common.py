@@ -6,10 +6,13 @@ passes over one byte array instead of a Python loop over words.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +32,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the session names one; a temporary folder of our own only where it is unset."""
+    """spark.checkpoint.dir where the session names one; a temporary folder of our own only where it is unset and all runs on one machine."""
     global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="quillspan-")
     return _own_dir
@@ -65,12 +70,50 @@ def drop_stored(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession, owner: str | None = None) -> None:
-    """Delete the stored tables of one owner, or of all; call it when their results have been written."""
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the stored tables of one owner, once what was built on them has been written."""
     prepare(spark)
-    for name in [owner] if owner else list(_written):
-        for path in _written.pop(name, []):
-            delete(spark, path)
+    for path in _written.pop(owner, []):
+        delete(spark, path)
+
+
+@atexit.register
+def _release_all() -> None:
+    """What queries have left, at the end of the session."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        with contextlib.suppress(Exception):  # the session may have ended already
+            for owner in list(_written):
+                release(spark, owner)
+
+
+#: Ids that a broadcast may hold; beyond that a bit table of fixed size takes its place.
+BROADCAST_IDS = 1 << 18
+
+
+def without(docs: DataFrame, lost: DataFrame, owner: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs whose doc_id (null like any other) is not in the only column of lost.
+
+    Texts stay where they are: up to `most` ids are broadcast; more fill a bit table of fixed size, rows that it clears
+    pass, and only the others meet the ids in an exact join.
+    """
+    from .bits import bit_tables, met
+
+    ids = stored(lost.toDF("__lost_id").distinct(), "lost-ids", owner)
+    same = F.col("`doc_id`").eqNullSafe(F.col("__lost_id"))
+    n = ids.count()
+    if n <= most:
+        return docs.join(F.broadcast(ids), same, "left_anti")
+    (table,) = bit_tables(ids.select(F.xxhash64("__lost_id").alias("k")), lambda pdf: [pdf["k"].to_numpy(np.int64).view(np.uint64)], (1,), n)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be_lost(k: pd.Series) -> pd.Series:
+        return pd.Series(met(bits.value, k.to_numpy(np.int64).view(np.uint64)))
+
+    marked = docs.withColumn("__may_be_lost", may_be_lost(F.xxhash64(F.col("`doc_id`"))))
+    rest = marked.where("__may_be_lost").drop("__may_be_lost").join(ids, same, "left_anti")
+    return marked.where("not __may_be_lost").drop("__may_be_lost").unionByName(rest)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

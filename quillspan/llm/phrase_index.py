@@ -233,5 +233,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, owner: str = "decontamination", **how) -> DataFrame:
     """The documents that are not contaminated, with all their columns; rows are matched by doc_id, null included."""
-    bad = contamination(docs, items, owner=owner, **how).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["`doc_id`"].eqNullSafe(bad["__id"]), "left_anti")
+    bad = contamination(docs, items, owner=owner, **how).where("contaminated").select("doc_id")
+    return common.without(docs, bad, owner)

@@ -306,7 +306,7 @@ def near_by_hand(rows, width, percent):
     return {d: (len(sets[d]), low[d]) for d in ids}
 
 
-@pytest.mark.parametrize("wide", [1, 64])
+@pytest.mark.parametrize("wide", [2, 16])
 def test_near_duplicates(make, monkeypatch, wide):
     rng = random.Random(6)
     draw = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
@@ -333,7 +333,9 @@ def test_near_duplicates(make, monkeypatch, wide):
 
 def test_prefix_never_loses_a_pair():
     rng = np.random.default_rng(7)
-    level = rng.integers(0, 6, jaccard_join.SLOTS).astype(np.uint8)
+    tables = [rng.integers(0, 256, 1 << 17).astype(np.uint8) & rng.integers(0, 256, 1 << 17).astype(np.uint8) for _ in range(3)]
+    order = jaccard_join.Order(tables, (8, 64, 512), rng.integers(0, 50, jaccard_join.WORDS))
+    share = lambda s: -(common.mix64(s) % np.uint64(80)).astype(np.float32)
     for _ in range(300):
         base = common.mix64(rng.integers(0, 1 << 60, rng.integers(5, 80)).astype(np.uint64))
         a = np.unique(base)
@@ -341,8 +343,29 @@ def test_prefix_never_loses_a_pair():
         k = int(jaccard_join.overlaps(a, [b])[0])
         assert k == len(np.intersect1d(a, b))
         if 100 * k >= 85 * (len(a) + len(b) - k):
-            (p, l), (q, m) = jaccard_join.prefix(a, level, 85), jaccard_join.prefix(b, level, 85)
-            assert len(np.intersect1d(p, q)) >= min(l, m)
+            (p, l), (q, m) = jaccard_join.prefix(a, share(a), order, 85), jaccard_join.prefix(b, share(b), order, 85)
+            need = int(jaccard_join.least_shared(np.int64(len(a)), np.int64(l), np.int64(len(b)), np.int64(m), 85))
+            assert len(np.intersect1d(p, q)) >= need >= min(l, m)
+
+
+def test_drop_near_duplicates_with_repeated_and_missing_ids(make):
+    text = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 500, 60))
+    a, b, c, d = map(text, range(4))
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "en", "s", 1), (3, b, "en", "s", 1), (3, a, "en", "s", 1), (None, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (4, d, "en", "s", 1), (4, c, "en", "s", 1), (5, "", "en", "s", 1), (5, "", "en", "s", 1), (None, None, "en", "s", 1)]
+    docs = make(DOCS, rows)
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.drop_near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (4, d), (4, c), (5, ""), (5, ""), (None, None)], key=str)
+    assert jaccard_join.drop_near_duplicates(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_without(make, most):
+    docs = make(DOCS, docs_of([f"t{k}" for k in range(40)]) + [(None, "x", "en", "s", 1)])
+    for lost in ([1, 5, 39], [1, None]):
+        ids = docs.sparkSession.createDataFrame([(x,) for x in lost], "i long")
+        got = common.without(docs, ids, "test-without", most)
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id for r in got.collect()), key=str) == sorted(set([*range(40), None]) - set(lost), key=str)
 
 
 # -- 7 urls ---------------------------------------------------------------------------------------
