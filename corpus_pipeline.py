@@ -18,28 +18,32 @@ from quillspan.llm import common, jaccard_join, mixing, phrase_index, pii, resam
 ORACLE_SQL = None
 
 
+#: Whose stored tables a stage deletes when it begins: those of the stage before it, whose result has been written by then.
+OWNER = "pipeline"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
-    return resampling.keep(docs, common.load(spark, sf_dir, "labels"))
+    common.release(spark, OWNER)
+    return resampling.keep(docs, common.load(spark, sf_dir, "labels"), owner=OWNER)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
-    return jaccard_join.drop_near_duplicates(docs)
+    common.release(spark, OWNER)
+    return jaccard_join.drop_near_duplicates(docs, owner=OWNER)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
-    return phrase_index.drop_contaminated(docs, common.load(spark, sf_dir, "benchmark"))
+    common.release(spark, OWNER)
+    return phrase_index.drop_contaminated(docs, common.load(spark, sf_dir, "benchmark"), owner=OWNER)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    common.release(spark, OWNER)
+    return pii.redact(docs, owner=OWNER).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
+    common.release(spark, OWNER)
     return mixing.mix(docs)
 
 
@@ -54,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{base}/{k}")
         if k:
             common.delete(spark, f"{base}/{k - 1}")
-    common.release(spark)
+    common.release(spark, OWNER)
     return docs
