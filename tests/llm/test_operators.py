@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -281,7 +282,48 @@ def test_alignment_makes_optional_and_repeated_groups():
     b = wrappers.stream("<div><ul><li>x</li><li>y</li><li>z</li></ul><h2>new</h2><p>two</p></div>")
     text = wrappers.pattern(wrappers.align(a, b))
     assert "(<li>#</li>)+" in text and "?" in text and "|" not in text
-    assert wrappers.align(b, b) == b
+    assert wrappers.pattern(wrappers.align(b, b)) == wrappers.pattern(b)
+
+
+BLOG = """<html><body><div class="top"><h1>Our blog</h1><p>Words about things</p></div><div class="meta-x"><p>{date}</p></div>
+<div class="entry"><h2>Story {k}</h2>{body}</div><div class="box"><ul>{links}</ul></div><div class="legal"><p>All rights belong to us, says the law of the land</p></div></body></html>"""
+
+
+def test_the_wrapper_and_not_the_tags_finds_the_article(make, monkeypatch):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["ba", "du", "ki", "lo"]) + str(rng.randrange(99)) for _ in range(n))
+    bodies = [[say(rng.randint(20, 60)) for _ in range(rng.randint(1, 6))] for _ in range(12)]
+    links = lambda: "".join(f'<li><a href="/{x}">{say(3)}</a></li>' for x in range(rng.randint(3, 6)))
+    pages = [(k, "http://blog.example/x", BLOG.format(k=k, date=f"day {k}", body="".join(f"<p>{x}</p>" for x in b), links=links())) for k, b in enumerate(bodies)]
+    docs = make("page_id long, url string, html string", pages)
+    p = wrappers.extract(docs).toPandas().set_index("page_id")
+    for k, b in enumerate(bodies):
+        assert p.text[k] == "\n".join([f"Story {k}", *b])
+    alone = wrappers.main_text(pages[0][2])  # without the other pages of the host, the constant heading cannot be told from the article
+    assert alone != p.text[0] and "Our blog" in alone
+
+
+def test_inline_hidden_and_broken_markup():
+    text = lambda inner: wrappers.main_text(f"<article><p>long enough to be an article {inner}</p></article>")
+    assert text('a <span class="ad">buy <b>now</b></span> b') == "long enough to be an article a b"
+    assert wrappers.main_text('<article><p>yes it is</p><p hidden>no</p><p style="color:red; display:none">no</p><p title="a hidden b">yes</p></article>') == "yes it is\nyes"
+    assert text('x <a href="a>b">y</a> z') == "long enough to be an article x y z"
+    began = time.time()
+    for broken in ("<a " * 300_000, '<a "' * 200_001, "<a '\"" * 100_000 + ">", "<p>x</p>" * 40_000, "<div>" * 30_000, "<!--" * 100_000):
+        wrappers.main_text(f"<p>{broken}")
+    assert time.time() - began < 60
+
+
+def test_a_long_page_leaves_the_others_alone(make):
+    rng = random.Random(4)
+    page = "<div><h2>Welcome</h2><p>content number {0}</p></div>"
+    pages = [(k, "http://l.example/", page.format(k)) for k in range(10)]
+    few = wrappers.extract(make("page_id long, url string, html string", pages)).toPandas().set_index("page_id")
+    mess = "".join(f"<{t}>m{j}</{t}>" for j, t in enumerate(rng.choices(["h2", "pre", "section", "address", "p"], k=700)))
+    more = wrappers.extract(make("page_id long, url string, html string", [*pages, (99, "http://l.example/", f"<div>{mess}</div>")])).toPandas().set_index("page_id")
+    for k in range(10):
+        assert few.text[k] == f"content number {k}" and f"content number {k}" in more.text[k]
+    assert more.text[99].count("\n") > 600
 
 
 # -- 6 jaccard join -------------------------------------------------------------------------------
