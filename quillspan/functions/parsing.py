@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 CONCEPTS = "array<struct<concept:string,key_terms:array<string>,source_span:string>>"
 
 
@@ -32,24 +34,65 @@ def unescape(c: Column) -> Column:
     return F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), c, F.lit('"]')), "array<string>"), 0), c)
 
 
+#: The three fields must follow each other in this order with these separators for the same triples to be
+#: found: a comma after the concept, and no quotation mark between the list of terms and the span.
+CONCEPT_FIELDS = r'(?s)"concept"\s*:\s*"((?:[^"\\]|\\.)*)"\s*,\s*"key_terms"\s*:\s*(\[[^\]]*\])[^"]*?"source_span"\s*:\s*"((?:[^"\\]|\\.)*)"'
+CONCEPTS = "array<struct<concept:string,key_terms:array<string>,source_span:string>>"
+
+
+def _kind(x: Column, path: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(x, path, "variant")), F.lit("NONE"))
+
+
 def lenient_concepts(c: Column) -> Column:
-    """Concepts found by their three fields, whatever punctuation lies between; unparsable key_terms drop the concept."""
-    p = r'(?s)"concept"\s*:\s*"((?:[^"\\]|\\.)*)".*?"key_terms"\s*:\s*(\[[^\]]*\]).*?"source_span"\s*:\s*"((?:[^"\\]|\\.)*)"'
-    parts = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(p), F.lit(g)).alias(n) for g, n in ((1, "concept"), (2, "terms"), (3, "span"))])
-    rows = F.transform(parts, lambda x: F.struct(unescape(x["concept"]).alias("concept"), F.from_json(x["terms"], "array<string>").alias("key_terms"), unescape(x["span"]).alias("source_span")))
-    return F.filter(rows, lambda x: x["key_terms"].isNotNull())
+    """Concepts found by their three fields in sequence, whatever brackets surround them; a list of terms that is no JSON list of texts drops the concept."""
+    parts = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(CONCEPT_FIELDS), F.lit(g)).alias(n) for g, n in ((1, "concept"), (2, "terms"), (3, "span"))])
+    terms = lambda x: F.when(_kind(F.try_parse_json(x["terms"]), "$").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.from_json(x["terms"], "array<string>"))
+    rows = F.transform(parts, lambda x: F.struct(unescape(x["concept"]).alias("concept"), terms(x).alias("key_terms"), unescape(x["span"]).alias("source_span")))
+    return F.filter(rows, lambda x: F.coalesce(F.forall(x["key_terms"], lambda t: t.isNotNull()), F.lit(False)))
 
 
 def schema_valid(c: Column) -> Column:
     """An array whose items all have a non-empty text concept, a list of texts key_terms and a non-empty text source_span."""
-    v = F.try_parse_json(c)
-    elements = F.try_variant_get(v, "$", "array<variant>")
-    kind = lambda x, path: F.coalesce(F.schema_of_variant(F.try_variant_get(x, path, "variant")), F.lit("NONE"))
-    text = lambda x, path: (kind(x, path) == "STRING") & (F.coalesce(F.try_variant_get(x, path, "string"), F.lit("")) != "")
-    good = F.forall(elements, lambda x: text(x, "$.concept") & kind(x, "$.key_terms").isin("ARRAY<STRING>", "ARRAY<VOID>") & text(x, "$.source_span"))
+    elements = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    text = lambda x, path: (_kind(x, path) == "STRING") & (F.coalesce(F.try_variant_get(x, path, "string"), F.lit("")) != "")
+    listed = lambda x: _kind(x, "$.key_terms").isin("ARRAY<STRING>", "ARRAY<VOID>") & F.coalesce(F.forall(F.try_variant_get(x, "$.key_terms", "array<string>"), lambda t: t.isNotNull()), F.lit(False))
+    good = F.forall(elements, lambda x: text(x, "$.concept") & listed(x) & text(x, "$.source_span"))
     return F.coalesce((F.substr(F.ltrim(c), F.lit(1), F.lit(1)) == "[") & good, F.lit(False))
 
 
+def array_text(raw: Column) -> Column:
+    """The reply without thoughts if it is JSON, else what stands from its first [ to its last ]."""
+    bare = strip(without_thoughts(raw))
+    return F.when(F.try_parse_json(bare).isNotNull(), bare).otherwise(F.regexp_extract(bare, r"(?s)\[.*\]", 0))
+
+
+def extraction(raw: Column, retry: Column) -> Column:
+    """struct(status, concepts) of a model's reply and of its one retry.
+
+    OK: the reply holds a sound array. OK_AFTER_LENIENT_EXTRACT: its fields do. OK_AFTER_REPAIR: the retry holds one or its
+    fields do. FAILED_AFTER_REPAIR: neither, and no concepts. A null retry is one that never came.
+    """
+
+    def read(c):
+        listed = F.when(schema_valid(array_text(c)), F.from_json(array_text(c), CONCEPTS))
+        found = lenient_concepts(c)
+        sound = F.forall(found, lambda x: (x["concept"] != "") & (x["source_span"] != ""))
+        return listed, F.when((F.size(found) > 0) & sound, found)
+
+    (a, b), (c, d) = read(raw), read(F.coalesce(retry, F.lit("")))
+    status = F.when(a.isNotNull(), "OK").when(b.isNotNull(), "OK_AFTER_LENIENT_EXTRACT").when(c.isNotNull() | d.isNotNull(), "OK_AFTER_REPAIR").otherwise("FAILED_AFTER_REPAIR")
+    return F.struct(status.alias("status"), F.coalesce(a, b, c, d, F.array().cast(CONCEPTS)).alias("concepts"))
+
+
+def card(c: Column) -> Column:
+    """struct(word_en, video_url, vimeo_id, thumb_path, has_video) of a listing's card; what is missing is null."""
+    take = lambda text, pattern: F.when(F.coalesce(text, F.lit("")).rlike(pattern), F.regexp_extract(text, pattern, 1))
+    title = strip(F.regexp_replace(take(c, r"(?s)field-title[\"']?>(.*?)</h5>"), "<[^>]+>", ""))
+    video = F.replace(take(c, r'href="(https://player\.vimeo\.com[^"]+)"'), F.lit("&amp;"), F.lit("&"))
+    return F.struct(title.alias("word_en"), video.alias("video_url"), take(video, r"/external/(\d+)\.").alias("vimeo_id"), take(c, r"data-thumb='([^']*)'").alias("thumb_path"), video.isNotNull().alias("has_video"))
+
+
 def repaired(c: Column) -> Column:
     """The first of: the text, with literal \\n as blanks, with parenthesised values quoted, that is a JSON array."""
     a = F.replace(c, F.lit("\\n"), F.lit(" "))

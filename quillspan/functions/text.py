@@ -110,9 +110,16 @@ def alignment_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z\\u0600-\\u06FF]", "")
 
 
+#: All canonical compositions of Arabic letters, base and mark to the one letter.
+ARABIC_COMPOSED = (("\u0627\u0653", "\u0622"), ("\u0627\u0654", "\u0623"), ("\u0648\u0654", "\u0624"), ("\u0627\u0655", "\u0625"), ("\u064A\u0654", "\u0626"), ("\u06D5\u0654", "\u06C0"), ("\u06C1\u0654", "\u06C2"), ("\u06D2\u0654", "\u06D3"))
+
+
 def letters(c: Column) -> Column:
-    """Letters to spell, in order: marks, spaces and direction marks gone, alif forms unified. Input is taken to be NFC."""
-    bare = F.regexp_replace(c, "[\\u064B-\\u0652\\u0670 \\u200E\\u200F]", "")
+    """Letters to spell, in order: marks, spaces and direction marks gone, letters composed (NFC), alif forms unified."""
+    bare = F.regexp_replace(strip(c), "[\\u064B-\\u0652\\u0670]", "")
+    for parts, whole in ARABIC_COMPOSED:
+        bare = F.replace(bare, F.lit(parts), F.lit(whole))
+    bare = F.regexp_replace(bare, "[ \\u200E\\u200F]", "")
     return F.filter(F.split(F.translate(bare, "أإآ", "ااا"), ""), lambda x: x != "")
 
 
@@ -153,8 +160,28 @@ def caption_ar(c: Column) -> Column:
     return F.when(c.rlike(AR_FULL), c).otherwise("[AR UNAVAILABLE]")
 
 
-def catalog_text(*parts: Column) -> Column:
-    return F.concat_ws(" | ", *[F.nullif(p, F.lit("")) for p in parts])
+def catalog_text(*parts: Column, prefix: str = "") -> Column:
+    """The non-empty parts, joined; models that tell queries from passages want their prefix in front."""
+    return F.concat(F.lit(prefix), F.concat_ws(" | ", *[F.nullif(p, F.lit("")) for p in parts]))
+
+
+def segment_stem(number: Column, label: Column) -> Column:
+    """Three digits, an underscore and the label."""
+    return F.format_string("%03d_%s", number, label)
+
+
+def utc_stamp(c: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two times, to two digits, half to even."""
+    return F.bround((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6, 2)
+
+
+def display_label(en: Column, ar: Column, ident: Column) -> Column:
+    """What a reason calls a row: its English label, else the Arabic one, else its id."""
+    return F.coalesce(F.nullif(en, F.lit("")), F.nullif(ar, F.lit("")), ident)
 
 
 def label(en: Column, ar: Column) -> Column:

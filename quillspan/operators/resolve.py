@@ -109,7 +109,8 @@ def resolve(items: DataFrame, catalog: DataFrame, aliases: DataFrame | None = No
     """One row per distinct item: status, match_method, catalog_id, word, information_loss, render_source, n_candidates, review_required.
 
     items: item, and optionally source_arabic. selector: item, selected_id. terminology: item, arabic_term (already gated).
-    alphabet: letter. supplementary: a catalog of its own whose rows count only if has_video.
+    alphabet: letter. supplementary: a catalog of its own; its first row of a label counts only if has_video (candidates
+    of that layer, and what supports a primary sign: episode.supplementary and episode.supporting).
     """
     d = items.select("item", (F.col("source_arabic") if "source_arabic" in items.columns else F.lit(False)).alias("source_arabic")).distinct()
     only = d.select("item")
@@ -142,7 +143,7 @@ def resolve(items: DataFrame, catalog: DataFrame, aliases: DataFrame | None = No
         out = out.withColumn("hit", F.coalesce("hit", F.when(good, F.struct(F.col("_chosen").alias("row"), F.lit("CANDIDATE_SELECTED").alias("method"), loss.alias("loss")))))
     out = out.withColumn("render_source", F.when(F.col("hit").isNotNull(), "PRIMARY"))
     if supplementary is not None:
-        extra_hit = exact(only, supplementary.where("has_video")).select("item", F.col("exact.row").alias("_s"))
+        extra_hit = exact(only, supplementary).where("exact.row.has_video").select("item", F.col("exact.row").alias("_s"))
         out = out.join(extra_hit, "item", "left")
         out = out.withColumn("render_source", F.coalesce("render_source", F.when(F.col("_s").isNotNull(), "SUPPLEMENTARY")))
         out = out.withColumn("hit", F.coalesce("hit", F.when(F.col("_s").isNotNull(), F.struct(F.col("_s").alias("row"), F.lit("SUPPLEMENTARY_EXACT").alias("method"), F.lit("FULL").alias("loss")))))

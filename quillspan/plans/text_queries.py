@@ -152,7 +152,18 @@ def _concepts():
     )
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 0 END::INT AS n_concepts, CASE event_id % 4 WHEN 0 THEN event_type END AS first_concept, CASE event_id % 4 WHEN 0 THEN 2 END::INT AS n_terms, CASE event_id % 4 WHEN 0 THEN 'u' || user_id END AS span FROM events""")
+_FIELDS = parsing.CONCEPT_FIELDS.replace("'", "''")
+_TEXTS = lambda j: f"coalesce(list_bool_and(list_transform(CAST({j} AS JSON[]), lambda y: json_type(y) = 'VARCHAR')), true)"
+
+
+def lenient_sql(c: str) -> str:
+    """The concepts of a text as a list of {c, t, s}."""
+    z = "list_zip(" + ", ".join(f"regexp_extract_all({c}, '{_FIELDS}', {g})" for g in (1, 2, 3)) + ")"
+    return f"list_transform(list_filter({z}, lambda x: CASE WHEN json_valid(x[2]) THEN {_TEXTS('x[2]')} ELSE false END), lambda x: {{'c': x[1], 't': CAST(x[2] AS VARCHAR[]), 's': x[3]}})"
+
+
+@query(f"""WITH r AS (SELECT event_id, {_CONCEPT_SQL} j FROM events), l AS (SELECT event_id, {lenient_sql("j")} l FROM r)
+SELECT event_id, CAST(len(l) AS INT) AS n_concepts, l[1].c AS first_concept, CAST(len(l[1].t) AS INT) AS n_terms, l[1].s AS span FROM l""")
 def json_lenient(spark, sf_dir):
     d = table(spark, sf_dir, "events").select("event_id", parsing.lenient_concepts(_concepts()).alias("c"))
     first = F.get("c", F.lit(0))
@@ -176,12 +187,12 @@ def url_category(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.category_of_path(u).alias("category"))
 
 
-@query("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents )
 SELECT doc_id, CAST(i - 1 AS INT) AS pos, '## ' || l[i] || chr(10) AS section FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) i FROM s) WHERE i < len(l)
 UNION ALL SELECT doc_id, CAST(len(l) - 1 AS INT), '## ' || l[len(l)] FROM s""")
 def section_split(spark, sf_dir):
     marked = F.concat(F.lit("intro\n## "), F.replace("text", F.lit("\n"), F.lit("\n## ")))
-    return table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.posexplode(parsing.sections(marked)).alias("pos", "section"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parsing.sections(marked)).alias("pos", "section"))
 
 
 @query("SELECT conv_id, turn, CAST(nullif(regexp_extract(text, '[1-4]'), '') AS INT) AS answer, CAST(length(text) // 60 AS VARCHAR) || ':' || lpad(CAST(length(text) % 60 AS VARCHAR), 2, '0') AS code FROM conversations")
