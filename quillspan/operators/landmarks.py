@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import motion
-from .series import TWO_PI, after, before
+from .series import TWO_PI, after, before, scan_runs
 
 RIGID_HOLD, REFERENCE = 16, 9
 
@@ -54,45 +50,14 @@ def blend(prev, cur, alpha: float):
     return cur
 
 
-def scan(s: DataFrame, columns: list[str], out: str, start: Callable, step: Callable, key: str = "key") -> DataFrame:
-    """key, i and the column(s) of the DDL `out`: a state carried along the rows of each run without nulls in columns[0].
-
-    Runs are dealt, sorted and read as a stream, so a task holds one state and a batch of rows, however long a key is.
-    step(state, values) gives (state, row of out).
-    """
-    run = F.count_if(F.col(columns[0]).isNull()).over(W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    d = s.select(key, "i", *columns).withColumn("_run", run).where(F.col(columns[0]).isNotNull()).repartition(key, "_run").sortWithinPartitions(key, "_run", "i")
-    names = [f.name for f in T.StructType.fromDDL(out)]
-
-    def rows(it):
-        open_, state = None, None
-        for batch in it:
-            done = []
-            for r in batch.to_pylist():
-                if (r[key], r["_run"]) != open_:
-                    open_, state = (r[key], r["_run"]), start()
-                state, y = step(state, [r[c] for c in columns])
-                done.append({key: r[key], "i": r["i"], **dict(zip(names, y, strict=True))})
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=arrow)
-
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType([s.schema[key], s.schema["i"], *T.StructType.fromDDL(out).fields])
-    arrow = to_arrow_schema(schema)
-    return s.select(key, "i").join(d.mapInArrow(rows, schema), [key, "i"], "left")
-
-
 def nested_ema(s: DataFrame, column: str, alpha: float, key: str = "key") -> DataFrame:
     """key, i, y: the exponential average of every number in a nested value; a null starts it anew."""
-    kind = s.schema[column].dataType.simpleString()
 
-    def step(state, values):
-        y = values[0] if state is None else blend(state, values[0], alpha)
-        return y, (y,)
+    def step(state, value):
+        y = value if state is None else blend(state, value, alpha)
+        return y, y
 
-    return scan(s, [column], f"y {kind}", lambda: None, step, key)
+    return scan_runs(s, column, s.schema[column].dataType.simpleString(), lambda: None, step, key)
 
 
 def to_anchor(d: DataFrame, group: str, x: str, y: str, width: str) -> DataFrame:

@@ -53,6 +53,17 @@ def locale_join(left: DataFrame, right: DataFrame, key: str, title: str) -> Data
     return l.unionByName(only)
 
 
+def locale_counts(joined: DataFrame) -> DataFrame:
+    """What locale_join() found, in one row: rows of either side and rows of each bucket."""
+    of = lambda *names: F.count_if(F.col("bucket").isin(*names))
+    return joined.agg(of("matched", "empty_title", "missing").alias("left_rows"), of("matched", "empty_title", "right_only").alias("right_rows"), *[of(n).alias(n) for n in ("matched", "missing", "empty_title", "right_only")])
+
+
+def comparison(classes: DataFrame, bucket: str, kind: str) -> DataFrame:
+    """n per bucket and class, per bucket (class null) and in all (both null): the headline figures of a comparison."""
+    return classes.rollup(bucket, kind).agg(F.count(F.lit(1)).alias("n"))
+
+
 def accuracy(d: DataFrame, model: str, category: str, right: Column, parsed: Column) -> DataFrame:
     """Accuracy and parse rate per model and category and per model (category null)."""
     g = d.rollup(model, category).agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("correct"), F.count_if(parsed).alias("parsed"), F.grouping_id().alias("gid")).where("gid < 3")

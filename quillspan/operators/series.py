@@ -1,16 +1,19 @@
-"""Per-entity sequences: windows where a frame says it, folds over runs where state is carried. Null means not detected.
+"""Per-entity sequences: windows where a frame says it, sorted streams with one state where state is carried. Null means not detected.
 
 Input columns: key, i (position, from 0 without gaps) and x (nullable double), or the names given. Smoothing resets at every
-null, so a fold never sees more than one run without nulls.
+null, so runs without nulls are dealt apart.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TWO_PI = 2 * math.pi
 HOLD = 8
@@ -30,49 +33,79 @@ def after(c: Column, key="key") -> Column:
     return F.first(c, ignorenulls=True).over(_order(key).rowsBetween(1, W.unboundedFollowing))
 
 
-def runs(s: DataFrame, key="key") -> DataFrame:
-    """key, run, xs: the values of each run without nulls, in order, as array of struct(i, x)."""
-    run = F.sum(F.col("x").isNull().cast("int")).over(_order(key).rowsBetween(W.unboundedPreceding, 0))
-    d = s.withColumn("run", run).where("x is not null")
-    return d.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs"))
+def scan(d: DataFrame, by: list[str], order: list[str], out: str, start: Callable, step: Callable) -> DataFrame:
+    """The by columns and the columns of the DDL `out`: a state carried along the rows of each group, in order.
+
+    step(state, row) gives (state, values of out) or (state, None) for no row. Groups are dealt, sorted and read as a
+    stream, so a task holds one state and a batch of rows, however long a group is.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = T.StructType.fromDDL(out).fields
+    schema = T.StructType([*[d.schema[c] for c in by], *fields])
+    arrow, names = to_arrow_schema(schema), [f.name for f in fields]
+
+    def rows(it):
+        open_, state = None, None
+        for batch in it:
+            done = []
+            for r in batch.to_pylist():
+                key = [r[c] for c in by]
+                if key != open_:
+                    open_, state = key, start()
+                state, y = step(state, r)
+                if y is not None:
+                    done.append(dict(zip(by, key, strict=True)) | dict(zip(names, y, strict=True)))
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=arrow)
+
+    return d.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(rows, schema)
+
+
+def scan_runs(s: DataFrame, value: str, kind: str, start: Callable, step: Callable, key: str = "key") -> DataFrame:
+    """key, i, y (of type kind): scan() over the runs without nulls of a value; where it is null, y is null."""
+    run = F.count_if(F.col("_v").isNull()).over(_order(key).rowsBetween(W.unboundedPreceding, 0))
+    d = s.select(key, "i", F.col(value).alias("_v")).withColumn("_run", run)
+    at = s.schema["i"].dataType.simpleString()
 
+    def one(state, r):
+        state, y = step(state, r["_v"])
+        return state, (r["i"], y)
 
-def _fold(s: DataFrame, state: Column, step, y, key: str) -> DataFrame:
-    out = F.aggregate("xs", state, step)["out"]
-    d = runs(s, key).select(key, F.explode(F.arrays_zip(F.col("xs.i").alias("i"), out.alias("y"))).alias("z")).select(key, "z.i", "z.y")
-    return s.select(key, "i").join(d, [key, "i"], "left")
+    found = scan(d.where("_v is not null"), [key, "_run"], ["i"], f"i {at}, y {kind}", start, one).select(key, "i", "y")
+    return found.unionByName(d.where("_v is null").select(key, "i", F.lit(None).cast(kind).alias("y")))
 
 
 def ema(s: DataFrame, alpha: float = 0.25, key="key") -> DataFrame:
     """Exponential average that starts anew after a null."""
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<double>").alias("out"))
 
-    def step(a, p):
-        y = F.when(a["y"].isNull(), p["x"]).otherwise(a["y"] * (1 - alpha) + p["x"] * alpha)
-        return F.struct(y.alias("y"), F.concat(a["out"], F.array(y)).alias("out"))
+    def step(y, x):
+        y = x if y is None else y * (1 - alpha) + x * alpha
+        return y, y
 
-    return _fold(s, start, step, None, key)
+    return scan_runs(s, "x", "double", lambda: None, step, key)
 
 
-def _alpha(cutoff: Column, dt: float) -> Column:
-    return 1.0 / (1.0 + (1.0 / (F.lit(TWO_PI) * cutoff)) / dt)
+def _alpha(cutoff: float, dt: float) -> float:
+    return 1.0 / (1.0 + (1.0 / (TWO_PI * cutoff)) / dt)
 
 
 def one_euro(s: DataFrame, fps: float = 25.0, min_cutoff: float = 1.0, beta: float = 0.3, d_cutoff: float = 1.0, key="key") -> DataFrame:
     """Speed-adaptive low-pass filter; state is the last raw value, the filtered value and the filtered speed."""
     dt = 1.0 / fps
-    double = lambda n: F.lit(None).cast("double").alias(n)
-    start = F.struct(double("x"), double("s"), double("d"), F.array().cast("array<double>").alias("out"))
+    steady = _alpha(d_cutoff, dt)
 
-    def step(a, p):
-        speed = F.when(a["x"].isNull(), 0.0).otherwise((p["x"] - a["x"]) / dt)
-        ad = _alpha(F.lit(d_cutoff), dt)
-        d = F.when(a["x"].isNull(), speed).otherwise(ad * speed + (1 - ad) * a["d"])
-        al = _alpha(min_cutoff + beta * F.abs(d), dt)
-        y = F.when(a["x"].isNull(), p["x"]).otherwise(al * p["x"] + (1 - al) * a["s"])
-        return F.struct(p["x"].alias("x"), y.alias("s"), d.alias("d"), F.concat(a["out"], F.array(y)).alias("out"))
+    def step(state, x):
+        if state is None:
+            return (x, x, 0.0), x
+        last, y, d = state
+        d = steady * ((x - last) / dt) + (1 - steady) * d
+        a = _alpha(min_cutoff + beta * abs(d), dt)
+        y = a * x + (1 - a) * y
+        return (x, y, d), y
 
-    return _fold(s, start, step, None, key)
+    return scan_runs(s, "x", "double", lambda: None, step, key)
 
 
 def denoise(s: DataFrame, min_run: int = 4, min_gap: int = 8, key="key") -> DataFrame:
@@ -151,18 +184,16 @@ def active_window(s: DataFrame, hit: Column, pad: int = 6, fps: float = 25.0, ke
 
 
 def state_changes(s: DataFrame, step_s: float = 0.1, threshold: float = 12.0, min_state: float = 0.6, shortest: float = 0.35, key="key") -> DataFrame:
-    """Segments between debounced jumps of x; only the boundaries are kept while folding."""
+    """Segments between debounced jumps of x."""
     jump = F.abs(F.col("x") - F.lag("x").over(_order(key)))
-    d = s.withColumn("t", F.col("i") * step_s).withColumn("jump", jump)
-    per = d.groupBy(key).agg(F.array_sort(F.collect_list(F.when((F.col("i") > 0) & (F.col("jump") > threshold), F.col("t")))).alias("ts"), (F.count(F.lit(1)) * step_s).alias("duration"))
-    fold = F.aggregate(
-        "ts",
-        F.struct(F.lit(0.0).alias("last"), F.array(F.lit(0.0)).alias("b")),
-        lambda a, t: F.when(t - a["last"] >= min_state, F.struct(t.alias("last"), F.concat(a["b"], F.array(t)).alias("b"))).otherwise(a),
-    )["b"]
-    b = per.select(key, F.concat(fold, F.array("duration")).alias("b"))
-    seg = b.select(key, F.explode(F.transform(F.slice("b", F.lit(1), F.size("b") - 1), lambda v, i: F.struct(v.alias("s"), F.get("b", i + 1).alias("e")))).alias("z")).select(key, "z.*")
-    return seg.where(F.col("e") - F.col("s") >= shortest)
+    jumps = s.withColumn("t", F.col("i") * step_s).withColumn("jump", jump).where((F.col("i") > 0) & (F.col("jump") > threshold)).select(key, "t")
+
+    def step(last, r):
+        return (r["t"], (r["t"],)) if r["t"] - last >= min_state else (last, None)
+
+    ends = s.groupBy(key).agg((F.count(F.lit(1)) * step_s).alias("duration")).select(key, F.explode(F.array(F.lit(0.0), "duration")).alias("s"))
+    b = scan(jumps, [key], ["t"], "s double", lambda: 0.0, step).unionByName(ends)
+    return b.withColumn("e", F.lead("s").over(W.partitionBy(key).orderBy("s"))).where(F.col("e") - F.col("s") >= shortest)
 
 
 def unit_seconds(n: Column, clip: str = "2.27", overlap: str = "0.16") -> Column:
@@ -173,16 +204,20 @@ def unit_seconds(n: Column, clip: str = "2.27", overlap: str = "0.16") -> Column
 
 def duration_plan(units: DataFrame, budget: str, key="key") -> DataFrame:
     """included per unit: the first always, later ones if they still fit; one dropped does not end the plan."""
-    limit = F.lit(budget).cast("decimal(18,2)")
-    per = units.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "dur"))).alias("u"))
-    start = F.struct(F.lit(0).cast("decimal(18,2)").alias("run"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out"))
+    limit = Decimal(budget)
+
+    def step(state, r):
+        run, first = state
+        ok = first or run + r["dur"] <= limit
+        return (run + r["dur"] if ok else run, False), (r["i"], r["dur"], ok)
+
+    kinds = {c: units.schema[c].dataType.simpleString() for c in ("i", "dur")}
+    return scan(units.select(key, "i", "dur"), [key], ["i"], f"i {kinds['i']}, dur {kinds['dur']}, included boolean", lambda: (Decimal(0), True), step)
 
-    def step(a, p):
-        ok = (a["n"] == 0) | (a["run"] + p["dur"] <= limit)
-        return F.struct(F.when(ok, a["run"] + p["dur"]).otherwise(a["run"]).cast("decimal(18,2)").alias("run"), (a["n"] + 1).alias("n"), F.concat(a["out"], F.array(ok)).alias("out"))
 
-    got = F.aggregate("u", start, step)["out"]
-    return per.select(key, F.explode(F.arrays_zip(F.col("u.i").alias("i"), F.col("u.dur").alias("dur"), got.alias("included"))).alias("z")).select(key, "z.*")
+def selected_then_dropped(plan: DataFrame, key="key") -> DataFrame:
+    """plan with its new position: the included units in order, then the others in order."""
+    return plan.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("included"), "i")) - 1)
 
 
 def crossfade_offsets(s: DataFrame, overlap: str = "0.16", key="key") -> DataFrame:
@@ -213,21 +248,30 @@ def run_length(s: DataFrame, value: str, key="key") -> DataFrame:
 
 
 def align_labels(samples: DataFrame, labels: DataFrame, key="key") -> DataFrame:
-    """key, t, label: per sample in order the first label, at or after the current one, that its text contains.
+    """key, i, pos: per sample in order the first label, at or after the current one, that its text contains.
 
-    samples: key, i, text; labels: key, pos, label. The current label moves forward only.
+    samples: key, i, text; labels: key, pos, label. The current label moves forward only. A task holds the labels of one
+    key, which come before its samples; keys without labels give no rows.
     """
-    l = labels.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("ls"))
-    s = samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("ss")).join(l, key)
-    start = F.struct(F.lit(0).alias("cur"), F.array().cast("array<int>").alias("out"))
+    l = labels.select(key, F.lit(0).alias("_k"), F.col("pos").cast("long").alias("_at"), F.col("label").alias("_text"))
+    s = samples.select(key, F.lit(1).alias("_k"), F.col("i").cast("long").alias("_at"), F.col("text").alias("_text"))
+    at = samples.schema["i"].dataType.simpleString()
 
-    def step(a, p):
-        fits = F.filter(F.col("ls"), lambda x: (x["pos"] >= a["cur"]) & (x["label"] != "") & F.contains(p["text"], x["label"]))
-        hit = F.get(fits, F.lit(0))["pos"].cast("int")
-        return F.struct(F.coalesce(hit, a["cur"]).alias("cur"), F.concat(a["out"], F.array(hit)).alias("out"))
+    def step(state, r):
+        known, current = state
+        if r["_k"] == 0:
+            known.append((r["_at"], r["_text"]))
+            return (known, current), None
+        hit = next((p for p, t in known if p >= current and t and t in r["_text"]), None) if r["_text"] is not None else None
+        return (known, current if hit is None else hit), (r["_at"], hit) if known else None
 
-    got = F.aggregate("ss", start, step)["out"]
-    return s.select(key, F.explode(F.arrays_zip(F.col("ss.i").alias("i"), got.alias("pos"))).alias("z")).select(key, "z.i", "z.pos")
+    return scan(l.unionByName(s), [key], ["_k", "_at"], f"i {at}, pos int", lambda: ([], 0), step)
+
+
+def label_intervals(aligned: DataFrame, step_s: float, key="key") -> DataFrame:
+    """key, pos, start_s, end_s: first and last time at which each label was matched."""
+    t = F.bround(F.col("i") * step_s, 1)
+    return aligned.where("pos is not null").groupBy(key, "pos").agg(F.min(t).alias("start_s"), F.max(t).alias("end_s"))
 
 
 def interval_gate(items: DataFrame, key="key") -> DataFrame:
@@ -240,3 +284,8 @@ def interval_gate(items: DataFrame, key="key") -> DataFrame:
     good = F.col("mono") & F.col("sane") & (F.col("starts") == F.col("n_matched"))
     verdict = F.when(F.col("n_matched") == 0, "REJECT").when(good & (F.col("n_matched") == F.col("n_expected")), "AUTO_ACCEPT").when(~good, "REJECT").otherwise("REVIEW_REQUIRED")
     return n.select(key, "n_expected", "n_matched", verdict.alias("verdict"))
+
+
+def gate_summary(verdicts: DataFrame, key="key") -> DataFrame:
+    """verdict, n, members (struct of key, n_expected, n_matched, by key)."""
+    return verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(key, "n_expected", "n_matched"))).alias("members"))

@@ -92,10 +92,15 @@ def clusters(pairs: DataFrame, most: int = 60) -> DataFrame:
     Each round is cut off by checkpoint() in the shared folder the session names.
     """
     spark = pairs.sparkSession
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="quillspan-")  # one machine only
+        spark.sparkContext.setCheckpointDir(named)
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("l")).checkpoint()
     for _ in range(most):
@@ -109,6 +114,18 @@ def clusters(pairs: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("no clusters")
 
 
+def cluster_summary(ids: DataFrame, clusters_: DataFrame) -> DataFrame:
+    """cluster, size, members (sorted), name of every cluster: CLUSTER_1 is the largest (of equal ones that with the smallest
+    member), an id in none is SINGLETON_id. ids: vec_id, all of them."""
+    d = ids.join(clusters_, "vec_id", "left").select("vec_id", F.coalesce("cluster", "vec_id").alias("cluster"))
+    g = d.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("vec_id")).alias("members"))
+    from .series import global_number
+
+    big = global_number(g.where("size > 1").withColumn("_s", -F.col("size")), "_s", "cluster", name="_n").drop("_s")
+    named = big.withColumn("name", F.concat(F.lit("CLUSTER_"), (F.col("_n") + 1).cast("string"))).drop("_n")
+    return named.unionByName(g.where("size = 1").withColumn("name", F.concat(F.lit("SINGLETON_"), F.col("cluster").cast("string"))))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     u = F.size(F.array_union(a, b))
     return F.when(u == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / u)
@@ -158,7 +175,7 @@ def bleu4(reference: list, candidate: list) -> float:
 
 
 def sequence_scores(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """key, rouge_l, bleu: order-aware scores of array columns a (reference) and b (candidate), which SQL cannot say."""
+    """key, rouge_l, bleu: order-aware scores of array columns a (reference) and b (candidate)."""
     schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in key)
 
     def run(it):

@@ -67,9 +67,22 @@ _STOP = sql_list(p.VARIANT_STOP)
 k AS (SELECT *, list_filter(regexp_extract_all(lower(e), '[a-z'']+'), lambda x: x NOT IN ({_STOP})) te, list_filter(regexp_extract_all(lower(c || ' steel ring'), '[a-z'']+'), lambda x: x NOT IN ({_STOP})) tc FROM t)
 SELECT p_partkey, CASE WHEN regexp_matches(e, '(?i)^(my|your|his|her|our|their)\\s+\\w+') THEN 'MULTI_CONCEPT' WHEN len(te) = 0 OR len(tc) = 0 THEN 'SUPPLEMENTARY_ONLY' WHEN list_has_any(te, tc) THEN 'PLAUSIBLE_VARIANT' ELSE 'SUPPLEMENTARY_ONLY' END AS variant FROM k""")
 def classify_variant(spark, sf_dir):
+    return _variants(spark, sf_dir).select("p_partkey", "variant")
+
+
+def _variants(spark, sf_dir):
     k, n = F.col("p_partkey") % 3, F.col("p_name")
     e = F.when(k == 0, F.concat(F.lit("My "), n)).when(k == 1, "the").otherwise(n)
-    return table(spark, sf_dir, "part").select("p_partkey", p.variant(e, F.concat("p_type", F.lit(" steel ring"))).alias("variant"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", p.variant(e, F.concat("p_type", F.lit(" steel ring"))).alias("variant"))
+
+
+@query(f"""WITH t AS (SELECT p_brand, CASE p_partkey % 3 WHEN 0 THEN 'My ' || p_name WHEN 1 THEN 'the' ELSE p_name END e, p_type c FROM part),
+k AS (SELECT *, list_filter(regexp_extract_all(lower(e), '[a-z'']+'), lambda x: x NOT IN ({_STOP})) te, list_filter(regexp_extract_all(lower(c || ' steel ring'), '[a-z'']+'), lambda x: x NOT IN ({_STOP})) tc FROM t)
+SELECT p_brand, CASE WHEN regexp_matches(e, '(?i)^(my|your|his|her|our|their)\\s+\\w+') THEN 'MULTI_CONCEPT' WHEN len(te) = 0 OR len(tc) = 0 THEN 'SUPPLEMENTARY_ONLY' WHEN list_has_any(te, tc) THEN 'PLAUSIBLE_VARIANT' ELSE 'SUPPLEMENTARY_ONLY' END AS variant, count(*) AS n FROM k GROUP BY ROLLUP (1, 2)""")
+def comparison_counts(spark, sf_dir):
+    from ..operators.reports import comparison
+
+    return comparison(_variants(spark, sf_dir), "p_brand", "variant")
 
 
 @query("""SELECT page_id, CASE WHEN lang NOT IN ('auto', 'en', 'ar') THEN 'bad language' WHEN dur NOT BETWEEN 10 AND 180 THEN 'bad duration' WHEN NOT regexp_matches(lower(f), '\\.(md|txt)$') THEN 'bad extension' WHEN sz > 2097152 THEN 'too large' END AS error_code

@@ -38,12 +38,23 @@ def label_integrity(spark, sf_dir):
     return r.integrity(d, "shared", "p_name")
 
 
-@query("""WITH l AS (SELECT DISTINCT o_custkey k FROM orders), x AS (SELECT c_custkey k, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END t FROM customer WHERE c_custkey % 5 <> 0)
+@query("""WITH l AS (SELECT DISTINCT o_custkey k FROM orders), x AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END k, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END t FROM customer)
 SELECT l.k, CASE WHEN x.k IS NULL THEN 'missing' WHEN coalesce(t, '') = '' THEN 'empty_title' ELSE 'matched' END AS bucket FROM l LEFT JOIN x USING (k) UNION ALL SELECT k, 'right_only' FROM x WHERE k NOT IN (SELECT k FROM l)""")
 def locale_join(spark, sf_dir):
     l = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    x = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_name")).alias("t"))
-    return r.locale_join(l, x, "k", "t")
+    return r.locale_join(l, _titles(spark, sf_dir), "k", "t")
+
+
+def _titles(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(F.when(k % 5 == 0, -k).otherwise(k).alias("k"), F.when(k % 7 == 0, "").otherwise(F.col("c_name")).alias("t"))
+
+
+@query("""WITH l AS (SELECT DISTINCT o_custkey k FROM orders), x AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END k, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END t FROM customer)
+SELECT count(l.k) AS left_rows, count(x.k) AS right_rows, count(*) FILTER (WHERE l.k IS NOT NULL AND coalesce(t, '') <> '') AS matched, count(*) FILTER (WHERE l.k IS NOT NULL AND x.k IS NULL) AS missing, count(*) FILTER (WHERE l.k IS NOT NULL AND t = '') AS empty_title, count(*) FILTER (WHERE l.k IS NULL) AS right_only FROM l FULL JOIN x USING (k)""")
+def locale_counts(spark, sf_dir):
+    l = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    return r.locale_counts(r.locale_join(l, _titles(spark, sf_dir), "k", "t"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, o_orderstatus AS status, p_name AS asset, s_name AS source, n_name AS origin, CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'O' THEN 'REVIEW_REQUIRED' ELSE 'UNRESOLVED' END AS verification
@@ -101,9 +112,28 @@ def rouge1(spark, sf_dir):
     return v.rouge1(_pairs(spark, sf_dir), ["conv_id", "turn"], "a", "b")
 
 
-@query()
+_GRAMS = lambda c, n: f"list_transform(range(1, greatest(1, len({c}) - {n - 2})), lambda i: array_to_string(list_slice({c}, i, i + {n - 1}), ' '))"
+_BLEU = "".join(
+    f", g{n} AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(c{n}), lambda g: least(len(list_filter(c{n}, lambda z: z = g)), len(list_filter(r{n}, lambda z: z = g))))), 0)::DOUBLE h{n}, greatest(1, len(b) - {n - 1})::DOUBLE t{n} FROM (SELECT *, {_GRAMS('a', n)} r{n}, {_GRAMS('b', n)} c{n} FROM {f'g{n - 1}' if n > 1 else 'q'}))"
+    for n in range(1, 5)
+)
+
+
+def _hit(n: int) -> str:
+    zeros = " + ".join([*(f"CAST(h{k} = 0 AS INT)" for k in range(1, n)), "1"])
+    return f"ln(CASE WHEN h{n} = 0 THEN 1 / (2 ** ({zeros}) * 5 / ln(len(b))) ELSE h{n} END / t{n})"
+
+
+# the longest common subsequence row by row (one recursion step for each word of a), and BLEU-4 over lists of n-grams
+@query(f"""WITH RECURSIVE {_PAIRS}, q AS (SELECT conv_id, turn, a, b FROM p WHERE b IS NOT NULL){_BLEU},
+l AS (SELECT conv_id, turn, 0 k, list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT) w FROM q UNION ALL
+SELECT q.conv_id, q.turn, l.k + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(b) + 1), lambda j: [j])), lambda x, j: list_append(x, CASE WHEN a[l.k + 1] = b[j[1]] THEN l.w[j[1]] + 1 ELSE greatest(l.w[j[1] + 1], x[j[1]]) END)) FROM l JOIN q ON q.conv_id = l.conv_id AND q.turn = l.turn WHERE l.k < len(a)),
+f AS (SELECT l.conv_id, l.turn, l.w[len(b) + 1] n FROM l JOIN q ON q.conv_id = l.conv_id AND q.turn = l.turn AND l.k = len(a))
+SELECT g4.conv_id, g4.turn, CASE WHEN len(a) + len(b) > 0 THEN floor(2.0::DOUBLE * n / (len(a) + len(b)) * 1e6 + 0.5::DOUBLE) / 1e6 ELSE 0.0::DOUBLE END AS rouge_l,
+CASE WHEN len(b) < 2 THEN 0.0::DOUBLE ELSE floor(exp(least(0.0::DOUBLE, 1 - len(a)::DOUBLE / len(b)) + 0.25::DOUBLE * {" + 0.25::DOUBLE * ".join(map(_hit, range(1, 5)))}) * 1e6 + 0.5::DOUBLE) / 1e6 END AS bleu FROM g4 JOIN f ON f.conv_id = g4.conv_id AND f.turn = g4.turn""")
 def sequence_scores(spark, sf_dir):
-    return v.sequence_scores(_pairs(spark, sf_dir), ["conv_id", "turn"], "a", "b")
+    d = v.sequence_scores(_pairs(spark, sf_dir), ["conv_id", "turn"], "a", "b")
+    return d.select("conv_id", "turn", rounded(F.col("rouge_l")).alias("rouge_l"), rounded(F.col("bleu")).alias("bleu"))
 
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
@@ -132,6 +162,15 @@ def clusters(spark, sf_dir):
     return v.clusters(v.similar_pairs(_vectors(spark, sf_dir), 0.35))
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT q.vec_id a, e.vec_id b FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE {_COS} >= 0.35), r AS (SELECT DISTINCT a v, a l FROM p UNION SELECT p.b, r.l FROM r JOIN p ON p.a = r.v WHERE r.l < p.b), c AS (SELECT v, min(l) l FROM r GROUP BY v),
+g AS (SELECT coalesce(l, vec_id) AS cluster, count(*) AS size, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS members FROM embeddings LEFT JOIN c ON v = vec_id GROUP BY 1)
+SELECT cluster, size, members, CASE WHEN size > 1 THEN 'CLUSTER_' || CAST(1 + (SELECT count(*) FROM g h WHERE h.size > 1 AND (h.size > g.size OR h.size = g.size AND h.cluster < g.cluster)) AS VARCHAR) ELSE 'SINGLETON_' || CAST(cluster AS VARCHAR) END AS name FROM g""")
+def cluster_summary(spark, sf_dir):
+    x = _vectors(spark, sf_dir)
+    d = v.cluster_summary(x.select("vec_id"), v.clusters(v.similar_pairs(x, 0.35)))
+    return d.select("cluster", "size", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "name")
+
+
 @query(f"""WITH s AS (SELECT q.vec_id query_id, q.label ql, e.label el, e.vec_id, {_COS} c FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) rank FROM s),
 h AS (SELECT query_id, max(CASE WHEN rank = 1 AND ql = el THEN 1 ELSE 0 END) h1, max(CASE WHEN rank <= 5 AND ql = el THEN 1 ELSE 0 END) h5 FROM k GROUP BY 1)
 SELECT count(*) AS n, floor(sum(h1) * 1000.0::DOUBLE / count(*) + 0.5::DOUBLE) / 1000.0::DOUBLE AS recall_1, floor(sum(h5) * 1000.0::DOUBLE / count(*) + 0.5::DOUBLE) / 1000.0::DOUBLE AS recall_5 FROM h""")

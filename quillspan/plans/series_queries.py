@@ -172,13 +172,41 @@ def align_labels(spark, sf_dir):
     return s.align_labels(e, e.select(KEY).distinct().crossJoin(F.broadcast(l)), key=KEY)
 
 
-_G = f"""{_S}, w AS (SELECT user_id, event_type, min(i) a, max(i) b FROM s WHERE i < 12 GROUP BY ALL), it AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS INT) pos, CASE WHEN b > a THEN a::DOUBLE END start_s, CASE WHEN b > a THEN b::DOUBLE END end_s FROM w)"""
+# a clip is twelve events of a user in a row
+_G = f"""{_S}, w AS (SELECT user_id * 1000 + i // 12 AS clip, event_type, min(i) a, max(i) b FROM s GROUP BY ALL), it AS (SELECT clip, CAST(row_number() OVER (PARTITION BY clip ORDER BY event_type) - 1 AS INT) pos, CASE WHEN b > a OR clip % 3 = 0 THEN a::DOUBLE END start_s, CASE WHEN b > a THEN b::DOUBLE WHEN clip % 3 = 0 THEN a + 0.5::DOUBLE END end_s FROM w)"""
 
 
-@query(f"""WITH {_G}, m AS (SELECT *, lead(start_s) OVER (PARTITION BY user_id ORDER BY pos) nx FROM it WHERE start_s IS NOT NULL), p AS (SELECT user_id, count(*) n_matched, bool_and(nx IS NULL OR start_s <= nx) mono, bool_and(coalesce(end_s >= start_s, false) AND (nx IS NULL OR coalesce(end_s <= nx + 0.01::DOUBLE, false))) sane, count(DISTINCT start_s) st FROM m GROUP BY 1), n AS (SELECT user_id, count(*) n_expected FROM it GROUP BY 1)
-SELECT user_id, n_expected, coalesce(n_matched, 0) AS n_matched, CASE WHEN coalesce(n_matched, 0) = 0 THEN 'REJECT' WHEN mono AND sane AND st = n_matched AND n_matched = n_expected THEN 'AUTO_ACCEPT' WHEN NOT (mono AND sane AND st = n_matched) THEN 'REJECT' ELSE 'REVIEW_REQUIRED' END AS verdict FROM n LEFT JOIN p USING (user_id)""")
+_GATE = f"""WITH {_G}, m AS (SELECT *, lead(start_s) OVER (PARTITION BY clip ORDER BY pos) nx FROM it WHERE start_s IS NOT NULL), p AS (SELECT clip, count(*) n_matched, bool_and(nx IS NULL OR start_s <= nx) mono, bool_and(coalesce(end_s >= start_s, false) AND (nx IS NULL OR coalesce(end_s <= nx + 0.01::DOUBLE, false))) sane, count(DISTINCT start_s) st FROM m GROUP BY 1), n AS (SELECT clip, count(*) n_expected FROM it GROUP BY 1)
+SELECT clip, n_expected, coalesce(n_matched, 0) AS n_matched, CASE WHEN coalesce(n_matched, 0) = 0 THEN 'REJECT' WHEN mono AND sane AND st = n_matched AND n_matched = n_expected THEN 'AUTO_ACCEPT' WHEN NOT (mono AND sane AND st = n_matched) THEN 'REJECT' ELSE 'REVIEW_REQUIRED' END AS verdict FROM n LEFT JOIN p USING (clip)"""
+
+
+@query(_GATE)
 def interval_gate(spark, sf_dir):
-    e = events(spark, sf_dir).where("i < 12").groupBy(KEY, "event_type").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    some = F.col("b") > F.col("a")
-    it = e.select(KEY, (F.row_number().over(W.partitionBy(KEY).orderBy("event_type")) - 1).alias("pos"), F.when(some, F.col("a").cast("double")).alias("start_s"), F.when(some, F.col("b").cast("double")).alias("end_s"))
-    return s.interval_gate(it, key=KEY)
+    return s.interval_gate(_clips(spark, sf_dir), key="clip")
+
+
+def _clips(spark, sf_dir):
+    clip = (F.col(KEY) * 1000 + F.floor(F.col("i") / 12)).alias("clip")
+    e = events(spark, sf_dir).groupBy(clip, "event_type").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    some, third = F.col("b") > F.col("a"), F.col("clip") % 3 == 0
+    return e.select("clip", (F.row_number().over(W.partitionBy("clip").orderBy("event_type")) - 1).alias("pos"), F.when(some | third, F.col("a").cast("double")).alias("start_s"), F.when(some, F.col("b").cast("double")).when(third, F.col("a") + 0.5).alias("end_s"))
+
+
+@query(f"SELECT verdict, count(*) AS n, string_agg(clip || ':' || n_matched || '/' || n_expected, ',' ORDER BY clip) AS members FROM ({_GATE}) GROUP BY 1")
+def gate_summary(spark, sf_dir):
+    d = s.gate_summary(s.interval_gate(_clips(spark, sf_dir), key="clip"), key="clip")
+    line = F.transform("members", lambda m: F.concat(m["clip"].cast("string"), F.lit(":"), m["n_matched"].cast("string"), F.lit("/"), m["n_expected"].cast("string")))
+    return d.select("verdict", "n", F.array_join(line, ",").alias("members"))
+
+
+@query(f"""WITH RECURSIVE {_S}, {_L}, r AS (SELECT user_id, -1 i, 0 cur, NULL::INT pos FROM s WHERE i = 0 UNION ALL SELECT user_id, i, coalesce(p, cur), p FROM (SELECT s.user_id, s.i, r.cur, (SELECT min(l.pos) FROM l WHERE l.pos >= r.cur AND contains(s.event_type, l.label)) p FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1))
+SELECT user_id, pos, min(round_even(i * 0.4::DOUBLE, 1)) AS start_s, max(round_even(i * 0.4::DOUBLE, 1)) AS end_s FROM r WHERE pos IS NOT NULL GROUP BY ALL""")
+def label_intervals(spark, sf_dir):
+    return s.label_intervals(align_labels(spark, sf_dir), 0.4, key=KEY)
+
+
+@query(f"""WITH RECURSIVE {_U}, r AS (SELECT o_custkey, i, dur, dur run, true inc FROM u WHERE i = 0 UNION ALL SELECT u.o_custkey, u.i, u.dur, CASE WHEN r.run + u.dur <= 60 THEN r.run + u.dur ELSE r.run END::DECIMAL(18, 2), r.run + u.dur <= 60 FROM r JOIN u ON u.o_custkey = r.o_custkey AND u.i = r.i + 1)
+SELECT o_custkey, i, inc AS included, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY inc DESC, i) - 1 AS INT) AS place FROM r""")
+def selected_then_dropped(spark, sf_dir):
+    d = s.selected_then_dropped(s.duration_plan(units(spark, sf_dir), "60.00", key="o_custkey"), key="o_custkey")
+    return d.select("o_custkey", "i", "included", "place")

@@ -66,7 +66,7 @@ def filename_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.sanitize_filename(F.col("url")).alias("file_name"))
 
 
-_FORMS_SQL = """WITH t AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) w FROM documents WHERE lang = 'en') WHERE w IS NOT NULL),
+_FORMS_SQL = """WITH t AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) w FROM documents) WHERE w IS NOT NULL),
 f AS (
 SELECT w, 'SAFE' tier, 0 prio, CASE WHEN ends_with(w, 'ies') AND length(w) > 4 THEN left(w, -3) || 'y' END form FROM t UNION ALL
 SELECT w, 'SAFE', 1, CASE WHEN ends_with(w, 'es') AND length(w) > 3 THEN left(w, -2) END FROM t UNION ALL
@@ -80,7 +80,7 @@ SELECT w AS token, tier, prio, form FROM f WHERE form IS NOT NULL"""
 
 @query(_FORMS_SQL)
 def suffix_forms(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(text.plain_words(F.col("text"))).alias("token")).distinct()
+    t = table(spark, sf_dir, "documents").select(F.explode(text.plain_words(F.col("text"))).alias("token")).distinct()
     tiers = F.array(F.struct(F.lit("SAFE").alias("tier"), text.safe_forms(F.col("token")).alias("f")), F.struct(F.lit("RISKY").alias("tier"), text.risky_forms(F.col("token")).alias("f")))
     return t.select("token", F.explode(tiers).alias("x")).select("token", "x.tier", F.posexplode("x.f").alias("prio", "form")).where("form is not null")
 
