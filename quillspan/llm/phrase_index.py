@@ -54,7 +54,7 @@ def build_index(docs: DataFrame, segment_words: int = 1 << 18) -> DataFrame:
         ids: list = []
         hashes: list[np.ndarray] = []
         held = 0
-        for pdf in common.batches(it, most=4 << 20):
+        for pdf in common.batches(it):
             w = common.Words(pdf["text"].tolist(), common.IS_BREAK)
             for k, doc in enumerate(pdf["doc_id"].tolist()):
                 h = w.hash[w.first[k] : w.first[k + 1]]
@@ -148,10 +148,11 @@ def blocks_of(items: DataFrame, block_words: int) -> Iterator[Items]:
         yield Items(rows)
 
 
-def _search(index: DataFrame, block: Items) -> DataFrame:
+def _search(index: DataFrame, held) -> DataFrame:
     """For every document with a hit: segment, place in it, hit word ranges [start, end) and the ids of the items."""
 
     def run(it):
+        block = held.value
         grids = {width: (np.array([k for k, _ in at]), np.stack([block.words[k][a : a + width] for k, a in at])) for width, at in block.by_width.items()}
         for pdf in it:
             out = []
@@ -179,17 +180,29 @@ def documents_of(index: DataFrame) -> DataFrame:
     return d.select("segment", F.col("place").cast("long").alias("place"), F.col("d.doc_id").alias("doc_id"), F.col("d.n_words").alias("n_words"))
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, block_words: int = 1 << 20) -> DataFrame:
-    """segment, place, hits, items of every document in which a window of an item occurs, all blocks merged."""
-    found = None
+def phrase_matches(index: DataFrame, items: DataFrame, block_words: int = 1 << 20, owner: str = "decontamination") -> DataFrame:
+    """segment, place, hits, items of every document in which a window of an item occurs, all blocks merged.
+
+    A block is broadcast, searched and its matches stored before the next is read; of a single block nothing is stored.
+    """
+    sc = index.sparkSession.sparkContext
+    found, held = None, None
     for block in blocks_of(items, block_words):
-        one = _search(index, block)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+        if held is not None:
+            found = _stored_matches(index, held, found, owner)
+            held.unpersist()
+        held = sc.broadcast(block)
+    if held is None:
         return index.sparkSession.createDataFrame([], "segment string, place long, hits array<struct<s:long,e:long>>, items array<string>")
+    found = _search(index, held) if found is None else _stored_matches(index, held, found, owner)
     return found.groupBy("segment", "place").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
+def _stored_matches(index: DataFrame, block, found: DataFrame | None, owner: str) -> DataFrame:
+    one = common.stored(_search(index, block), "matches", owner)
+    return one if found is None else found.unionByName(one)
+
+
 def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     """doc_id, position: places of the rarest of the terms with all others at most `within` words away."""
     kind = index.schema["doc_id"].dataType.elementType.simpleString()
@@ -214,7 +227,7 @@ def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFr
 def contamination(docs: DataFrame, items: DataFrame, segment_words: int = 1 << 18, block_words: int = 1 << 20, owner: str = "decontamination") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), hits (merged ranges), contaminated, for every document."""
     index = common.stored(build_index(docs, segment_words), "segments", owner)
-    found = phrase_matches(index, items, block_words)
+    found = phrase_matches(index, items, block_words, owner)
     d = documents_of(index).join(found, ["segment", "place"], "left")
     ranges = F.array_sort("hits")
     step = F.aggregate(

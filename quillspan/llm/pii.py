@@ -173,11 +173,11 @@ def fit_classifier(rows: list[tuple[list[tuple[str, object]], float, float]], ro
 FEATURES = (*LABELERS, "f_length", "f_before", "f_after")
 
 
-def candidates(docs: DataFrame, owner: str = "pii") -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): a row number for every document, and its candidate spans with votes; both stored."""
+def candidates(docs: DataFrame, owner: str = "pii", keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): a row number and the matches c of every document (and what `keep` says), and its candidate spans with votes; both stored."""
     text = F.coalesce(F.col("`text`"), F.lit(""))
     found = F.flatten(F.array(*[_matches(text, *p) for p in PATTERNS]))
-    rows = common.stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("`doc_id`").alias("doc_id"), found.alias("c")), "pii-matches", owner)
+    rows = common.stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("`doc_id`").alias("doc_id"), found.alias("c"), *([] if keep is None else [keep])), "pii-matches", owner)
     c = rows.select("rid", F.explode("c").alias("c")).select("rid", "c.*")
     order = W.partitionBy("rid", "kind", "base").orderBy("idx")
     c = c.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -219,15 +219,19 @@ def find(docs: DataFrame, threshold: float = 0.5, owner: str = "pii") -> DataFra
     no base span.
     """
     rows, spans = candidates(docs, owner)
+    empty = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint,base:boolean>>")
+    return rows.select("rid", "doc_id").join(decided(spans, threshold), "rid", "left").select("rid", "doc_id", F.coalesce("spans", empty).alias("spans"))
+
+
+def decided(spans: DataFrame, threshold: float) -> DataFrame:
+    """rid, spans of the documents that have candidate spans."""
     weights, _ = train(spans)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     kept = spans.where(F.col("ok") | (~F.col("base") & (probability(weights) >= threshold)))
     per = kept.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "kind", "end", F.col("ok").alias("base")))).alias("s"))
     base = F.filter("s", lambda x: x["base"])
     free = F.filter("s", lambda x: x["base"] | ~F.exists(F.col("b"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    per = per.withColumn("b", base).select("rid", free.alias("spans"))
-    empty = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint,base:boolean>>")
-    return rows.select("rid", "doc_id").join(per, "rid", "left").select("rid", "doc_id", F.coalesce("spans", empty).alias("spans"))
+    return per.withColumn("b", base).select("rid", free.alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -239,10 +243,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, owner: str = "pii") -> DataFrame:
-    """The documents with every span's text replaced by its kind in angle brackets; overlapping spans become one."""
+    """The documents with every span's text replaced by its kind in angle brackets; overlapping spans become one.
+
+    Only documents with candidate spans meet their spans in a join; the others pass where they lie.
+    """
     columns = docs.columns
-    kept = common.stored(docs.select(F.monotonically_increasing_id().alias("__rid"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")), "pii-docs", owner)
-    found = find(kept.select(F.col("__rid").alias("doc_id"), F.col("__row.text").alias("text")), threshold, owner)
+    rows, spans = candidates(docs, owner, keep=F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
+    kept = rows.select(F.col("rid").alias("__rid"), "__row", (F.size("c") > 0).alias("__some"))
+    found = decided(spans, threshold).select(F.col("rid").alias("doc_id"), "spans")
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:bigint,kind:string,end:bigint>>"),
@@ -257,5 +265,6 @@ def redact(docs: DataFrame, threshold: float = 0.5, owner: str = "pii") -> DataF
             F.substr(text, F.coalesce(F.get(F.col("__m"), i - 1)["end"], F.lit(0)).cast("int") + 1, F.coalesce(F.get(F.col("__m"), i)["start"], F.length(text).cast("long")).cast("int") - F.coalesce(F.get(F.col("__m"), i - 1)["end"], F.lit(0)).cast("int")),
         ),
     )
-    d = kept.join(spans, "__rid", "left").withColumn("__new", F.when(F.col("__m").isNull(), text).otherwise(F.array_join(pieces, "")))
-    return d.select(*[(F.col("__new") if c == "text" else F.col("__row")[c]).alias(c) for c in columns])
+    clear = kept.where("not __some").select(*[F.col("__row")[c].alias(c) for c in columns])
+    d = kept.where("__some").join(spans, "__rid", "left").withColumn("__new", F.when(F.col("__m").isNull(), text).otherwise(F.array_join(pieces, "")))
+    return clear.unionByName(d.select(*[(F.col("__new") if c == "text" else F.col("__row")[c]).alias(c) for c in columns]))
