@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, gif, jaccard_join, mixing, phrase_index, pii, resampling, suffix_dedup, toxicity, url_rules, wrappers
+from . import common, gif, jaccard_join, mixing, oracles, phrase_index, pii, resampling, suffix_dedup, toxicity, url_rules, wrappers
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +56,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity, op2_importance_resampling, op3_pii, op4_decontamination, op5_html_wrappers, op6_jaccard_join, op7_url_rules, op8_suffix_dedup, op9_gif_media, op10_mixing)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": oracles.OP4, "op6_jaccard_join": oracles.OP6, "op8_suffix_dedup": oracles.OP8}

@@ -10,8 +10,8 @@ of the run; then the identifier of the whole run settles identical runs, where t
 with several kinds of runs are refined down to single strings, in order of place, where the first of each stays.
 
 Defined results: null text counts as empty; texts shorter than `length` are kept whole; rows with equal doc_id stand in
-order of reading, rows without one come first; an empty table gives an empty result; extra columns are ignored. The
-documents must come from files or a stored table: they are read four times and must come in the same order.
+the order of their numbers (see numbered()), rows without one come first; an empty table gives an empty result; extra
+columns are ignored. The documents are read four times, in any order.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,8 +261,15 @@ def removed(docs: DataFrame, owner: str = "suffixes") -> DataFrame:
     return lost.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("lost_from", "lost_to"))).alias("lost"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
+def numbered(docs: DataFrame, owner: str = "suffixes") -> DataFrame:
+    """rid, doc_id, text: a number for every row that is the same at each reading. Rows of files are numbered by file and
+    place; of other tables the numbers are stored with the texts."""
+    columns = [F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")]
+    try:
+        m = docs.metadataColumn("_metadata")
+        return docs.select(F.xxhash64(m["file_path"], m["row_index"]).alias("rid"), *columns)
+    except AnalysisException:  # not read from files alone
+        return common.stored(docs.select(F.monotonically_increasing_id().alias("rid"), *columns), "numbered", owner)
 
 
 def merge(ranges) -> list[tuple[int, int]]:
@@ -278,7 +286,7 @@ def merge(ranges) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, owner: str = "suffixes") -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (the maximal removed ranges) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    d = numbered(docs)
+    d = numbered(docs, owner)
     joined = d.join(removed(d, owner), "rid", "left")
 
     def run(it):
