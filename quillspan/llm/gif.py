@@ -5,7 +5,8 @@ transparency, delays, and the disposal methods keep, restore-to-background and r
 stored as 8-bit indices of an identity grey palette: tiles of 24 x 24 for each 576 bytes, up to 64 tiles in a frame.
 
 Defined results: null text counts as empty, and empty text is one frame of byte 255; repeated rows give equal values;
-an empty table gives an empty result; extra columns are ignored. A broken stream raises ValueError.
+an empty table gives an empty result; extra columns are ignored. A broken stream raises ValueError from decode(), and gives
+null frames with the error's text in a column.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ _TWELVE = np.arange(12)
 
 def _pack(runs: list[list[int]]) -> bytes:
     """A clear code is as wide as the codes before it; the code k places after it has the k-th width of the schedule."""
-    _, width = _schedule(8)
+    _, width = _schedule(8, max(map(len, runs)))
     codes = np.concatenate([np.array(r, np.int64) for r in runs])
     w, last = [], 9
     for r in runs:
@@ -79,11 +80,11 @@ def _pack(runs: list[list[int]]) -> bytes:
 _widths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _schedule(least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit offset and width of the k-th code after a clear: widths depend on the number of codes only."""
-    if least not in _widths:
+def _schedule(least: int, codes: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Bit offset and width of the k-th code after a clear, for at least so many codes: widths depend on the number of codes only."""
+    if least not in _widths or len(_widths[least][1]) < codes:
         first = (1 << least) + 2
-        k = np.arange(1 << 20)  # far more codes than any frame of ours has between two clears
+        k = np.arange(max(codes, 1 << 14))
         known = first + np.maximum(k - 1, 0)  # entries when code k is read
         width = np.clip(np.floor(np.log2(np.maximum(known, 1))).astype(np.int64) + 1, least + 1, 12)
         _widths[least] = np.concatenate([[0], np.cumsum(width)[:-1]]), width
@@ -98,7 +99,7 @@ def lzw_decode(stream: bytes, least: int, n_pixels: int) -> bytes:
     total = len(stream) * 8
     clear, end = 1 << least, (1 << least) + 1
     singles = [bytes([i]) for i in range(min(clear, 256))] + [b""] * (clear - min(clear, 256)) + [b"", b""]
-    offsets, widths = _schedule(least)
+    offsets, widths = _schedule(least, total // (least + 1) + 2)
     out: list[bytes] = []
     have, at = 0, 0
     while have < n_pixels and at + least + 1 <= total:
@@ -255,13 +256,20 @@ FRAMES = "array<struct<seconds:double,width:int,height:int,red:array<long>,green
 
 
 def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """key, frames: the timed frames of a column of GIF bytes (null bytes: null frames)."""
+    """key, frames, error: the timed frames of a column of GIF bytes. Null bytes give neither; a broken stream gives an error."""
+
+    def read(m) -> tuple:
+        try:
+            return (None, None) if m is None else (frames_of(bytes(m)), None)
+        except (ValueError, IndexError, struct.error) as e:
+            return None, str(e) or type(e).__name__
 
     def run(it):
         for pdf in it:
-            yield pd.DataFrame({key: pdf[key], "frames": [None if m is None else frames_of(bytes(m)) for m in pdf[media]]})
+            frames, errors = zip(*map(read, pdf[media]), strict=True) if len(pdf) else ((), ())
+            yield pd.DataFrame({key: pdf[key], "frames": frames, "error": errors})
 
-    return common.table_of(df, key, media).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, frames {FRAMES}")
+    return common.table_of(df, key, media).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, frames {FRAMES}, error string")
 
 
 def to_payload(text: str | None) -> tuple[int, bytes]:

@@ -536,6 +536,34 @@ def test_gif_frames_column(make):
     assert [len(f) for f in frames.values()] == [1, 1] and sum(frames[0][0]["red"]) == 576
 
 
+def test_broken_gifs_give_an_error(make):
+    whole = gif.store("hello")[1]
+    rows = [(0, whole), (1, whole[:30]), (2, b"no gif"), (3, None), (4, b""), (5, whole[:-60]), (6, whole[:13] + b"\x99" + whole[14:])]
+    got = {r.doc_id: r for r in gif.decode_media(make("doc_id long, media binary", rows)).collect()}
+    assert got[0].error is None and len(got[0].frames) == 1
+    assert got[3].error is None and got[3].frames is None
+    assert all(got[k].frames is None and got[k].error for k in (1, 2, 4, 5))
+
+
+def test_a_long_stream_without_clears():
+    samples = bytes(random.Random(3).randrange(256) for _ in range(1 << 16))
+    codes, table, width, n, bits = [256], {}, 9, 258, []
+    out, at = 256, 9
+    prev = None
+    for c in samples:  # one code for each sample: the table fills once and stays as it is
+        out |= c << at
+        at += width
+        if prev is not None and n < 4096:
+            n += 1
+        prev = c
+        width = min(12, max(9, n.bit_length() if n < 4096 else 12))
+    out |= 257 << at
+    stream = out.to_bytes(at // 8 + 3, "little")
+    assert gif.lzw_decode(stream, 8, len(samples)) == samples
+    assert len(gif._schedule(8, 1 << 21)[1]) >= 1 << 21
+
+
+
 # -- 10 mixing ------------------------------------------------------------------------------------
 
 
