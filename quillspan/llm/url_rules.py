@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
@@ -81,18 +82,16 @@ def baskets(pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def mine(labelled: DataFrame, min_support: float = 0.004, min_confidence: float = 0.5, max_rules: int = 50_000, partitions: int | None = None) -> list[tuple[tuple[str, ...], str, float, float]]:
     """(tokens, verdict, confidence, support) by falling confidence. Support bounds the rules; over max_rules is an error."""
     items = baskets(labelled)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=partitions or 8).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, **({} if partitions is None else {"numPartitions": partitions})).fit(items)
     rules = model.associationRules.where(F.array_contains("consequent", BLOCK) | F.array_contains("consequent", ALLOW))
     found = rules.select("antecedent", "consequent", "confidence", "support").limit(max_rules + 1).collect()
     if len(found) > max_rules:
         raise ValueError(f"more than {max_rules} rules; raise min_support")
     found = sorted(((tuple(sorted(r.antecedent)), r.consequent[0].split("=")[1], r.confidence, r.support) for r in found), key=lambda r: (len(r[0]), -r[2], r[0]))
     kept: dict[tuple[str, ...], tuple] = {}
-    best: dict[str, list[tuple[frozenset, float]]] = defaultdict(list)
-    for tokens, verdict, confidence, support in found:
-        own = frozenset(tokens)
-        if not any(c >= confidence and t < own for t, c in best[verdict]):
-            best[verdict].append((own, confidence))
+    for tokens, verdict, confidence, support in found:  # a longer rule must be surer than every shorter one within it
+        within = (part for n in range(len(tokens)) for part in combinations(tokens, n))
+        if not any((part, verdict) in kept and kept[part, verdict][2] >= confidence for part in within):
             kept[tokens, verdict] = (tokens, verdict, confidence, support)
     return sorted(kept.values(), key=lambda r: (-r[2], -r[3], r[0]))
 

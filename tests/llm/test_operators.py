@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, empty and very long texts, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import time
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -567,6 +569,97 @@ def test_a_long_stream_without_clears():
 # -- 10 mixing ------------------------------------------------------------------------------------
 
 
+def fill_by_steps(sizes, weights, share=1.5, most=2.0):
+    """Pour the words in small steps: every open source gets its weight's part, a full one is closed."""
+    given, todo, step = [0.0] * len(sizes), share * sum(sizes), share * sum(sizes) / 20_000 or 1
+    while todo > 1e-9:
+        open_ = [i for i in range(len(sizes)) if given[i] < most * sizes[i] - 1e-9]
+        if not open_:
+            break
+        now = min(step, todo)
+        for i in open_:
+            part = min(now * weights[i] / sum(weights[j] for j in open_), most * sizes[i] - given[i])
+            given[i] += part
+            todo -= part
+    return given
+
+
+def test_mix_against_poured_targets(make):
+    rng = random.Random(12)
+    sources = [rng.choice(["a", "b", "c", "d", None, "é"]) for _ in range(300)]
+    texts = [" ".join("w" for _ in range(rng.choice([0, 1, 7, 60, 400]))) for _ in sources]
+    got = mixing.mix(make(DOCS, docs_of(texts, sources))).toPandas().set_index("doc_id").sort_index()
+    names = [*sorted({x for x in sources if x is not None}), None]
+    sizes = [sum(len(t.split()) for t, x in zip(texts, sources, strict=True) if x == n) for n in names]
+    want = fill_by_steps(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    for n, size, target in zip(names, sizes, want, strict=True):
+        own = got[[x == n for x in sources]]
+        assert (own["source_size"] == size).all() and np.allclose(own["target"], target, rtol=2e-3)
+        assert abs(own["taken"].sum() - target) <= max(70, 0.02 * target)
+    assert (got["taken"] <= 2 * got["size"]).all() and (got["size"] == [len(t.split()) for t in texts]).all()
+
+
+def ngrams_by_hand(text):
+    w = words(text or "")
+    return [(x,) for x in w] + list(zip(w, w[1:]))
+
+
+def test_weights_against_counts_by_hand(make):
+    rng = random.Random(8)
+    say = lambda vocabulary, n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    good, bad = [f"g{k}" for k in range(30)], [f"b{k}" for k in range(30)]
+    texts = [say(good if k % 2 else bad + good[:3], rng.randint(0, 40)) for k in range(80)] + [None, ""]
+    docs = make(DOCS, docs_of(texts))
+    marks = [(k, k % 2, 0) for k in range(80)]
+    labels = make("doc_id long, quality int, toxic int", marks, extra=False)
+    held = {r.doc_id for r in labels.where(resampling.for_calibration(F.col("doc_id"))).collect()}
+    ratio = resampling.models(docs, labels)
+    bucket = lambda text: resampling.ngram_buckets([text])[0].tolist()
+    raw, target = np.zeros(len(ratio)), np.zeros(len(ratio))
+    for k, t in enumerate(texts):
+        assert len(bucket(t)) == len(ngrams_by_hand(t))
+        for b in bucket(t):
+            raw[b] += 1
+            target[b] += k < 80 and k % 2 == 1 and k not in held
+    raw, target = raw + 1e-9 * raw.sum(), target + 1e-9 * target.sum()
+    mix = (raw + target) / (raw + target).sum() * len(ratio) / 8
+    want = np.log((target + mix) / sum(target + mix)) - np.log((raw + mix) / sum(raw + mix))
+    assert np.allclose(ratio, want)
+    for r in resampling.weigh(docs, ratio).collect():
+        s = sum(want[b] for b in bucket(texts[r.doc_id]))
+        assert abs(r.log_weight - s) < 1e-3 and r.n_ngrams == len(bucket(texts[r.doc_id]))
+    kept = {r.doc_id for r in resampling.select(docs, labels).where("selected").collect()}
+    assert kept == {r.doc_id for r in resampling.keep(docs, labels).collect()}
+
+
+def test_mined_rules_against_enumerated_sets(spark):
+    rng = random.Random(2)
+    urls = [f"http://{rng.choice(['a', 'b'])}.x.com/{rng.choice(['ads', 'news', 'img'])}/{rng.choice(['p', 'q'])}.html" for _ in range(60)]
+    blocked = [("ads" in u) ^ (rng.random() < 0.1) for u in urls]
+    rows = spark.createDataFrame(list(zip(urls, blocked, strict=True)), "url string, blocked boolean")
+    got = {(t, v): (c, s) for t, v, c, s in url_rules.mine(rows, 0.1, 0.6)}
+    baskets = [(frozenset(url_rules.url_tokens(u)), "block" if b else "allow") for u, b in zip(urls, blocked, strict=True)]
+    tokens = sorted(set().union(*(t for t, _ in baskets)))
+    sure: dict = {}
+    for n in range(1, len(tokens) + 1):
+        found = False
+        for part in itertools.combinations(tokens, n):
+            have = [v for t, v in baskets if t >= set(part)]
+            for verdict in ("block", "allow"):
+                hits = have.count(verdict)
+                if hits >= 0.1 * len(urls):
+                    found = True
+                    if hits / len(have) >= 0.6:
+                        sure[part, verdict] = (hits / len(have), hits / len(urls))
+        if not found:
+            break
+    want = {}
+    for (part, verdict), (c, s) in sure.items():
+        if not any(v == verdict and set(q) < set(part) and x[0] >= c for (q, v), x in want.items()):
+            want[part, verdict] = (c, s)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.floats(0, 1000), min_size=1, max_size=12), st.integers(0, 80))
 def test_sainte_lague_is_highest_quotients(votes, seats):
