@@ -67,6 +67,28 @@ def array_text(raw: Column) -> Column:
     return F.when(F.try_parse_json(bare).isNotNull(), bare).otherwise(F.regexp_extract(bare, r"(?s)\[.*\]", 0))
 
 
+def plan_items(raw: Column) -> Column:
+    """The items of a reply that should be a JSON array: as texts, stripped, without empty ones; null if it is none."""
+    listed = F.try_variant_get(F.try_parse_json(array_text(raw)), "$", "array<string>")
+    return F.filter(F.transform(F.when(F.substr(array_text(raw), F.lit(1), F.lit(1)) == "[", listed), strip), lambda x: x != "")
+
+
+def plan(raw: Column, sentence: Column) -> Column:
+    """struct(items, status, reason) of a plan made from a sentence; a null reply is a call that failed."""
+    items = plan_items(raw)
+    reason = (
+        F.when(F.coalesce(sentence, F.lit("")) == "", "no sentence").when(raw.isNull(), "no reply").when(items.isNull(), "no JSON array").when(F.size(items) == 0, "empty")
+    )
+    none = F.array().cast("array<string>")
+    return F.struct(F.when(reason.isNull(), items).otherwise(none).alias("items"), F.when(reason.isNull(), "OK").otherwise("REVIEW_REQUIRED").alias("status"), reason.alias("reason"))
+
+
+def sentence_at(raw: Column, place: Column) -> Column:
+    """The sentence that a reply gives for the item at a place of its array; empty if there is none."""
+    listed = F.from_json(array_text(raw), "array<struct<educational_sentence:string>>")
+    return F.coalesce(F.get(listed, place)["educational_sentence"], F.lit(""))
+
+
 def extraction(raw: Column, retry: Column) -> Column:
     """struct(status, concepts) of a model's reply and of its one retry.
 

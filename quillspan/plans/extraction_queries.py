@@ -66,3 +66,25 @@ def elapsed(spark, sf_dir):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).cast("long").alias("i"), "ts", F.lag("ts").over(w).alias("b"))
     return e.select("user_id", "i", F.floor(text.elapsed_seconds(F.col("b"), F.col("ts")) + 0.5).cast("double").alias("seconds"))
+
+
+_PLAN = """CASE o_orderkey % 7 WHEN 0 THEN '["' || o_orderstatus || '", " b ", ""]' WHEN 1 THEN 'plan: ["x", 2, "y"] done' WHEN 2 THEN '{"a": 1}' WHEN 3 THEN 'none' WHEN 4 THEN '["", " "]' WHEN 5 THEN NULL ELSE '[]' END"""
+_SENTENCE = "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, {_PLAN} raw, {_SENTENCE} s FROM orders), a AS (SELECT *, CASE WHEN json_valid(raw) THEN raw ELSE regexp_extract(raw, '(?s)\\[.*\\]') END j FROM r),
+i AS (SELECT *, CASE WHEN json_valid(j) AND starts_with(j, '[') THEN list_filter(list_transform(CAST(j AS JSON[]), lambda x: trim(x ->> '$')), lambda x: x <> '') END t FROM a), w AS (SELECT *, CASE WHEN s = '' THEN 'no sentence' WHEN raw IS NULL THEN 'no reply' WHEN t IS NULL THEN 'no JSON array' WHEN len(t) = 0 THEN 'empty' END y FROM i)
+SELECT o_orderkey, CASE WHEN y IS NULL THEN array_to_string(t, ',') ELSE '' END AS items, CASE WHEN y IS NULL THEN 'OK' ELSE 'REVIEW_REQUIRED' END AS status, y AS reason FROM w""")
+def plan_reply(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", parsing.plan(F.expr(_PLAN), F.expr(_SENTENCE)).alias("p"))
+    return o.select("o_orderkey", F.array_join("p.items", ",").alias("items"), F.col("p.status").alias("status"), F.col("p.reason").alias("reason"))
+
+
+_SAID = """CASE conv_id % 3 WHEN 0 THEN '[{"educational_sentence": "s' || turn || '"}, {"educational_sentence": null}, {"other": 1}]' WHEN 1 THEN 'so: [{"educational_sentence": "a"}]' ELSE 'no' END"""
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {_SAID} raw FROM conversations), a AS (SELECT *, CASE WHEN json_valid(raw) THEN raw ELSE regexp_extract(raw, '(?s)\\[.*\\]') END j FROM r)
+SELECT conv_id, turn, coalesce(CASE WHEN json_valid(j) THEN json_extract_string(j, '$[' || CAST(turn % 4 AS VARCHAR) || '].educational_sentence') END, '') AS sentence FROM a""")
+def sentence_reply(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", parsing.sentence_at(F.expr(_SAID), (F.col("turn") % 4).cast("int")).alias("sentence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -74,9 +74,9 @@ def append_answers(spark: SparkSession, todo: DataFrame, path: str, key: list[st
     """Answer what the checkpoint folder does not hold yet, and append it; how many rows were new."""
     done = spark.read.json(path) if exists(spark, path) else None
     rest = todo if done is None or not set(key) <= set(done.columns) else resume(todo, done, key)
-    out = answer(rest)
-    out.write.mode("append").json(path)
-    return rest.count()
+    seen = Observation()
+    answer(rest.observe(seen, F.count(F.lit(1)).alias("n"))).write.mode("append").json(path)
+    return seen.get["n"]
 
 
 def upsert(cache: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
@@ -95,6 +95,11 @@ def cached_if_same(spark: SparkSession, source: DataFrame, key: str, path: str,
     return spark.read.parquet(path)
 
 
+def of_video(corpus: DataFrame, video: str, ident: str = "video_id", order: str = "item_index") -> DataFrame:
+    """The items of one video in their order."""
+    return corpus.where(F.col(ident) == video).orderBy(order)
+
+
 def listing(spark: SparkSession, path: str, allowed: list[str]) -> DataFrame:
     """name, size of the allowed files of a folder, by name."""
     d = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"))
@@ -146,6 +151,6 @@ class _PagedReader(DataSourceReader):
 
 
 def last_per_id(rows: DataFrame) -> DataFrame:
-    """id, text of the last row, and the position at which the id was first seen."""
-    at = F.col("offset") * 1000 + F.col("pos")
+    """id, text of the last row, and ord, the place (offset, pos) at which the id was first seen."""
+    at = F.struct("offset", "pos")
     return rows.groupBy("id").agg(F.max_by("text", at).alias("text"), F.min(at).alias("ord"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.series import _alpha
+
 EVENTS = "job_id string, seq long, stage string, status string, message string, ts timestamp, elapsed_s double"
 
 
@@ -38,37 +42,95 @@ def sessions(stream: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return stream.withWatermark("ts", late).groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-class EmaProcessor(StatefulProcessor):
-    """Exponential average per key over rows (key, i, x) that come in order of i; a null starts it anew."""
+class Blocked(Exception):
+    """A stage that ends its job: nothing after it runs."""
+
+
+def run_stages(job_id: str, stages: list[tuple[str, Callable[[dict], object]]], clock: Callable[[], float] = time.time) -> Iterator[dict]:
+    """Events of a job whose stages run one after the other, pulled by the consumer; stage(results so far) gives its result.
+
+    Every stage gives a started and a done event; one that raises Blocked a blocked event, any other error an error event,
+    and both end the job. After the last one comes DONE.
+    """
+    results: dict[str, object] = {}
+    begin, seq = clock(), 0
+
+    def event(stage: str, status: str, message: str = "") -> dict:
+        nonlocal seq
+        seq += 1
+        now = clock()
+        return {"job_id": job_id, "seq": seq - 1, "stage": stage, "status": status, "message": message, "ts": datetime.fromtimestamp(now, UTC), "elapsed_s": round(now - begin, 2)}
+
+    for name, stage in stages:
+        yield event(name, "started")
+        try:
+            results[name] = stage(results)
+        except Blocked as e:
+            yield event(name, "blocked", str(e))
+            return
+        except Exception as e:
+            yield event(name, "error", str(e))
+            return
+        yield event(name, "done")
+    yield event("DONE", "done")
+
+
+def ema_step(state, x, alpha: float = 0.25):
+    """(state, value): exponential average; a null starts it anew."""
+    y = x if state is None or x is None else state * (1 - alpha) + x * alpha
+    return y, y
 
-    def __init__(self, alpha: float = 0.25):
-        self.alpha = alpha
+
+def one_euro_step(state, x, fps: float = 25.0, min_cutoff: float = 1.0, beta: float = 0.3, d_cutoff: float = 1.0):
+    """(state, value): speed-adaptive low-pass filter with the state (last raw value, filtered value, filtered speed)."""
+    if x is None or state is None:
+        return (None, None) if x is None else ((x, x, 0.0), x)
+    dt = 1.0 / fps
+    steady, (last, y, d) = _alpha(d_cutoff, dt), state
+    d = steady * ((x - last) / dt) + (1 - steady) * d
+    a = _alpha(min_cutoff + beta * abs(d), dt)
+    y = a * x + (1 - a) * y
+    return (x, y, d), y
+
+
+def hold_step(state, x, hold: int = 8):
+    """(state, value): the last value for up to hold frames without one. What lies after a gap is not known on a stream."""
+    if x is not None:
+        return (x, 0.0), x
+    if state is None or state[1] + 1 > hold:
+        return None, None
+    return (state[0], state[1] + 1), state[0]
+
+
+class StepProcessor(StatefulProcessor):
+    """A step function over rows (key, i, x) that come in order of i, with up to three doubles of state per key."""
+
+    def __init__(self, step: Callable):
+        self.step = step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", "y double")
+        self.state = handle.getValueState("state", "n int, a double, b double, c double")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        y = self.state.get()[0] if self.state.exists() else None
+        held = self.state.get() if self.state.exists() else None
+        state = None if held is None else held[1] if held[0] == 0 else tuple(held[1 : 1 + held[0]])
         for pdf in rows:
+            pdf = pdf.sort_values("i")
             out = []
-            for x in pdf.sort_values("i")["x"]:
-                y = None if pd.isna(x) else x if y is None else y * (1 - self.alpha) + x * self.alpha
+            for x in pdf["x"].tolist():
+                state, y = self.step(state, None if pd.isna(x) else x)
                 out.append(y)
-            yield pd.DataFrame({"key": key[0], "i": pdf.sort_values("i")["i"].to_numpy(), "y": out})
-        self.state.clear() if y is None else self.state.update((y,))
+            yield pd.DataFrame({"key": key[0], "i": pdf["i"].to_numpy(), "y": pd.Series(out, dtype="float64")})
+        if state is None:
+            self.state.clear()
+        else:
+            parts = state if isinstance(state, tuple) else (state,)
+            self.state.update((len(parts) if isinstance(state, tuple) else 0, *parts, *[None] * (3 - len(parts))))
 
     def close(self) -> None:
         pass
 
 
-def ema_step(state: float | None, xs: list[float | None], alpha: float = 0.25) -> tuple[list[float | None], float | None]:
-    out = []
-    for x in xs:
-        state = None if x is None else x if state is None else state * (1 - alpha) + x * alpha
-        out.append(state)
-    return out, state
-
-
-def ema_stream(stream: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """key, i, y in append mode, with one double of state per key."""
-    return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=EmaProcessor(alpha), outputStructType="key string, i long, y double", outputMode="Append", timeMode="None")
+def step_stream(stream: DataFrame, step: Callable = ema_step) -> DataFrame:
+    """key, i, y in append mode: a stream of (key, i, x) through ema_step, one_euro_step, hold_step or one like them."""
+    return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=StepProcessor(step), outputStructType="key string, i long, y double", outputMode="Append", timeMode="None")

@@ -4,7 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.sources import readers
+from quillspan.operators import series
+from quillspan.sources import readers, sinks
 from quillspan.streaming import event_log
 
 
@@ -62,7 +63,7 @@ def test_paged_source(spark):
     spark.dataSource.register(readers.PagedSource)
     d = spark.read.format("paged").option("total", "60").option("page", "20").option("module", "tests.test_sources_streaming").option("function", "fetch").load()
     rows = readers.last_per_id(d).collect()
-    assert len(rows) == 25 and {r.id: r.text for r in rows}["id0"] == "page 40" and min(r.ord for r in rows) == 0
+    assert len(rows) == 25 and {r.id: r.text for r in rows}["id0"] == "page 40" and min(r.ord for r in rows) == (0, 0)
 
 
 def test_event_log(spark, tmp_path):
@@ -81,7 +82,76 @@ def test_event_log(spark, tmp_path):
     assert spark.sql("select sum(n) n from w").first().n == 4
 
 
-def test_ema_step():
-    out, state = event_log.ema_step(None, [1.0, 3.0])
-    more, _ = event_log.ema_step(state, [None, 2.0])
-    assert out + more == [1.0, 1.5, None, 2.0]
+def walk(step, xs):
+    state, out = None, []
+    for x in xs:
+        state, y = step(state, x)
+        out.append(y)
+    return out
+
+
+XS = [1.0, 3.0, None, None, 2.0, 8.0, 8.0, None, 1.0]
+
+
+def test_steps(spark):
+    assert walk(event_log.ema_step, [1.0, 3.0, None, 2.0]) == [1.0, 1.5, None, 2.0]
+    assert walk(lambda s, x: event_log.hold_step(s, x, 1), XS) == [1.0, 3.0, 3.0, None, 2.0, 8.0, 8.0, 8.0, 1.0]
+    d = spark.createDataFrame([("k", i, x) for i, x in enumerate(XS)], "key string, i long, x double")
+    for step, batch in ((event_log.ema_step, series.ema), (event_log.one_euro_step, series.one_euro)):
+        assert walk(step, XS) == [r.y for r in batch(d).orderBy("i").collect()]
+
+
+@pytest.mark.parametrize("step", [event_log.ema_step, event_log.one_euro_step, event_log.hold_step])
+def test_step_stream(spark, tmp_path, step):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    name = f"steps_{step.__name__}"
+    os.makedirs(tmp_path / "in")
+    stream = spark.readStream.schema("key string, i long, x double").json(str(tmp_path / "in"))
+    q = event_log.step_stream(stream, step).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    for at, part in ((0, XS[:4]), (4, XS[4:])):  # the state goes on from one batch to the next
+        rows = [(k, at + j, x if x is None else x * f) for j, x in enumerate(part) for k, f in (("a", 1.0), ("b", 2.0))]
+        spark.createDataFrame(rows, "key string, i long, x double").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    got = {(r.key, r.i): r.y for r in spark.sql(f"select * from {name}").collect()}
+    for k, f in (("a", 1.0), ("b", 2.0)):
+        want = walk(step, [None if x is None else x * f for x in XS])
+        assert [got[k, i] for i in range(len(XS))] == want
+
+
+def test_run_stages_stops_at_a_block():
+    def block(results):
+        raise event_log.Blocked(f"after {results['LOAD']}")
+
+    stages = [("LOAD", lambda r: 7), ("VALIDATE", block), ("RENDER", lambda r: 1 / 0)]
+    got = [(e["stage"], e["status"], e["message"]) for e in event_log.run_stages("j", stages, lambda: 0.0)]
+    assert got == [("LOAD", "started", ""), ("LOAD", "done", ""), ("VALIDATE", "started", ""), ("VALIDATE", "blocked", "after 7")]
+    assert [e["status"] for e in event_log.run_stages("j", stages[2:])] == ["started", "error"]
+    assert [e["stage"] for e in event_log.run_stages("j", stages[:1])] == ["LOAD", "LOAD", "DONE"]
+
+
+def test_sinks_and_recovery(spark, tmp_path):
+    d = spark.createDataFrame([("u1", 1), ("u2", 2)], "unit string, n int")
+    for run in ("r1", "r2", "r1"):
+        sinks.write_stage(d, str(tmp_path / "stages"), run, "plan")
+    sinks.write_stage(d.limit(1), str(tmp_path / "stages"), "r1", "check")
+    assert spark.read.json(str(tmp_path / "stages")).count() == 5
+    assert sinks.read_stage(spark, str(tmp_path / "stages"), "r2", "plan", "unit string, n int").count() == 2
+    sinks.write_markdown(spark.createDataFrame([("# a\nb",)], "m string"), "m", str(tmp_path / "md"))
+    assert spark.read.text(str(tmp_path / "md"), wholetext=True).first().value == "# a\nb\n"
+    sinks.write_trace(spark.createDataFrame([("s", 1, "b"), ("s", 0, "a")], "source string, pos int, term string"), "source", "pos", str(tmp_path / "trace"))
+    assert [x.term for x in spark.read.json(str(tmp_path / "trace")).first().segments] == ["a", "b"]
+    frames = spark.createDataFrame([("c", 1, 0.5), ("c", 0, 0.25)], "clip string, i int, x double")
+    sinks.write_motion(frames, "clip", 25.0, str(tmp_path / "motion"), wrist=F.struct("x"))
+    got = spark.read.json(str(tmp_path / "motion")).first()
+    assert (got.fps, got.n_frames, [f.wrist.x for f in got.frames]) == (25.0, 2, [0.25, 0.5])
+    files = spark.createDataFrame([("a.mp4", 3), ("b.mp4", 0)], "name string, size long")
+    rows = spark.createDataFrame([("a.mp4",), ("b.mp4",), ("c.mp4",)], "clip string")
+    assert {r.clip: r.asset_available for r in sinks.with_assets(rows, files, "clip").collect()} == {"a.mp4": True, "b.mp4": False, "c.mp4": False}
+    log = spark.createDataFrame([("j1", 0, "DONE", "done", "", None, 0.0), ("j2", 0, "LOAD", "done", "", None, 0.0)], event_log.EVENTS)
+    event_log.append(log, str(tmp_path / "log"))
+    out = sinks.recover_jobs(spark, str(tmp_path / "log"), spark.createDataFrame([("j1",), ("j3",)], "job_id string"))
+    assert {(r.job_id, r.job_status, r.has_output) for r in out.collect()} == {("j1", "done", True), ("j2", "error", False), ("j3", "done", True)}
+    assert sinks.recover_jobs(spark, str(tmp_path / "none"), spark.createDataFrame([], "job_id string")).count() == 0
+    corpus = spark.createDataFrame([("v", 2, "b"), ("w", 0, "x"), ("v", 1, "a")], "video_id string, item_index int, text string")
+    assert [r.text for r in readers.of_video(corpus, "v").collect()] == ["a", "b"]
