@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +22,46 @@ def span_in(source: Column, span: Column) -> Column:
     return F.coalesce((s != "") & F.contains(source, s), F.lit(False))
 
 
-def verify_spans(spans: DataFrame, sources: DataFrame) -> DataFrame:
+def verify_spans(spans: DataFrame, sources: DataFrame, block_chars: int = 1 << 22) -> DataFrame:
     """item_id, n_sources, verified, review_required: how many sources hold each span word for word.
 
-    Instead of comparing every pair, a span's rarest-looking (longest) word must be one of the source's words: an equi-join
-    on words, then the exact test. Spans without a whole inner word (their ends may be cut words) are tested against all
-    sources; there are few by nature, and they are joined by a broadcast that Spark checks for size.
+    The spans are the query set: they reach the driver in blocks of about block_chars characters, and every block is one
+    narrow pass over the sources with one automaton of all its spans. Only counts are shuffled.
     """
-    s = spans.select("item_id", text.strip(F.col("text")).alias("span")).where("span <> ''")
-    inner = F.slice(F.split("span", r"\s+"), 2, F.greatest(F.lit(0), F.size(F.split("span", r"\s+")) - 2))
-    s = s.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    d = sources.select("doc_id", F.col("text").alias("source"))
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("source", r"\s+"))).alias("word"))
-    hits = words.join(s.select("word").where("word is not null").distinct(), "word")
-    found = hits.join(s, "word").select("item_id", "span", "doc_id").join(d, "doc_id").where(F.contains("source", F.col("span"))).select("item_id", "doc_id")
-    short = d.join(s.where("word is null"), F.contains(F.col("source"), F.col("span"))).select("item_id", "doc_id")
-    n = found.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    out = spans.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_sources"))
+    s = spans.select("item_id", text.strip(F.col("text")).alias("span"))
+    spark, found = spans.sparkSession, []
+    for block in _blocks(s.where("span <> ''").select("span").distinct(), block_chars):
+        held = spark.sparkContext.broadcast(block)
+        found.append(sources.select(F.col("text").alias("source")).mapInPandas(_counter(held), "span string, n long"))
+    none = spark.createDataFrame([], "span string, n long")
+    n = reduce(DataFrame.unionByName, found, none).groupBy("span").agg(F.sum("n").alias("n"))
+    out = s.join(n, "span", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_sources"))
     return out.select("item_id", "n_sources", (F.col("n_sources") > 0).alias("verified"), (F.col("n_sources") == 0).alias("review_required"))
+
+
+def _blocks(spans: DataFrame, block_chars: int):
+    held, size = [], 0
+    for r in spans.toLocalIterator():
+        held.append(r.span)
+        size += len(r.span)
+        if size >= block_chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _counter(held):
+    def run(it):
+        import ahocorasick
+
+        machine, n = ahocorasick.Automaton(), Counter()
+        for k, span in enumerate(held.value):
+            machine.add_word(span, k)
+        machine.make_automaton()
+        for pdf in it:
+            for source in pdf["source"].dropna():
+                n.update({k for _, k in machine.iter(source)})
+        yield pd.DataFrame({"span": [held.value[k] for k in n], "n": list(n.values())})
+
+    return run

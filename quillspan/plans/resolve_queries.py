@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import resolve as r
+from ..operators import series
 from .base import query, sql_list, table
 
 _CATALOG = """catalog AS (SELECT CAST(row_number() OVER (ORDER BY w) - 1 AS INT) AS ord, w AS word_en, 'c' || CAST(row_number() OVER (ORDER BY w) - 1 AS VARCHAR) AS id, CASE WHEN w LIKE '%a%' THEN 'Directions and Locations' ELSE 'Things' END AS category
@@ -43,12 +44,10 @@ CASE WHEN eid IS NOT NULL AND ec <> 'Directions and Locations' THEN 'FULL' WHEN
 
 
 def catalog_of(spark, sf_dir):
-    """The dictionary is tiny and fixed by the 64 names, so its order comes from one sort of distinct names."""
-    from pyspark.sql import Window as W
-
+    """A dictionary of distinct names in their order."""
     p = table(spark, sf_dir, "part").select("p_name").distinct().where(F.length(F.split_part("p_name", F.lit(" "), F.lit(2))) % 2 == 0)
     w = p.union(spark.createDataFrame([("ring",), ("bolt",), ("gear",)], "p_name string")).distinct()
-    ordered = w.select((F.row_number().over(W.orderBy("p_name")) - 1).alias("ord"), F.col("p_name").alias("word_en"))
+    ordered = series.global_number(w, "p_name", name="ord").select(F.col("ord").cast("int").alias("ord"), F.col("p_name").alias("word_en"))
     return ordered.select("ord", F.concat(F.lit("c"), F.col("ord").cast("string")).alias("id"), "word_en", F.lit(None).cast("string").alias("word_ar"), F.when(F.contains("word_en", F.lit("a")), "Directions and Locations").otherwise("Things").alias("category"), F.lit(True).alias("has_video"))
 
 
