@@ -140,6 +140,11 @@ def term_gate(c: Column) -> Column:
     )
 
 
+def terminology_need(item: Column, source_arabic: Column) -> Column:
+    """NOT_NEEDED for items in Arabic script or of an Arabic source: they stand for themselves; else ASK."""
+    return F.when(is_arabic(item) | source_arabic, "NOT_NEEDED").otherwise("ASK")
+
+
 def gloss_gate(c: Column) -> Column:
     t = strip(c)
     return (~F.contains(t, F.lit("\n"))) & (F.length(t) <= 40) & ~t.rlike(AR_LETTERS) & t.rlike("^[A-Za-z\\s\\-]+$")

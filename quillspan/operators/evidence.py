@@ -66,6 +66,15 @@ def detection(d: DataFrame, key: str) -> DataFrame:
     return j.join(gaps, key, "left").join(s, key, "left").na.fill(0, ["gaps", "longest_gap", "spikes"])
 
 
+def reappearances(d: DataFrame, key: str, far: float = 0.15) -> DataFrame:
+    """key, returns, far_returns: how often x comes back after a gap, and how often more than `far` from where it was lost."""
+    w = W.partitionBy(key).orderBy("i")
+    last = F.last("x", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    back = F.col("x").isNotNull() & F.col("_p").isNull() & F.col("_l").isNotNull()
+    d = d.withColumn("_p", F.lag("x").over(w)).withColumn("_l", last)
+    return d.groupBy(key).agg(F.count_if(back).alias("returns"), F.count_if(back & (F.abs(F.col("x") - F.col("_l")) > far)).alias("far_returns"))
+
+
 def fingerprint(cells: DataFrame, key: str) -> DataFrame:
     """key, cell, value: mean over frames per cell divided by the key's largest mean. cells: key, v array."""
     m = cells.select(key, F.posexplode("v").alias("cell", "x")).groupBy(key, "cell").agg(F.avg("x").alias("m"))
