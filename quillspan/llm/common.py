@@ -62,6 +62,12 @@ def stored(df: DataFrame, tag: str, owner: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A small table that comes out of a shuffle, in a sixteenth of the files: ids and labels need no more tasks than that."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(-(-n // 16))
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the table behind a result of stored(), once nothing needs it any more."""
     owner, path = df.stored_at
@@ -99,7 +105,7 @@ def without(docs: DataFrame, lost: DataFrame, owner: str, most: int = BROADCAST_
     """
     from .bits import bit_tables, met
 
-    ids = stored(lost.toDF("__lost_id").distinct(), "lost-ids", owner)
+    ids = stored(few(lost.toDF("__lost_id").distinct()), "lost-ids", owner)
     same = F.col("`doc_id`").eqNullSafe(F.col("__lost_id"))
     n = ids.count()
     if n <= most:

@@ -227,7 +227,7 @@ def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFr
 def contamination(docs: DataFrame, items: DataFrame, segment_words: int = 1 << 18, block_words: int = 1 << 20, owner: str = "decontamination") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), hits (merged ranges), contaminated, for every document."""
     index = common.stored(build_index(docs, segment_words), "segments", owner)
-    found = phrase_matches(index, items, block_words, owner)
+    found = common.stored(common.few(phrase_matches(index, items, block_words, owner)), "found", owner)  # its size is known from here on
     d = documents_of(index).join(found, ["segment", "place"], "left")
     ranges = F.array_sort("hits")
     step = F.aggregate(
