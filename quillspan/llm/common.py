@@ -26,9 +26,22 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+#: Bytes of files that a task of the corpus operators should have at least.
+TASK_BYTES = 8 << 20
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """A table with tiny partitions read in fewer tasks: each has TASK_BYTES of files or more, or there are three a core.
+
+    A task of these operators starts Python workers and writes a file; larger partitions stay as they are.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))) if size < TASK_BYTES << 20 else df
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return packed(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
