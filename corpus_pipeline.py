@@ -24,27 +24,27 @@ OWNER = "pipeline"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark, OWNER)
-    return resampling.keep(docs, common.load(spark, sf_dir, "labels"), owner=OWNER)
+    return resampling.keep(common.packed(docs), common.load(spark, sf_dir, "labels"), owner=OWNER)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark, OWNER)
-    return jaccard_join.drop_near_duplicates(docs, owner=OWNER)
+    return jaccard_join.drop_near_duplicates(common.packed(docs), owner=OWNER)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark, OWNER)
-    return phrase_index.drop_contaminated(docs, common.load(spark, sf_dir, "benchmark"), owner=OWNER)
+    return phrase_index.drop_contaminated(common.packed(docs), common.load(spark, sf_dir, "benchmark"), owner=OWNER)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark, OWNER)
-    return pii.redact(docs, owner=OWNER).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.redact(common.packed(docs), owner=OWNER).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark, OWNER)
-    return mixing.mix(docs, owner=OWNER)
+    return mixing.mix(common.packed(docs), owner=OWNER)
 
 
 STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("personal data", personal_data), ("mixing", mix)]
