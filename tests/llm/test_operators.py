@@ -365,7 +365,7 @@ def test_near_duplicates(make, monkeypatch, wide):
     rows = docs_of(texts)
     docs = make(DOCS, [*rows, rows[20], (None, "one", "en", "s", 3)])
     inner = jaccard_join.similar_links
-    monkeypatch.setattr(jaccard_join, "similar_links", lambda *a: inner(*a, wide=wide, chunk=7))
+    monkeypatch.setattr(jaccard_join, "similar_links", lambda *a: inner(*a, wide=wide, chunk=300))
     got = jaccard_join.near_duplicates(docs, 4, 85).toPandas()
     want = near_by_hand([(r[0], r[1]) for r in rows], 4, 85)
     assert len(got) == len(rows) + 2
