@@ -12,8 +12,9 @@ aligned in pieces.
 The wrapper says where a host keeps its article: from the whole page down, the element that holds nearly all characters of
 slots and repeated groups that are no link lists; an element that the tags or class names mark as menu, notice, advert,
 form and the like is never taken. A page is aligned with its host's wrapper, and its text are the blocks at slots and
-groups inside that element, without groups of links and without constants (a constant counts as text where nearly all of
-the element is constant, as on a host of copies). A page that has no text there is read by its own expression alone.
+groups inside that element; where it is no article or main element, without groups of links and without what is constant
+over three pages or more (unless nearly all is constant, as on a host of copies). A page that has no text there is read by
+its own expression alone.
 
 Defined results: null and empty html give empty text; a null url has the empty host, which is a host like others; repeated
 rows are pages of their own; an empty table gives an empty result; extra columns are ignored. Unclosed and stray tags are
@@ -439,7 +440,8 @@ class Article:
         copies = varied.sum() < 0.2 * size.sum()  # nearly all is constant: copies of one page, no template
         good = size if copies else varied
         total = np.concatenate([[0.0], np.cumsum(good)])
-        self.constant = np.array([not copies and size[k] > 0 and varied[k] == 0 for k in range(len(items))])
+        seen = [max((int(t[1]) for t in texts_in(x)), default=0) for x in items]
+        self.constant = np.array([not copies and size[k] > 0 and varied[k] == 0 and seen[k] > 2 for k in range(len(items))])
         self.wanted = size > 0
         heading = {k for k, x in enumerate(items) if (tag_of(x) or "") in ("h1", "h2")}
         start, end, here = 0, len(items), -1
@@ -452,6 +454,7 @@ class Article:
                 break
             start, end, here = best, close[best], best
         self.start, self.end = start, end
+        self.named = here >= 0 and tag_of(items[here]) in ("article", "main")  # then all in it is the article's
 
     def varies(self, heading: int, good: np.ndarray) -> bool:
         """Whether the heading that opens at this place holds text of the article."""
@@ -467,7 +470,7 @@ class Article:
             numbers = _numbers(x)
             if not numbers or not self.start <= place < self.end:
                 continue
-            if k in at and (self.constant[place] or not self.wanted[place]) and self.fits(place, numbers, found):
+            if not self.named and k in at and (self.constant[place] or not self.wanted[place]) and self.fits(place, numbers, found):
                 continue
             kept += [n for n in numbers if not dropped(found[n][0])]
         return [found[n][1] for n in sorted(kept)]

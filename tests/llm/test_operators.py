@@ -305,6 +305,14 @@ def test_the_wrapper_and_not_the_tags_finds_the_article(make, monkeypatch):
     assert alone != p.text[0] and "Our blog" in alone
 
 
+def test_all_of_an_article_element_stays(make):
+    body = "<nav><a>m</a><a>n</a></nav><article><h1>Story {0}</h1><p>the same words on every page</p><ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul><p>own words of page {0}</p></article><div class='ad'>buy {0}</div>"
+    pages = [(k, "http://s.example/", body.format(k)) for k in range(6)]
+    p = wrappers.extract(make("page_id long, url string, html string", pages)).toPandas().set_index("page_id")
+    for k in range(6):
+        assert p.text[k] == f"Story {k}\nthe same words on every page\none\ntwo\nthree\nown words of page {k}"
+
+
 def test_inline_hidden_and_broken_markup():
     text = lambda inner: wrappers.main_text(f"<article><p>long enough to be an article {inner}</p></article>")
     assert text('a <span class="ad">buy <b>now</b></span> b') == "long enough to be an article a b"
