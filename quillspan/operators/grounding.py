@@ -62,6 +62,7 @@ def _counter(held):
         for pdf in it:
             for source in pdf["source"].dropna():
                 n.update({k for _, k in machine.iter(source)})
-        yield pd.DataFrame({"span": [held.value[k] for k in n], "n": list(n.values())})
+        if n:
+            yield pd.DataFrame({"span": [held.value[k] for k in n], "n": list(n.values())})
 
     return run

@@ -42,10 +42,10 @@ def exact(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return d.where(F.col("en").isNotNull() | F.col("ar").isNotNull()).select("item", hit.alias("exact"))
 
 
-def morphology(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """item, morph: struct(row, method, token, form): token by token, plural forms before -ing/-ed forms, then the whole word."""
-    whole = F.lower(text.strip(F.col("item")))
-    toks = text.tokens_en(F.col("item"))
+def tried_forms(item: Column) -> Column:
+    """array of struct(rank, token, form, safe) that morphology looks up: token by token, plural forms before -ing/-ed forms, then the whole word."""
+    whole = F.lower(text.strip(item))
+    toks = text.tokens_en(item)
     toks = F.when(F.size(toks) > 0, toks).otherwise(F.array(whole))
     single = ~whole.rlike(r"\s")
 
@@ -55,26 +55,58 @@ def morphology(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
     per_token = F.flatten(F.transform(toks, lambda t, i: forms(t, i)))
     tried = F.when(single, F.concat(per_token, forms(whole, F.lit(10_000)))).otherwise(per_token)
-    d = items.select("item", F.explode(F.filter(tried, lambda x: x["form"].isNotNull() & (~x["safe"] | (x["form"] != x["token"])))).alias("f")).select("item", "f.*")
-    en = english_keys(catalog)
-    hit = d.join(en, d["form"] == en["key"])
-    best = F.struct("row", F.when(F.col("safe"), "MORPHOLOGY_EN").otherwise("MORPHOLOGY_CANDIDATE").alias("method"), "token", "form")
-    return hit.groupBy("item").agg(F.min_by(best, "rank").alias("morph"))
+    return F.filter(tried, lambda x: x["form"].isNotNull() & (~x["safe"] | (x["form"] != x["token"])))
 
 
-def alias(items: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
-    """item, alias: the catalog row of the first alias; aliases (ord, catalog_id, alias) of unknown rows do not count."""
+def alias_keys(catalog: DataFrame, aliases: DataFrame) -> DataFrame:
+    """key, row: the catalog row of the first alias with the key; aliases (ord, catalog_id, alias) of unknown rows do not count."""
     known = aliases.join(catalog.select(F.col("id").alias("catalog_id"), _row().alias("row")), "catalog_id")
     both = F.array(F.lower(text.strip(F.col("alias"))), text.normalize_ar(F.col("alias")))
-    keys = known.select("ord", "row", F.explode(F.array_distinct(both)).alias("key")).where("key <> ''").groupBy("key").agg(F.min_by("row", "ord").alias("row"))
-    d = items.select("item", F.posexplode(F.array(F.lower(text.strip(F.col("item"))), text.normalize_ar(F.col("item")))).alias("p", "key"))
-    return d.join(keys, "key").groupBy("item").agg(F.min_by("row", "p").alias("alias"))
+    return known.select("ord", "row", F.explode(F.array_distinct(both)).alias("key")).where("key <> ''").groupBy("key").agg(F.min_by("row", "ord").alias("row"))
+
+
+def layers(items: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """item, exact, morph, alias, clitic of the items that any of these layers finds, by one join of all their keys.
+
+    Every layer's best row is the one of the smallest rank among its own keys.
+    """
+    item = F.col("item")
+    low, norm = F.lower(text.strip(item)), text.normalize_ar(item)
+    none = F.lit(None)
+
+    def key(layer, rank, names, k, token=none, form=none, safe=none):
+        return F.struct(F.lit(layer).alias("layer"), rank.cast("int").alias("rank"), F.lit(names).alias("names"), k.alias("key"), token.cast("string").alias("token"), form.cast("string").alias("form"), safe.cast("boolean").alias("safe"))
+
+    zero, one = F.lit(0), F.lit(1)
+    fixed = F.array(key("E", zero, "e", low), key("E", one, "a", norm), key("A", zero, "l", low), key("A", one, "l", norm))
+    forms = F.transform(tried_forms(item), lambda x: key("M", x["rank"], "e", x["form"], x["token"], x["form"], x["safe"]))
+    clitics = F.transform(text.clitic_forms(norm), lambda x, i: key("C", i, "a", x, form=x))
+    asked = items.select("item", F.explode(F.concat(fixed, forms, clitics)).alias("k")).select("item", "k.*").where("key <> ''")
+    named = lambda d, n: d.select(F.lit(n).alias("names"), "key", "row")
+    dictionary = named(english_keys(catalog), "e").unionByName(named(arabic_keys(catalog), "a"))
+    if aliases is not None:
+        dictionary = dictionary.unionByName(named(alias_keys(catalog, aliases), "l"))
+    best = lambda layer, c: F.min_by(c, F.when(F.col("layer") == layer, F.col("rank")))
+    method = F.when(F.col("rank") == 0, "EXACT_EN").otherwise("EXACT_AR")
+    return asked.join(dictionary, ["names", "key"]).groupBy("item").agg(
+        best("E", F.struct("row", method.alias("method"))).alias("exact"), best("M", F.struct("row", F.when(F.col("safe"), "MORPHOLOGY_EN").otherwise("MORPHOLOGY_CANDIDATE").alias("method"), "token", "form")).alias("morph"),
+        best("A", F.col("row")).alias("alias"), best("C", F.struct("row", "form")).alias("clitic"),
+    )
+
+
+def morphology(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """item, morph: struct(row, method, token, form) of the items that a reduced form finds."""
+    return layers(items, catalog).where("morph is not null").select("item", "morph")
+
+
+def alias(items: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
+    """item, alias: the catalog row of the first alias, by the English key first, then the Arabic one."""
+    return layers(items, catalog, aliases).where("alias is not null").select("item", "alias")
 
 
 def clitic(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """item, clitic: struct(row, form) of the first form without its leading clitic that is an Arabic label."""
-    d = items.select("item", F.posexplode(text.clitic_forms(text.normalize_ar(F.col("item")))).alias("p", "key"))
-    return d.join(arabic_keys(catalog), "key").groupBy("item").agg(F.min_by(F.struct("row", F.col("key").alias("form")), "p").alias("clitic"))
+    return layers(items, catalog).where("clitic is not null").select("item", "clitic")
 
 
 def overlap_scores(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -115,9 +147,7 @@ def resolve(items: DataFrame, catalog: DataFrame, aliases: DataFrame | None = No
     d = items.select("item", (F.col("source_arabic") if "source_arabic" in items.columns else F.lit(False)).alias("source_arabic")).distinct()
     only = d.select("item")
     none = F.lit(None)
-    out = d.join(exact(only, catalog), "item", "left").join(morphology(only, catalog), "item", "left")
-    out = out.join(alias(only, catalog, aliases), "item", "left") if aliases is not None else out.withColumn("alias", none.cast(out.schema["exact"].dataType["row"].dataType))
-    out = out.join(clitic(only, catalog), "item", "left")
+    out = d.join(layers(only, catalog, aliases), "item", "left")
     found = candidates(only, catalog, top).groupBy("item").agg(F.collect_list(F.struct("rank", "row")).alias("c"))
     out = out.join(found, "item", "left")
     demoted = F.col("exact.method").eqNullSafe("EXACT_EN") & F.col("exact.row.category").isin(POLYSEMOUS)

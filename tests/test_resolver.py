@@ -85,3 +85,14 @@ def test_plans_and_segments(spark):
     units = spark.createDataFrame([("u1", 0, "sun", "VERIFIED", ["a"]), ("u1", 1, "bat", "FINGERSPELL_CANDIDATE", ["b", "c", "d"]), ("u2", 0, "gone", "VERIFIED", ["x"]), ("u2", 1, "n", "VERIFIED", None), ("u2", 2, "r", "UNSUPPORTED", None)], "unit_id string, idx int, term string, status string, clip_keys array<string>")
     good, bad = planning.segments(units, spark.createDataFrame([(c,) for c in "abcd"], "clip_key string"))
     assert good.count() == 4 and {r.term for r in bad.collect()} == {"gone", "n"}
+
+
+def test_spans_in_sources(spark):
+    from quillspan.operators import grounding
+
+    spans = spark.createDataFrame([(1, " the cat "), (2, "dog"), (3, ""), (4, None), (5, "dog"), (6, "o")], "item_id long, text string")
+    sources = spark.createDataFrame([(1, "see the cat run"), (2, "dog dog"), (3, None), (4, "zzz"), (5, "the catdog")], "doc_id long, text string").repartition(5)
+    for size in (1 << 22, 3):  # one block of spans, or several
+        got = {r.item_id: (r.n_sources, r.verified) for r in grounding.verify_spans(spans, sources, size).collect()}
+        assert got == {1: (2, True), 2: (2, True), 3: (0, False), 4: (0, False), 5: (2, True), 6: (2, True)}
+    assert grounding.verify_spans(spans, sources.limit(0)).where("verified").count() == 0
