@@ -1,4 +1,4 @@
-"""The results of three operators in DuckDB SQL, over whole tables.
+"""The results of five operators in DuckDB SQL, over whole tables.
 
 Words and shingles are made with windows over one row per word, byte strings with windows of overlapping chunks of
 hexadecimal text, so that no row carries a whole document.
@@ -43,3 +43,20 @@ i AS (SELECT doc_id, p, sum(CASE WHEN p > b + {LENGTH} THEN 1 ELSE 0 END) OVER (
 z AS (SELECT doc_id, min(p) f, max(p) + {LENGTH} t FROM i GROUP BY doc_id, run), y AS (SELECT doc_id, f, t, lag(t, 1, 0) OVER (PARTITION BY doc_id ORDER BY f) b FROM z),
 g AS (SELECT doc_id, sum(t - f) removed, count(*) spans, string_agg(substr(h, 2 * b + 1, 2 * (f - b)), '' ORDER BY f) || substr(any_value(h), 2 * max(t) + 1) kept FROM y JOIN d USING (doc_id) GROUP BY 1)
 SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
+
+#: A word is lost if a repeated window of 35 begins at it or at one of the 34 before it.
+OP11 = rf"""WITH d AS (SELECT doc_id, row_number() OVER () rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents), t AS (SELECT rid, unnest(ws) w, unnest(range(0, len(ws))) p FROM d),
+g AS (SELECT rid, p, w, {_gram(35)} g FROM t WINDOW o AS (PARTITION BY rid ORDER BY p)), r AS (SELECT rid, p, w, g IS NOT NULL AND count(*) OVER (PARTITION BY hash(g), hash(g || 'x')) > 1 l FROM g),
+k AS (SELECT rid, p, w, max(CASE WHEN l THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY p ROWS 34 PRECEDING) x FROM r), n AS (SELECT rid, sum(x) removed, string_agg(w, ' ' ORDER BY p) FILTER (WHERE x = 0) kept FROM k GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (rid)"""
+
+_ROUND = """, m{r} AS MATERIALIZED (SELECT rid, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 64 + k) m FROM v, c{r} GROUP BY 1)"""
+_MOVE = """, c{n} AS MATERIALIZED (SELECT k, coalesce(z, c) c FROM c{r} LEFT JOIN (SELECT k, list(y ORDER BY j) z FROM (SELECT m % 64 k, j, floor(sum(y) / count(*)) y FROM (SELECT m, unnest(x) y, unnest(range(0, 64)) j FROM v JOIN m{r} USING (rid)) GROUP BY ALL) GROUP BY k) USING (k))"""
+#: Distances and numbers of centroids are packed into one number, of which the smallest counts; doubles hold whole numbers here.
+OP12 = (
+    """WITH v AS MATERIALIZED (SELECT row_number() OVER () rid, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 k, x c FROM (SELECT sha256('2:' || vec_id) h, x FROM v ORDER BY ALL LIMIT 40))"""
+    + "".join(_ROUND.format(r=r) + _MOVE.format(r=r, n=r + 1) for r in range(5))
+    + _ROUND.format(r=5)
+    + """ SELECT vec_id, (m % 64)::INT AS cluster, m // 64 AS distance, (sum(m // 64) OVER (PARTITION BY m % 64))::BIGINT AS cluster_inertia, (sum(m // 64) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(c, lambda e: e::BIGINT), ',')) AS centroid_sha256 FROM m5 JOIN v USING (rid) JOIN c5 ON k = m % 64"""
+)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, gif, jaccard_join, mixing, oracles, phrase_index, pii, resampling, suffix_dedup, toxicity, url_rules, wrappers
+from . import common, cover_dedup, gif, hamerly, jaccard_join, mixing, oracles, phrase_index, pii, resampling, runs, suffix_dedup, toxicity, url_rules, wrappers
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.load(spark, sf_dir, "documents"))
 
 
+def op11_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.digest(common.load(spark, sf_dir, "documents"))
+
+
+def op12_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.digest(common.load(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(common.load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_importance_resampling, op3_pii, op4_decontamination, op5_html_wrappers, op6_jaccard_join, op7_url_rules, op8_suffix_dedup, op9_gif_media, op10_mixing)
+    for f in (op1_toxicity, op2_importance_resampling, op3_pii, op4_decontamination, op5_html_wrappers, op6_jaccard_join, op7_url_rules, op8_suffix_dedup, op9_gif_media, op10_mixing, op11_cover_dedup, op12_hamerly_clusters, op13_periodic_runs)
 }
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": oracles.OP4, "op6_jaccard_join": oracles.OP6, "op8_suffix_dedup": oracles.OP8}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": oracles.OP4, "op6_jaccard_join": oracles.OP6, "op8_suffix_dedup": oracles.OP8, "op11_cover_dedup": oracles.OP11, "op12_hamerly_clusters": oracles.OP12}
