@@ -36,7 +36,7 @@ from . import common
 
 LENGTH = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: What a row of `anchors` is: an anchor, one whose equals in its batch are settled, one that stands for asked ones, a
 #: settled range of words (place to context), an asked place.
 PLAIN, SEVERAL, ASKED, LOST, ASK = range(5)
