@@ -35,9 +35,10 @@ def unescape(c: Column) -> Column:
 
 
 #: The three fields must follow each other in this order with these separators for the same triples to be
-#: found: a comma after the concept, and no quotation mark between the list of terms and the span.
-CONCEPT_FIELDS = r'(?s)"concept"\s*:\s*"((?:[^"\\]|\\.)*)"\s*,\s*"key_terms"\s*:\s*(\[[^\]]*\])[^"]*?"source_span"\s*:\s*"((?:[^"\\]|\\.)*)"'
-CONCEPTS = "array<struct<concept:string,key_terms:array<string>,source_span:string>>"
+#: found: a comma after the concept, and no quotation mark between the list of terms and the span. What stands between
+#: quotation marks is taken without a way back, so a long text costs no stack.
+_QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+CONCEPT_FIELDS = rf'(?s)"concept"\s*:\s*{_QUOTED}\s*,\s*"key_terms"\s*:\s*(\[[^\]]*+\])[^"]*+"source_span"\s*:\s*{_QUOTED}'
 
 
 def _kind(x: Column, path: str) -> Column:

@@ -6,7 +6,9 @@ null, so runs without nulls are dealt apart.
 
 from __future__ import annotations
 
+import itertools
 import math
+import pickle
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -15,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .durable import cut
+
 TWO_PI = 2 * math.pi
 HOLD = 8
 
@@ -33,12 +37,31 @@ def after(c: Column, key="key") -> Column:
     return F.first(c, ignorenulls=True).over(_order(key).rowsBetween(1, W.unboundedFollowing))
 
 
-def scan(d: DataFrame, by: list[str], order: list[str], out: str, start: Callable, step: Callable) -> DataFrame:
+#: Rows of a key from which on its ranges are walked by several tasks.
+HOT_ROWS = 1 << 20
+
+
+def scan(d: DataFrame, by: list[str], order: list[str], out: str, start: Callable, step: Callable, hot_rows: int | None = None) -> DataFrame:
     """The by columns and the columns of the DDL `out`: a state carried along the rows of each group, in order.
 
     step(state, row) gives (state, values of out) or (state, None) for no row. Groups are dealt, sorted and read as a
-    stream, so a task holds one state and a batch of rows, however long a group is.
+    stream, so a task holds one state and a batch of rows. Groups of hot_rows rows or more are cut into ranges, see
+    scan_ranges().
     """
+    most = HOT_ROWS if hot_rows is None else hot_rows
+    schema, walk = _walker(d, by, out, start, step)
+    few = d.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(lambda it: walk(it, None), schema)
+    hot = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= most).select(*by)
+    hot = cut(hot)
+    if hot.isEmpty():
+        return few
+    cold = d.join(hot, by, "left_anti").repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(lambda it: walk(it, None), schema)
+    return cold.unionByName(scan_ranges(d.join(hot, by, "left_semi"), by, order, out, start, step))
+
+
+def _walker(d: DataFrame, by: list[str], out: str, start: Callable, step: Callable):
+    """The result's schema, and walk(batches, first state, ends): the rows as batches; ends gets (first key, last key, last
+    state, whether there was one key only)."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -46,21 +69,104 @@ def scan(d: DataFrame, by: list[str], order: list[str], out: str, start: Callabl
     schema = T.StructType([*[d.schema[c] for c in by], *fields])
     arrow, names = to_arrow_schema(schema), [f.name for f in fields]
 
-    def rows(it):
-        open_, state = None, None
+    def walk(it, first, ends=None):
+        open_, state, head, one = None, None, None, True
         for batch in it:
             done = []
             for r in batch.to_pylist():
                 key = [r[c] for c in by]
                 if key != open_:
-                    open_, state = key, start()
+                    one = open_ is None
+                    state = first[0] if one and first is not None else start()
+                    head, open_ = key if one else head, key
                 state, y = step(state, r)
-                if y is not None:
+                if y is not None and ends is None:
                     done.append(dict(zip(by, key, strict=True)) | dict(zip(names, y, strict=True)))
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=arrow)
+        if ends is not None and open_ is not None:
+            ends.append((head, open_, state, one))
+
+    return schema, walk
 
-    return d.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(rows, schema)
+
+def scan_ranges(d: DataFrame, by: list[str], order: list[str], out: str, start: Callable, step: Callable, rounds: list | None = None) -> DataFrame:
+    """scan() with the rows in ranges of equal size, however many of them are one group's, and with the very same values.
+
+    A range needs the state in which the range before it ends. Every range is walked from the start state; of those that
+    go on with a group, the driver then follows the chain of states as far as it is known, and asks for the ranges at which
+    it is not: from the state reached, and for the ranges behind also from the states that it takes to be theirs, the
+    one reached and the one in which the range before ended last. States that forget (averages, holds, debounced jumps) or
+    seldom change (matchers, plans) agree after two or three rounds; at worst every round settles one more range. Then one
+    pass gives the rows. The driver holds a few states a range. `rounds` gets the number of ranges walked in each round.
+    """
+    schema, walk = _walker(d, by, out, start, step)
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not coalesced
+    ranged = cut(d.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("_range", F.spark_partition_id()))
+
+    def number(it):
+        """The range's number, and its batches; none for a range without rows."""
+        it = iter(it)
+        head = next((b for b in it if b.num_rows), None)
+        return (None, ()) if head is None else (head.column("_range")[0].as_py(), itertools.chain([head], it))
+
+    def ask(wanted: dict[int, list]) -> dict[tuple[int, bytes], tuple]:
+        held = d.sparkSession.sparkContext.broadcast(wanted)
+
+        def run(it):
+            import pyarrow as pa
+
+            p, batches = number(it)
+            todo = [] if p is None else held.value.get(p, []) if held.value else [None]
+            batches = list(batches) if len(todo) > 1 else batches  # one range of bounded size, walked from several states
+            found = []
+            for first in todo:
+                ends: list = []
+                for _ in walk(iter(batches), None if first is None else (pickle.loads(first),), ends):
+                    pass
+                found += [(p, first or b"", pickle.dumps(e)) for e in ends]
+            yield pa.RecordBatch.from_pydict({"p": pa.array([f[0] for f in found], pa.int32()), "first": pa.array([f[1] for f in found], pa.binary()), "ends": pa.array([f[2] for f in found], pa.binary())})
+
+        got = ranged.mapInArrow(run, "p int, first binary, ends binary").collect()
+        return {(r.p, bytes(r.first)): pickle.loads(r.ends) for r in got}
+
+    known = ask({})  # by range and first state, empty for the start state
+    if rounds is not None:
+        rounds.append(len(known))
+    parts = sorted(p for p, _ in known)
+    goes_on = {q: known[p, b""][1] == known[q, b""][0] for p, q in zip(parts, parts[1:], strict=False)}
+    while True:
+        firsts: dict[int, bytes] = {}
+        wanted: dict[int, set] = {}
+        before, guess = None, b""  # how the range before ended, if that is settled; else the state taken for it
+        for k, p in enumerate(parts):
+            alone = known[p, b""][3]  # a range with several groups ends as it does from the start state
+            if not goes_on.get(p):
+                firsts[p], before = b"", known[p, b""]
+                continue
+            if before is not None:
+                guess = firsts[p] = pickle.dumps(before[2])
+                before = known.get((p, guess))
+                wanted[p] = {guess} if before is None and alone else set()
+            elif alone:  # behind an open range of the same group
+                last = next(known[x] for x in reversed(known) if x[0] == parts[k - 1])
+                wanted[p] = {x for x in (guess, pickle.dumps(last[2])) if (p, x) not in known}
+            if not alone:
+                before = known[p, b""]
+        wanted = {p: x for p, x in wanted.items() if x}
+        if not wanted:
+            break
+        if rounds is not None:
+            rounds.append(len(wanted))
+        known |= ask({p: sorted(x) for p, x in wanted.items()})
+    held = d.sparkSession.sparkContext.broadcast(firsts)
+
+    def replay(it):
+        p, batches = number(it)
+        first = held.value.get(p, b"")
+        yield from walk(batches, (pickle.loads(first),) if first else None)
+
+    return ranged.mapInArrow(replay, schema)
 
 
 def scan_runs(s: DataFrame, value: str, kind: str, start: Callable, step: Callable, key: str = "key") -> DataFrame:

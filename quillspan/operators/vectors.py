@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 
 def cosine(a: Column, b: Column) -> Column:
     """0 when either has no length."""
@@ -91,23 +93,13 @@ def clusters(pairs: DataFrame, most: int = 60) -> DataFrame:
 
     Each round is cut off by checkpoint() in the shared folder the session names.
     """
-    spark = pairs.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="quillspan-")  # one machine only
-        spark.sparkContext.setCheckpointDir(named)
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("l")).checkpoint()
+    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("l")))
     for _ in range(most):
         near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
         step = labels.join(near, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         far = labels.select(F.col("v").alias("l"), F.col("l").alias("f"))
-        new = step.join(far, "l", "left").select("v", "old", F.least("l", F.coalesce("f", "l")).alias("l")).checkpoint()
+        new = cut(step.join(far, "l", "left").select("v", "old", F.least("l", F.coalesce("f", "l")).alias("l")))
         if not new.where("old <> l").limit(1).count():
             return new.select(F.col("v").alias("vec_id"), F.col("l").alias("cluster"))
         labels = new.select("v", "l")

@@ -8,14 +8,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import series
 from ..sources import readers, sinks
-from ..streaming import event_log
+from ..streaming import event_log, ordered
 from .base import query, table
-from .series_queries import _S, KEY, events
+from .series_queries import _B, _S, KEY, events
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -126,7 +127,8 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 SELECT CAST(user_id AS VARCHAR) AS key, i::BIGINT AS i, y FROM r""")
 def streamed_ema(spark, sf_dir):
     path = scratch(spark, "series")
-    events(spark, sf_dir).select(F.col(KEY).cast("string").alias("key"), F.col("i").cast("long").alias("i"), "x").write.parquet(f"{path}/in")
+    frames = events(spark, sf_dir).select(F.col(KEY).cast("string").alias("key"), F.col("i").cast("long").alias("i"), "x")
+    frames.repartition(3, F.xxhash64("key", "i")).write.parquet(f"{path}/in")  # in no order
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     stream = spark.readStream.schema("key string, i long, x double").parquet(f"{path}/in")
     q = event_log.step_stream(stream).writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
@@ -181,3 +183,25 @@ def manifest_on_disk(spark, sf_dir):
     back = spark.read.json(path)
     assert "source_text" not in back.columns
     return back.select("doc_id", "requested", "n")
+
+
+@query(f"""WITH {_B} SELECT CAST(user_id AS VARCHAR) AS key, i::BIGINT AS i, CASE WHEN x IS NOT NULL THEN x WHEN li IS NULL AND ni - i <= 8 THEN nx WHEN i - li <= 8 AND ni IS NOT NULL THEN lx + ((lx * (1 - t) + nx * t) - lx) WHEN i - li <= 8 THEN lx END AS y,
+CASE WHEN x IS NOT NULL THEN 1.0::DOUBLE WHEN li IS NULL AND ni - i <= 8 THEN 1.0::DOUBLE - (ni - i) / 8.0::DOUBLE WHEN i - li <= 8 AND ni IS NOT NULL THEN 1.0::DOUBLE WHEN i - li <= 8 THEN 1.0::DOUBLE - (i - li) / 8.0::DOUBLE ELSE 0.0::DOUBLE END AS alpha FROM t""")
+def streamed_gap_bridge(spark, sf_dir):
+    """Every key's frames lie shuffled in several files, which come in three runs of the stream, each from its checkpoint."""
+    path = scratch(spark, "bridge")
+    e = events(spark, sf_dir)
+    last = F.col("i") == F.max("i").over(W.partitionBy(KEY))
+    d = e.select(F.col(KEY).cast("string").alias("key"), F.col("i").cast("long").alias("i"), "x", last.alias("last"), F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("part"))
+    d.repartition("part").write.partitionBy("part").parquet(f"{path}/all")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    for part in range(3):
+        spark.read.schema(_FRAMES).parquet(f"{path}/all/part={part}").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(_FRAMES).parquet(f"{path}/in")
+        q = ordered.gap_bridge_stream(stream).writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.parquet(f"{path}/out")
+
+
+_FRAMES = "key string, i long, x double, last boolean"

@@ -6,12 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.series import _alpha
+from .ordered import Steps, walk_stream
 
 EVENTS = "job_id string, seq long, stage string, status string, message string, ts timestamp, elapsed_s double"
 
@@ -102,35 +101,7 @@ def hold_step(state, x, hold: int = 8):
     return (state[0], state[1] + 1), state[0]
 
 
-class StepProcessor(StatefulProcessor):
-    """A step function over rows (key, i, x) that come in order of i, with up to three doubles of state per key."""
-
-    def __init__(self, step: Callable):
-        self.step = step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "n int, a double, b double, c double")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        state = None if held is None else held[1] if held[0] == 0 else tuple(held[1 : 1 + held[0]])
-        for pdf in rows:
-            pdf = pdf.sort_values("i")
-            out = []
-            for x in pdf["x"].tolist():
-                state, y = self.step(state, None if pd.isna(x) else x)
-                out.append(y)
-            yield pd.DataFrame({"key": key[0], "i": pdf["i"].to_numpy(), "y": pd.Series(out, dtype="float64")})
-        if state is None:
-            self.state.clear()
-        else:
-            parts = state if isinstance(state, tuple) else (state,)
-            self.state.update((len(parts) if isinstance(state, tuple) else 0, *parts, *[None] * (3 - len(parts))))
-
-    def close(self) -> None:
-        pass
-
-
 def step_stream(stream: DataFrame, step: Callable = ema_step) -> DataFrame:
-    """key, i, y in append mode: a stream of (key, i, x) through ema_step, one_euro_step, hold_step or one like them."""
-    return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=StepProcessor(step), outputStructType="key string, i long, y double", outputMode="Append", timeMode="None")
+    """key, i, y in append mode: a stream of (key, i, x) through ema_step, one_euro_step, hold_step or one like them; frames
+    may come in any order."""
+    return walk_stream(stream, Steps(step))

@@ -79,3 +79,20 @@ def test_sequence_scores():
     assert 0 < vectors.bleu4(same, "a b c d x".split()) < 1
     assert vectors._lcs("abcde", "ace") == 3
     assert vectors.bleu4(same, "a x".split()) == pytest.approx(math.exp(1 - 5 / 2 + 0.25 * (math.log(1 / 2) + math.log(math.log(2) / 10 / 1) + math.log(math.log(2) / 20 / 1) + math.log(math.log(2) / 40 / 1))), rel=1e-6)
+
+
+def test_long_replies_cost_no_stack(spark):
+    """Replies of a megabyte: a concept of one piece, one full of escapes, and many objects."""
+    long, escapes = "ب" * 1_200_000, '\\"x\\n' * 250_000
+    one_of = lambda c, t, s: f'{{"concept": "{c}", "key_terms": {t}, "source_span": "{s}"}}'
+    r = one(spark, one_of(long, '["k"]', long), parsing.lenient_concepts)
+    assert [(x.concept == long, x.key_terms, x.source_span == long) for x in r] == [(True, ["k"], True)]
+    r = one(spark, one_of(escapes, "[]", "s"), parsing.lenient_concepts)
+    assert r[0].concept == '"x\n' * 250_000
+    r = one(spark, "chatter " + ", ".join(one_of(f"c{i}", '["k"]', "s") for i in range(15_000)), parsing.lenient_concepts)
+    assert [x.concept for x in r] == [f"c{i}" for i in range(15_000)]
+    status = lambda raw, retry: spark.createDataFrame([(raw, retry)], "a string, b string").select(parsing.extraction(F.col("a"), F.col("b")).alias("r")).first().r
+    assert status('"' + long, long).status == "FAILED_AFTER_REPAIR"
+    assert status('[{"concept": "a\'./b", "key_terms": ["c"]}]', "[]").asDict() == {"status": "OK_AFTER_REPAIR", "concepts": []}
+    assert status("not json at all", "still not json").status == "FAILED_AFTER_REPAIR"
+    assert status('[{"concept": "Cell", "key_terms": "cell", "source_span": "s"}]', "[]").status == "OK_AFTER_REPAIR"

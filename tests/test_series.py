@@ -119,3 +119,51 @@ def test_small_ones(spark):
 def test_global_number(spark):
     d = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("v"))
     assert all(r.v == r.number for r in series.global_number(d, "v").collect())
+
+
+def _one_key(spark, n, gaps=()):
+    rng = random.Random(n)
+    rows = [("hot", i, None if i in gaps else rng.uniform(-50, 50)) for i in range(n)] + [(f"k{i % 7}", i // 7, float(i % 11)) for i in range(70)]
+    return spark.createDataFrame(rows, "key string, i int, x double").repartition(5)
+
+
+@pytest.mark.parametrize("f", ["ema", "one_euro"])
+def test_ranges_of_a_hot_key_give_the_same_values(spark, monkeypatch, f):
+    d = _one_key(spark, 6000, gaps={10, 11, 4000})
+    want = sorted(map(tuple, getattr(series, f)(d).collect()), key=str)
+    monkeypatch.setattr(series, "HOT_ROWS", 500)
+    assert sorted(map(tuple, getattr(series, f)(d).collect()), key=str) == want
+
+
+def test_a_single_key_is_walked_in_all_ranges(spark):
+    d = _one_key(spark, 8000).where("key = 'hot'")
+    step = lambda y, r: ((y * 0.75 + r["x"] * 0.25,) * 2 if y is not None else (r["x"],) * 2)
+    one = lambda y, r: (lambda s: (s[0], (r["i"], s[1])))(step(y, r))
+    rounds = []
+    got = series.scan_ranges(d, ["key"], ["i"], "i int, y double", lambda: None, one, rounds)
+    want = series.scan(d, ["key"], ["i"], "i int, y double", lambda: None, one)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert rounds[0] == 4 and len(rounds) <= 3  # states that forget agree after the first guess
+    assert got.groupBy(F.spark_partition_id()).count().count() == 4
+
+
+def test_ranges_for_plans_matchers_and_jumps(spark, monkeypatch):
+    from decimal import Decimal
+
+    rng = random.Random(8)
+    units = spark.createDataFrame([("k", i, Decimal(rng.randint(100, 900)) / 100) for i in range(3000)], "key string, i int, dur decimal(18,2)")
+    samples = spark.createDataFrame([("k", i, "abcd"[min(3, i // 800)] + "z") for i in range(3000)], "key string, i int, text string")
+    labels = spark.createDataFrame([("k", i, c) for i, c in enumerate("abcd")], "key string, pos int, label string")
+    jumps = _one_key(spark, 3000)
+    make = (lambda: series.duration_plan(units, "60.00"), lambda: series.align_labels(samples, labels), lambda: series.state_changes(jumps))
+    want = [sorted(map(str, m().collect())) for m in make]
+    monkeypatch.setattr(series, "HOT_ROWS", 300)
+    assert [sorted(map(str, m().collect())) for m in make] == want
+
+
+def test_ranges_whose_states_never_forget(spark):
+    d = spark.createDataFrame([("a", i) for i in range(400)] + [("b", i) for i in range(1500)], "key string, i int")
+    count = lambda n, r: (n + r["i"] % 3, (r["i"], n + r["i"] % 3))
+    got = series.scan_ranges(d, ["key"], ["i"], "i int, n int", lambda: 0, count)
+    want = {(k, i): sum(j % 3 for j in range(i + 1)) for k, n in (("a", 400), ("b", 1500)) for i in range(n)}
+    assert {(r.key, r.i): r.n for r in got.collect()} == want
