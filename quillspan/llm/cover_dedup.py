@@ -134,21 +134,35 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def settled(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """t1, t2, lost (bounds) or ask (place): what neighbours in the order of anchor and context say."""
+    """t1, t2, lost (a range, see _range()) or ask (place): what neighbours in the order of anchor and context say."""
     order = W.partitionBy("a").orderBy("c")
     is_anchor = F.col("kind") <= ASKED
     beside = lambda f: f(F.when(is_anchor, F.struct("c"))).over(order)
     d = rows.select("*", beside(F.lag).alias("p"), beside(F.lead).alias("n"))
     same = F.col("p.c").eqNullSafe(F.col("c")) | F.col("n.c").eqNullSafe(F.col("c"))
     unlike = (F.col("p.c") != F.col("c")) | (F.col("n.c") != F.col("c"))
-    bounds = lambda a, b: F.struct(a.cast("int").alias("low"), b.cast("int").alias("high"))
-    around = bounds(F.greatest(F.col("place") - PERIOD + 1, F.lit(0)), F.col("place") + length)  # beyond the end there are no words
-    lost = F.when(F.col("kind") == LOST, bounds(F.col("place"), F.col("c"))).when((F.col("kind") == PLAIN) & same, around)
+    around = _range(F.greatest(F.col("place") - PERIOD + 1, F.lit(0)), F.col("place") + length)  # beyond the end there are no words
+    lost = F.when(F.col("kind") == LOST, _range(F.col("place"), F.col("c"))).when((F.col("kind") == PLAIN) & same, around)
     ask = F.when((F.col("kind") == ASK) | (F.col("kind").isin(PLAIN, SEVERAL) & F.coalesce(unlike, F.lit(False))), F.col("place"))
     return d.select("t1", "t2", lost.alias("lost"), ask.alias("ask")).where("lost is not null or ask is not null")
 
 
-def _kept(text: str | None, ranges) -> tuple[int, int, bytes]:
+def _range(low, high):
+    """Words from low to before high as one long, which sorts like the pair and costs no object."""
+    return F.shiftleft(low.cast("long"), 32) + high.cast("long")
+
+
+def _merged(*ranges) -> list[tuple[int, int]]:
+    """The union of ranges."""
+    x = np.sort(np.concatenate([np.zeros(0, np.int64), *[r for r in ranges if r is not None]]).astype(np.int64))
+    if not len(x):
+        return []
+    low, top = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
+    at = np.flatnonzero(np.concatenate([[True], low[1:] > top[:-1]]))
+    return list(zip(low[at].tolist(), top[np.append(at[1:], len(x)) - 1].tolist(), strict=True))
+
+
+def _kept(text: str | None, ranges: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """Words, removed words, and the others joined by blanks."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
     at, parts = 0, []
@@ -159,29 +173,18 @@ def _kept(text: str | None, ranges) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(parts), b" ".join(parts)
 
 
-def _merged(ranges) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for low, high in sorted((r["low"], r["high"]) for r in ranges):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return out
-
-
 def halves(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Finished documents (doc_id, n_words, n_removed, kept), and those with asked places with their text, lost and ask."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bounds = "array<struct<low:int,high:int>>"
     per_text = found.groupBy("t1", "t2").agg(F.collect_list("lost").alias("lost"), F.array_sort(F.collect_set("ask")).alias("ask"))  # no more than a text has words
 
     def run(it):
         for pdf in common.batches(it):
             out = []
             for r in pdf.itertuples(index=False):
-                lost = [] if r.lost is None else _merged(r.lost)
+                lost = _merged(r.lost)
                 if r.ask is not None and len(r.ask):
-                    out.append((r.doc_id, None, None, None, r.t1, r.t2, r.text, [{"low": a, "high": b} for a, b in lost], r.ask))
+                    out.append((r.doc_id, None, None, None, r.t1, r.t2, r.text, [a << 32 | b for a, b in lost], r.ask))
                 else:
                     out.append((r.doc_id, *_kept(r.text, lost), r.t1, r.t2, None, None, None))
             frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "t1", "t2", "text", "lost", "ask"])
@@ -189,7 +192,7 @@ def halves(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield frame.astype({"n_words": "Int64", "n_removed": "Int64"})
 
     d = docs.join(per_text, ["t1", "t2"], "left").select("doc_id", "text", "t1", "t2", "lost", "ask")
-    return d.mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, kept binary, t1 long, t2 long, text string, lost {bounds}, ask array<int>")
+    return d.mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, kept binary, t1 long, t2 long, text string, lost array<long>, ask array<int>")
 
 
 def windows(asked: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -224,7 +227,7 @@ def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     order = W.partitionBy("s", "alone").orderBy("w1", "w2")
     beside = lambda f: F.coalesce((f("w1").over(order) == F.col("w1")) & (f("w2").over(order) == F.col("w2")), F.lit(False))
     d = rows.withColumn("s", spread).select("t1", "t2", "place", (F.col("again") | beside(F.lag) | beside(F.lead)).alias("hit")).where("hit")
-    return d.groupBy("t1", "t2").agg(F.collect_list(F.struct(F.col("place").alias("low"), (F.col("place") + length).alias("high"))).alias("more"))
+    return d.groupBy("t1", "t2").agg(F.collect_list(_range(F.col("place"), F.col("place") + length)).alias("more"))
 
 
 def dedup(docs: DataFrame, owner: str = "cover") -> DataFrame:
@@ -238,7 +241,7 @@ def dedup(docs: DataFrame, owner: str = "cover") -> DataFrame:
 
     def run(it):
         for pdf in common.batches(it):
-            out = [_kept(t, _merged([*a, *([] if b is None else b)])) for t, a, b in zip(pdf["text"], pdf["lost"], pdf["more"], strict=True)]
+            out = [_kept(t, _merged(a, b)) for t, a, b in zip(pdf["text"], pdf["lost"], pdf["more"], strict=True)]
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])], axis=1)
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept binary"
