@@ -59,7 +59,7 @@ def gloss_bridge(items: DataFrame, catalog: DataFrame, glosses: DataFrame, top:
     glosses: item, gloss as a model gave it; only a clean one is used.
     """
     only = items.select("item").where(text.is_arabic(F.col("item"))).distinct()
-    bare = only.join(resolve.overlap_scores(only, catalog).select("item").distinct(), "item", "left_anti")
+    bare = only.join(resolve.top_overlaps(only, catalog, 1).select("item"), "item", "left_anti")
     g = bare.join(glosses.where(text.gloss_gate(F.col("gloss"))).select("item", text.strip(F.col("gloss")).alias("gloss")), "item").dropDuplicates(["item"])
     found = resolve.candidates(g.select(F.col("gloss").alias("item")).distinct(), catalog, top)
     return g.join(found.select(F.col("item").alias("gloss"), "rank", F.col("row.id").alias("id"), "score"), "gloss").select("item", "gloss", "rank", "id", "score")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .selection import medians
+
 
 def first_value(d: DataFrame, key: Column, value: str, order: str) -> DataFrame:
     """key, value: the first value of each key wins."""
@@ -61,7 +63,7 @@ def detection(d: DataFrame, key: str) -> DataFrame:
     w = W.partitionBy(key).orderBy("i")
     d = d.withColumn("step", F.abs(F.col("x") - F.lag("x").over(w))).withColumn("run", F.sum(F.col("x").isNotNull().cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     gaps = d.where("x is null").groupBy(key, "run").agg(F.count(F.lit(1)).alias("g")).groupBy(key).agg(F.count(F.lit(1)).alias("gaps"), F.max("g").alias("longest_gap"))
-    j = d.groupBy(key).agg(F.count(F.lit(1)).alias("frames"), F.count("x").alias("detected"), F.median("step").alias("jitter"))
+    j = d.groupBy(key).agg(F.count(F.lit(1)).alias("frames"), F.count("x").alias("detected")).join(medians(d, key, {"jitter": "step"}), key, "left")
     s = d.join(j.select(key, "jitter"), key).where(F.col("step") > 5 * F.col("jitter")).groupBy(key).agg(F.count(F.lit(1)).alias("spikes"))
     return j.join(gaps, key, "left").join(s, key, "left").na.fill(0, ["gaps", "longest_gap", "spikes"])
 

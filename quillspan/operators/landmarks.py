@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import motion
+from .selection import medians
 from .series import TWO_PI, after, before, scan_runs
 
 RIGID_HOLD, REFERENCE = 16, 9
@@ -65,8 +66,8 @@ def to_anchor(d: DataFrame, group: str, x: str, y: str, width: str) -> DataFrame
 
     Adds gx, gy; the global figures are medians over the groups' medians.
     """
-    per = d.groupBy(group).agg(F.median(width).alias("_w"), F.median(x).alias("_x"), F.median(y).alias("_y"))
-    whole = per.agg(F.median("_w").alias("_gw"), F.median("_x").alias("_gx"), F.median("_y").alias("_gy"))
+    per = medians(d, group, {"_w": width, "_x": x, "_y": y})
+    whole = medians(per, None, {"_gw": "_w", "_gx": "_x", "_gy": "_y"})
     m = d.join(per.crossJoin(F.broadcast(whole)), group)  # whole: one row
     k = F.col("_gw") / F.col("_w")
     return m.withColumn("gx", (F.col(x) - F.col("_x")) * k + F.col("_gx")).withColumn("gy", (F.col(y) - F.col("_y")) * k + F.col("_gy")).drop("_w", "_x", "_y", "_gw", "_gx", "_gy")

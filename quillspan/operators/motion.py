@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import medians
+
 WRIST, THUMB_TIP, INDEX, MIDDLE, PINKY = 0, 4, 5, 9, 17
 FINGERS = {"index": (5, 6, 8), "middle": (9, 10, 12), "ring": (13, 14, 16), "pinky": (17, 18, 20)}
 
 
 def scales(d: DataFrame, key: str, value: str) -> DataFrame:
     """key, median_value, scale: the median of all keys' medians over the key's own."""
-    per = d.groupBy(key).agg(F.median(value).alias("median_value"))
-    return per.crossJoin(F.broadcast(per.agg(F.median("median_value").alias("g")))).select(key, "median_value", "g", (F.col("g") / F.col("median_value")).alias("scale"))
+    per = medians(d, key, {"median_value": value})
+    return per.crossJoin(F.broadcast(medians(per, None, {"g": "median_value"}))).select(key, "median_value", "g", (F.col("g") / F.col("median_value")).alias("scale"))
 
 
 def normalize(d: DataFrame, key: str, value: str) -> DataFrame:

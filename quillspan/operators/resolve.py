@@ -109,27 +109,59 @@ def clitic(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return layers(items, catalog).where("clitic is not null").select("item", "clitic")
 
 
-def overlap_scores(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """item, row, score: shared English plus shared Arabic tokens, through an inverted index; zero scores never arise."""
+def token_set(word_en: Column, word_ar: Column) -> Column:
+    """The English and Arabic tokens of a label, each once, marked by language and sorted."""
+    tag = lambda a, t: F.transform(F.array_distinct(a), lambda x: F.concat(F.lit(t), x))
+    return F.array_sort(F.concat(tag(text.tokens_en(F.coalesce(word_en, F.lit(""))), "e:"), tag(text.tokens_ar(F.coalesce(word_ar, F.lit(""))), "a:")))
 
-    def tokens(word_en, word_ar):
-        tag = lambda a, t: F.transform(F.array_distinct(a), lambda x: F.concat(F.lit(t), x))
-        return F.concat(tag(text.tokens_en(F.coalesce(word_en, F.lit(""))), "e:"), tag(text.tokens_ar(F.coalesce(word_ar, F.lit(""))), "a:"))
 
-    index = catalog.select(_row().alias("row"), F.explode(tokens(F.col("word_en"), F.col("word_ar"))).alias("t"))
-    query = items.select("item", F.explode(tokens(F.col("item"), F.col("item"))).alias("t"))
-    return query.join(index, "t").groupBy("item", "row").agg(F.count(F.lit(1)).alias("score"))
+#: Tokens up to which a label is matched by pairs of its tokens; a longer one by each of its tokens.
+SHORT = 32
+
+
+def _pairs(tokens: Column) -> Column:
+    """Every two tokens of a sorted set as one text."""
+    return F.flatten(F.transform(tokens, lambda x, i: F.transform(F.slice(tokens, i + 2, F.size(tokens)), lambda y: F.concat(x, F.lit("\n"), y))))
+
+
+def top_overlaps(items: DataFrame, catalog: DataFrame, top: int) -> DataFrame:
+    """item, rank, row, score: for each item the `top` rows with most shared tokens, dictionary order on ties, exactly.
+
+    Rows with equal token sets score alike, so of each set only the first `top` rows count; items with equal sets are one
+    query. Rows that share two tokens or more are found by pairs of tokens, their score by the number of pairs. A row that
+    shares one token is needed only if fewer than `top` rows share more, so it is among the first 2 * top rows of its token:
+    a list of that length is kept of each token, and a token that stands in every row costs no more than that. Labels of more
+    than SHORT tokens have too many pairs and are matched by each token.
+    """
+    asked = items.select("item", token_set(F.col("item"), F.col("item")).alias("q")).where(F.size("q") > 0)
+    queries = asked.select("q").distinct()
+    rows = catalog.select(F.col("ord"), _row().alias("row"), token_set(F.col("word_en"), F.col("word_ar")).alias("t")).where(F.size("t") > 0)
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("t").orderBy("ord"))).where(F.col("_n") <= top).drop("_n")
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, "k").groupBy("q", "ord").agg(F.count(F.lit(1)).alias("c"))
+
+    each = lambda d, tokens, *keep: d.select(*keep, F.explode(tokens).alias("k"))
+    short_q, long_q = queries.where(F.size("q") <= SHORT), queries.where(F.size("q") > SHORT)
+    short_r, long_r = rows.where(F.size("t") <= SHORT), rows.where(F.size("t") > SHORT)
+    listed = each(short_r, "t", "ord").withColumn("_n", F.row_number().over(W.partitionBy("k").orderBy("ord"))).where(F.col("_n") <= 2 * top).drop("_n")
+    one = each(short_q, "q", "q").join(listed, "k").select("q", "ord", F.lit(1).cast("long").alias("score")).distinct()
+    more = meet(each(short_q, _pairs(F.col("q")), "q"), each(short_r, _pairs(F.col("t")), "ord"))
+    more = more.select("q", "ord", F.floor((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).alias("score"))
+    plain = meet(each(queries, "q", "q"), each(long_r, "t", "ord")).unionByName(meet(each(long_q, "q", "q"), each(short_r, "t", "ord"))).withColumnRenamed("c", "score")
+    scored = one.unionByName(more).unionByName(plain).groupBy("q", "ord").agg(F.max("score").alias("score"))
+    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "ord"))).where(F.col("rank") <= top)
+    return asked.join(best, "q").join(rows.select("ord", "row"), "ord").select("item", "rank", "row", "score")
 
 
 def candidates(items: DataFrame, catalog: DataFrame, top: int = 5) -> DataFrame:
     """item, rank, row, score of the best rows, dictionary order on ties."""
-    order = W.partitionBy("item").orderBy(F.desc("score"), F.col("row.ord"))
-    return overlap_scores(items, catalog).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return top_overlaps(items, catalog, top)
 
 
 def inventory(items: DataFrame, sources: list[tuple[str, DataFrame]], top: int = 12) -> DataFrame:
     """item, rank, label, source, score over several dictionaries; on equal scores the earlier dictionary comes first."""
-    parts = [overlap_scores(items, c).select("item", "score", F.lit(i).alias("s"), F.lit(name).alias("source"), F.col("row.ord").alias("ord"), F.col("row.word_en").alias("label")) for i, (name, c) in enumerate(sources)]
+    parts = [top_overlaps(items, c, top).select("item", "score", F.lit(i).alias("s"), F.lit(name).alias("source"), F.col("row.ord").alias("ord"), F.col("row.word_en").alias("label")) for i, (name, c) in enumerate(sources)]
     d = parts[0]
     for p in parts[1:]:
         d = d.unionByName(p)

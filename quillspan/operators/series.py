@@ -52,9 +52,9 @@ def scan(d: DataFrame, by: list[str], order: list[str], out: str, start: Callabl
     schema, walk = _walker(d, by, out, start, step)
     few = d.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(lambda it: walk(it, None), schema)
     hot = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= most).select(*by)
-    hot = cut(hot)
     if hot.isEmpty():
         return few
+    hot = cut(hot)
     cold = d.join(hot, by, "left_anti").repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(lambda it: walk(it, None), schema)
     return cold.unionByName(scan_ranges(d.join(hot, by, "left_semi"), by, order, out, start, step))
 

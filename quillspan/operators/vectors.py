@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import metric
 from .durable import cut
 
 
@@ -23,69 +24,15 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float = -1.0, max_queries: int = 10_000) -> DataFrame:
     """query_id, rank, vec_id, similarity: the k most similar vectors of each query, itself left out, smaller id on ties.
 
-    Queries (query_id, q) are taken in blocks of about max_queries, dealt by their id, so the driver and a task hold one block
-    at a time; each partition of vectors (vec_id, v) keeps k rows per query before anything is shuffled.
+    Queries (query_id, q) visit the cells of the vectors (vec_id, v) that can hold one of their neighbours, see metric; a
+    task holds a block of at most about max_queries queries and one of as many vectors.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // max_queries))
-    if blocks == 1:
-        return _nearest(queries, vectors, k, least)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.union, (_nearest(queries.where(block == i), vectors, k, least) for i in range(blocks)))
+    return metric.nearest(queries, vectors, k, least, min(max_queries, metric.BLOCK))
 
 
-def _nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
-    """nearest() for one block of queries."""
-    got = queries.select("query_id", "q").collect()
-    spark = vectors.sparkSession
-    ids = [r.query_id for r in got]
-    data = spark.sparkContext.broadcast(np.array([r.q for r in got], np.float64).reshape(len(got), -1 if got else 0))
-
-    def run(it):
-        q = data.value
-        qn = np.linalg.norm(q, axis=1)
-        best: dict[int, list] = {}
-        step = max(1, (1 << 22) // max(1, len(q)))  # so many vectors at once that their similarities stay small
-        for pdf in (p[i : i + step] for p in it for i in range(0, len(p), step)):
-            if not len(q):
-                continue
-            v = np.array(pdf["v"].tolist(), np.float64)
-            n = qn[:, None] * np.linalg.norm(v, axis=1)[None]
-            s = np.where(n == 0, 0.0, q @ v.T / np.where(n == 0, 1, n))
-            vid = pdf["vec_id"].to_numpy()
-            for j in range(len(ids)):
-                ok = np.flatnonzero((vid != ids[j]) & (s[j] >= least))
-                top = ok[np.lexsort((vid[ok], -s[j][ok]))[: k + 1]]
-                best[j] = sorted(best.get(j, []) + [(-s[j][i], int(vid[i])) for i in top])[: k + 1]
-        yield pd.DataFrame([(ids[j], i, -s) for j, rows in best.items() for s, i in rows], columns=["query_id", "vec_id", "similarity"])
-
-    d = vectors.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, similarity double")
-    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
-
-
-def similar_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """a < b with cosine >= least, exactly: vectors are dealt into blocks, every pair of blocks is one task of two matrices."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    d = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("c"))
-    d = d.select("vec_id", "v", "c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("vec_id", "v", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-
-    def run(key, pdf):
-        i, j = key
-        x, y = pdf[pdf["c"] == i], pdf[pdf["c"] == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        a, b = (np.array(p["v"].tolist(), np.float64) for p in (x, y))
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-        s = a @ b.T
-        p, q = np.nonzero(s >= least)
-        ids = np.stack([x["vec_id"].to_numpy()[p], y["vec_id"].to_numpy()[q]])
-        keep = ids[0] < ids[1] if i == j else ids[0] != ids[1]
-        return pd.DataFrame({"a": ids.min(0)[keep], "b": ids.max(0)[keep], "similarity": s[p, q][keep]})
-
-    return d.groupBy("i", "j").applyInPandas(run, "a long, b long, similarity double")
+def similar_pairs(vectors: DataFrame, least: float, block: int = metric.BLOCK) -> DataFrame:
+    """a < b with cosine >= least, exactly: only vectors meet whose cells can be that near, see metric."""
+    return metric.similar_pairs(vectors, least, block)
 
 
 def clusters(pairs: DataFrame, most: int = 60) -> DataFrame:
@@ -131,13 +78,24 @@ def rouge1(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     return d.select(*key, F.when((F.col("n") + F.col("m") > 0), 2.0 * F.col("o") / (F.col("n") + F.col("m"))).otherwise(0.0).alias("rouge1"))
 
 
-def _lcs(x: list, y: list) -> int:
-    row = [0] * (len(y) + 1)
+def lcs_length(x: list, y: list) -> int:
+    """Length of the longest common subsequence, a whole row of the table at a time: its steps are the bits of one number."""
+    at: dict = {}
+    for j, b in enumerate(y):
+        at[b] = at.get(b, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full  # a cleared bit is a step up
     for a in x:
-        diag = 0
-        for j, b in enumerate(y):
-            diag, row[j + 1] = row[j + 1], diag + 1 if a == b else max(row[j + 1], row[j])
-    return row[-1]
+        if m := at.get(a):
+            met = row & m
+            row = (row + met | row - met) & full
+    return len(y) - row.bit_count()
+
+
+def _positions(x: list, y: list) -> tuple[list[int], list[int]]:
+    """Both sequences with their words as numbers."""
+    code: dict = {}
+    return tuple([code.setdefault(w, len(code)) for w in s] for s in (x, y))
 
 
 def bleu4(reference: list, candidate: list) -> float:
@@ -146,16 +104,9 @@ def bleu4(reference: list, candidate: list) -> float:
         return 0.0
     logs, k = 0.0, 1
     for n in range(1, 5):
-        have: dict = {}
-        for i in range(len(reference) - n + 1):
-            g = tuple(reference[i : i + n])
-            have[g] = have.get(g, 0) + 1
-        total, hit = max(1, len(candidate) - n + 1), 0
-        for i in range(len(candidate) - n + 1):
-            g = tuple(candidate[i : i + n])
-            if have.get(g, 0) > 0:
-                have[g] -= 1
-                hit += 1
+        grams = lambda s: Counter(zip(*[s[i:] for i in range(n)]))  # noqa: B023, E731
+        have, total = grams(reference), max(1, len(candidate) - n + 1)
+        hit = sum(min(c, have[g]) for g, c in grams(candidate).items())
         if hit == 0:
             if len(candidate) <= 1:
                 return 0.0
@@ -174,8 +125,8 @@ def sequence_scores(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFra
         for pdf in it:
             rows = []
             for x, y in zip(pdf[a], pdf[b], strict=True):
-                x, y = list(x), list(y)
-                l = _lcs(x, y)
+                x, y = _positions(x, y)
+                l = lcs_length(x, y)
                 rows.append((2.0 * l / (len(x) + len(y)) if x or y else 0.0, bleu4(x, y)))
             yield pd.concat([pdf[key].reset_index(drop=True), pd.DataFrame(rows, columns=["rouge_l", "bleu"])], axis=1)
 

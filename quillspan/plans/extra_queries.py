@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import rounded
 from ..operators import extras as x
 from ..operators import motion as m
+from ..operators.selection import medians
 from .base import query, table
 from .motion_queries import _V, hands
 from .series_queries import _S, KEY, events
@@ -65,7 +66,7 @@ def plan_metrics(spark, sf_dir):
 
 @query(f"WITH {_V}, s AS (SELECT label, list_max(list_transform(range(0, 21), lambda i: e[3 * i + 1])) - list_min(list_transform(range(0, 21), lambda i: e[3 * i + 1])) a, list_max(list_transform(range(0, 21), lambda i: e[3 * i + 2])) - list_min(list_transform(range(0, 21), lambda i: e[3 * i + 2])) b FROM v) SELECT label, median(greatest(a, b)) AS span FROM s GROUP BY 1")
 def hand_span(spark, sf_dir):
-    return hands(spark, sf_dir).groupBy("label").agg(F.median(x.hand_span(F.col("hand"))).alias("span"))
+    return medians(hands(spark, sf_dir).select("label", x.hand_span(F.col("hand")).alias("_span")), "label", {"span": "_span"})
 
 
 @query(f"WITH {_V}, p AS (SELECT label, unnest(range(0, 21)) i, e FROM v) SELECT label, CAST(i AS INT) AS i, floor(avg(e[3 * i + 1]) * 1e6 + 0.5::DOUBLE) / 1e6 AS x, floor(avg(e[3 * i + 2]) * 1e6 + 0.5::DOUBLE) / 1e6 AS y FROM p GROUP BY label, p.i")

@@ -152,7 +152,7 @@ def _concepts():
     )
 
 
-_FIELDS = parsing.CONCEPT_FIELDS.replace("'", "''")
+_FIELDS = r'(?s)"concept"\s*:\s*"((?:[^"\\]|\\.)*)"\s*,\s*"key_terms"\s*:\s*(\[[^\]]*\])[^"]*?"source_span"\s*:\s*"((?:[^"\\]|\\.)*)"'
 _TEXTS = lambda j: f"coalesce(list_bool_and(list_transform(CAST({j} AS JSON[]), lambda y: json_type(y) = 'VARCHAR')), true)"
 
 

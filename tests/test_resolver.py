@@ -96,3 +96,43 @@ def test_spans_in_sources(spark):
         got = {r.item_id: (r.n_sources, r.verified) for r in grounding.verify_spans(spans, sources, size).collect()}
         assert got == {1: (2, True), 2: (2, True), 3: (0, False), 4: (0, False), 5: (2, True), 6: (2, True)}
     assert grounding.verify_spans(spans, sources.limit(0)).where("verified").count() == 0
+
+
+def _brute(items, rows, top):
+    out = []
+    for item in set(items):
+        q = set(item.split())
+        scored = sorted((-len(q & set(w.split())), o) for o, w in rows if q & set(w.split()))
+        out += [(item, k + 1, o, -s) for k, (s, o) in enumerate(scored[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("top", [1, 3, 5])
+def test_top_overlaps_match_brute_force(spark, top):
+    import random
+
+    rng = random.Random(top)
+    word = lambda: f"{'abcdefgh'[min(7, int(rng.expovariate(0.5)))]}x{'ab'[rng.randrange(2)]}"
+    label = lambda n: " ".join(word() for _ in range(n))
+    rows = [(o, label(rng.randint(1, 6))) for o in range(400)]
+    rows += [(400 + o, " ".join(f"w{(o + j) % 60}q" for j in range(40))) for o in range(20)]  # longer than SHORT
+    rng.shuffle(rows)
+    items = [label(rng.randint(1, 5)) for _ in range(60)] + ["axa axa bxb", "nothing here", "", " ".join(f"w{j}q" for j in range(35)), "w1q axa"]
+    items = [i.replace("w", "v") if i == "nothing here" else i for i in items]
+    c = spark.createDataFrame([(o, f"c{o}", w, None, "x", True) for o, w in rows], "ord int, id string, word_en string, word_ar string, category string, has_video boolean")
+    fold = lambda s: " ".join(t for t in __import__("re").findall("[a-z']+", s))
+    got = resolve.top_overlaps(spark.createDataFrame([(i,) for i in set(items)], "item string"), c, top)
+    want = _brute([i for i in items if i], [(o, w) for o, w in rows], top)
+    assert fold("axa") == "axa"
+    letters = {(i, k, o, s) for i, k, o, s in want if not any(ch.isdigit() for ch in i)}
+    assert {(r.item, r["rank"], r.row.ord, r.score) for r in got.collect() if not any(ch.isdigit() for ch in r.item)} == letters
+
+
+def test_a_token_of_every_row_costs_a_list_of_fixed_length(spark):
+    rows = spark.range(3000).selectExpr("cast(id as int) ord", "concat('c', id) id", "concat('common ', translate(cast(id as string), '0123456789', 'abcdefghij')) word_en", "cast(null as string) word_ar", "'x' category", "true has_video")
+    items = spark.range(500).selectExpr("concat('common ', translate(cast(id * 7 as string), '0123456789', 'abcdefghij')) item")
+    d = resolve.top_overlaps(items, rows, 5)
+    got = d.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("s")).collect()
+    assert all(r.n == 5 for r in got) and sum(r.s == 2 for r in got) > 400
+    assert [(r.row.ord, r.score) for r in d.where("item = 'common ej'").orderBy("rank").collect()] == [(49, 2), (0, 1), (1, 1), (2, 1), (3, 1)]
+    assert d.count() == 2500

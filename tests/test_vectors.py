@@ -1,10 +1,14 @@
-"""Nearest neighbours against brute force."""
+"""Nearest neighbours, similar pairs and sequence scores against brute force."""
 
 import random
+import time
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from quillspan.operators import vectors
+from quillspan.operators import metric, vectors
 
 
 def test_nearest_in_blocks_of_queries(spark):
@@ -24,3 +28,71 @@ def test_nearest_in_blocks_of_queries(spark):
         want = {q: list(enumerate(sorted((round(cosine(v[q], v[i]), 9) for i in v if i != q), reverse=True)[:4], 1)) for q in v if q % 2 == 0}
         assert {q: sorted(x) for q, x in got.items()} == want
     assert vectors.nearest(queries.limit(0), d).count() == 0
+
+
+def _cosines(v):
+    x = np.array(v, float)
+    n = np.linalg.norm(x, axis=1)
+    x = x / np.where(n == 0, 1, n)[:, None]
+    return x @ x.T
+
+
+@pytest.mark.parametrize(("least", "block", "n"), [(0.9, 2048, 8), (0.5, 7, 5), (0.0, 40, 3), (-0.2, 2048, 1)])
+def test_similar_pairs_match_all_pairs(spark, least, block, n):
+    rng = np.random.default_rng(n)
+    x = np.concatenate([c + rng.normal(size=(40, 6)) * 0.3 for c in rng.normal(size=(4, 6)) * 2] + [np.zeros((3, 6)), np.tile(rng.normal(size=6), (5, 1))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(3)
+    s = _cosines(x)
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= least}
+    close = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if abs(s[i, j] - least) < 1e-9}
+    work = []
+    got = metric.similar_pairs(d, least, block, n_pivots=n, work=work).collect()
+    assert len(got) == len({(r.a, r.b) for r in got})
+    assert {(r.a, r.b) for r in got} - close == want - close
+    assert work[0] <= 2 * work[1] and (least < 0.9 or work[0] < 0.7 * work[1])  # cells that are too far apart do not meet
+    assert metric.similar_pairs(d.limit(0), least).count() == 0
+
+
+@pytest.mark.parametrize(("k", "least", "block", "n"), [(3, -1.0, 2048, 8), (5, 0.3, 9, 4), (200, -1.0, 50, 6), (2, -1.0, 2048, 1)])
+def test_nearest_with_pivots_matches_brute_force(spark, k, least, block, n):
+    rng = np.random.default_rng(k)
+    x = np.concatenate([c + rng.normal(size=(30, 5)) * 0.3 for c in rng.normal(size=(4, 5)) * 2] + [np.zeros((2, 5)), np.tile(rng.normal(size=5), (6, 1))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(3)
+    q = d.where("vec_id % 5 = 0 or vec_id > 115").selectExpr("vec_id as query_id", "v as q")
+    s = _cosines(x)
+    got: dict = {}
+    for r in metric.nearest(q, d, k, least, block, n_pivots=n).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], round(r.similarity, 9)))
+    want = {}
+    for i in [r.query_id for r in q.collect()]:
+        near = sorted((-round(s[i, j], 9), j) for j in range(len(x)) if j != i and s[i, j] >= least)[:k]
+        if near:
+            want[i] = [(p, -c + 0.0) for p, (c, _) in enumerate(near, 1)]
+    assert {i: sorted(v) for i, v in got.items()} == want
+
+
+def _plain_lcs(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        diag = 0
+        for j, b in enumerate(y):
+            diag, row[j + 1] = row[j + 1], diag + 1 if a == b else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40))
+def test_bit_parallel_subsequences_match_the_table(x, y):
+    assert vectors.lcs_length(x, y) == _plain_lcs(x, y)
+
+
+def test_long_pairs_are_scored_in_time(spark):
+    rng = random.Random(1)
+    x, y = ([rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(50)) for _ in range(20_000)] for _ in range(2))
+    start = time.time()
+    n = vectors.lcs_length(x, y)
+    assert time.time() - start < 1 and 500 < n < 20_000
+    assert vectors.lcs_length(x, x) == 20_000
+    d = spark.createDataFrame([(1, x, x), (2, [], []), (3, [], y), (4, x[:3], x[1:4])], "k long, a array<string>, b array<string>")
+    got = {r.k: (r.rouge_l, round(r.bleu, 6)) for r in vectors.sequence_scores(d, ["k"], "a", "b").collect()}
+    assert got[1] == (1.0, 1.0) and got[2] == (0.0, 0.0) and got[3][0] == 0.0 and got[4][0] == 2 * 2 / 6
