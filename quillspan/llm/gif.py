@@ -167,6 +167,10 @@ def _interlaced(height: int) -> np.ndarray:
     return _ROWS[height]
 
 
+#: Pixels of a canvas or a frame that are decoded; what is larger gives an error before any memory is taken for it.
+MAX_PIXELS = 1 << 24
+
+
 def decode(data: bytes, compose: bool = True) -> Iterator[dict]:
     """One dict per frame: delay (hundredths), disposal, transparent, left, top, indices (h x w), and canvas (RGBA) after drawing."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
@@ -177,6 +181,8 @@ def decode(data: bytes, compose: bool = True) -> Iterator[dict]:
         n = 3 << (flags & 7) + 1
         colours = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
         at += n
+    if compose and width * height > MAX_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height} is larger than {MAX_PIXELS} pixels")
     canvas = np.zeros((height, width, 4), np.uint8) if compose else None
     delay = disposal = 0
     transparent = -1
@@ -208,6 +214,8 @@ def decode(data: bytes, compose: bool = True) -> Iterator[dict]:
             n = 3 << (f & 7) + 1
             palette = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
             at += n
+        if w * h > MAX_PIXELS:
+            raise ValueError(f"a frame of {w} x {h} is larger than {MAX_PIXELS} pixels")
         stream, after = chunks(at + 1)
         indices = np.frombuffer(lzw_decode(stream, data[at], w * h), np.uint8).reshape(h, w)
         at = after

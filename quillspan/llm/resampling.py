@@ -3,15 +3,17 @@
 Two bag-of-n-grams models share hashed buckets: the target model counts the texts labelled good, the raw model counts all
 documents. A document's log weight is the sum over its n-grams of log(target/raw).
 
-What is rejected does not depend on length: a document's mean weight per n-gram is measured in standard deviations from
-the mean of labelled good documents held out of the model, where the variance of a text of n n-grams is a + b/n, fitted to
-them; the floor is a small quantile of theirs. Of the documents that reach it, a caller who asks for k gets a sample
-without replacement: Gumbel noise seeded by the document is added to the log weight, and the k largest keys are taken (the
-largest keys of the others follow only when too few reach the floor). The k-th key is found from histograms of key bits,
-so no sort of all documents and no list of them is ever gathered.
+What is taken does not depend on length: a document's mean weight per n-gram is measured in standard deviations from the
+mean of labelled good documents held out of the model, where the variance of a text of n n-grams is a + b/n, fitted to
+them. This standing over TEMPERATURE, with Gumbel noise seeded by the document, is its key, and the k documents with the
+largest keys are the sample without replacement. The temperature says how sharply the ratio counts: at 0.05 two documents
+a tenth of a deviation apart can change places, two that are half a deviation apart hardly ever do. A caller who names no
+k gets as many as there are documents that stand no lower than all but the share `lose` of the held-out good ones. The
+k-th key is found from histograms of keys, so no sort of all documents and no list of them is ever gathered.
 
 Defined results: null, empty and wordless texts have weight 0 (no n-gram speaks for or against them) and the tolerance of
-one n-gram; without labels of held-out good documents every document is kept; repeated rows have equal keys; all documents with the k-th key are kept; an
+one n-gram; without labels of held-out good documents all stand alike and, without k,
+every document is taken; repeated rows have equal keys; all documents with the k-th key are kept; an
 empty table gives an empty result; extra columns are ignored by select() and kept by keep().
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 13
+TEMPERATURE = 0.05
 
 
 def ngram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +93,8 @@ def measure(texts: list[str | None], table: np.ndarray) -> dict[str, np.ndarray]
     return {"n": n, "sum": np.round(s, 6), "mean": np.round(s / np.maximum(n, 1), 9)}
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 23) -> DataFrame:
-    """doc_id, n_ngrams, log_weight, mean_weight (per n-gram) and the Gumbel key of every document."""
+def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """doc_id, n_ngrams, log_weight and mean_weight (per n-gram) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = ratio.astype(np.float32)
 
@@ -100,8 +103,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 23) -> DataFrame:
             m = measure(part["text"].tolist(), table)
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_ngrams": m["n"], "log_weight": m["sum"], "mean_weight": m["mean"]})
 
-    d = common.table_of(docs, "doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_ngrams long, log_weight double, mean_weight double")
-    return d.withColumn("key", F.col("log_weight") + gumbel(seed, F.col("doc_id"), F.col("log_weight")))
+    return common.table_of(docs, "doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_ngrams long, log_weight double, mean_weight double")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -149,56 +151,62 @@ def spread(bands: list[tuple[int, float, float, float]]) -> tuple[float, float,
     return mu, a, b
 
 
-def floor_of(d: DataFrame, good: DataFrame, lose: float) -> Callable[[Column, Column], Column]:
-    """(n_ngrams, mean_weight) -> whether a document is as target-like, for its length, as all but the share `lose` of the
-    held-out good ones (by an approximate quantile of accuracy 1/10 000)."""
+def standing(d: DataFrame, good: DataFrame, lose: float) -> tuple[Callable[[Column, Column], Column], float]:
+    """(n_ngrams, mean_weight) -> how target-like a document is for its length, in deviations from held-out good ones; and
+    the value that all but the share `lose` of those reach (by an approximate quantile of accuracy 1/10 000)."""
     own = d.join(good, "doc_id").where("n_ngrams > 0")
     by = own.groupBy(F.floor(F.log2("n_ngrams")).alias("band"))
     m = F.col("mean_weight")
     bands = by.agg(F.count(F.lit(1)).alias("c"), F.avg(m).alias("m"), F.var_pop(m).alias("v"), F.avg(1 / F.col("n_ngrams")).alias("i")).orderBy("band").collect()  # one row per doubling of the length
     if not bands:
-        return lambda n, m: F.lit(True)
+        return lambda n, m: F.lit(0.0), 0.0
     mu, a, b = spread([(r.c, r.m, r.v, r.i) for r in bands])
     z = lambda n, m: (m - F.lit(mu)) / F.sqrt(F.lit(a) + F.lit(b) / F.greatest(n, F.lit(1)))
-    least = own.agg(F.percentile_approx(z(F.col("n_ngrams"), m), lose, 10_000)).first()[0]
-    return lambda n, m: z(n, m) >= F.lit(least)
+    return z, own.agg(F.percentile_approx(z(F.col("n_ngrams"), m), lose, 10_000)).first()[0]
 
 
 def held_out(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("`quality`") == 1) & for_calibration(F.col("`doc_id`"))).select(F.col("`doc_id`").alias("doc_id")).distinct()
 
 
-def select(docs: DataFrame, labels: DataFrame, k: int | None = None, lose: float = 0.003, owner: str = "resampling", **how) -> DataFrame:
-    """doc_id, n_ngrams, log_weight, mean_weight, key and selected, for every document.
+class Sample:
+    """The key of a document, and the least key that is taken, for a table of weights."""
 
-    Without k: all documents whose mean weight reaches, for their length, the `lose` quantile of labelled good documents
-    that the target model has not seen. With k: the k largest keys among them, then among the others.
+    def __init__(self, weights: DataFrame, labels: DataFrame, k: int | None, lose: float, seed: int):
+        self.z, floor = standing(weights, held_out(labels), lose)
+        self.seed = seed
+        if k is None:
+            k = weights.where(self.z(F.col("n_ngrams"), F.col("mean_weight")) >= F.lit(floor)).count()
+        keyed = weights.withColumn("key", self.key(*map(F.col, ("doc_id", "n_ngrams", "log_weight", "mean_weight"))))
+        self.least = kth_largest(keyed, "key", k) if k > 0 else float("inf")
+
+    def key(self, doc_id: Column, n: Column, log_weight: Column, mean: Column) -> Column:
+        return self.z(n, mean) / TEMPERATURE + gumbel(self.seed, doc_id, log_weight)
+
+
+def select(docs: DataFrame, labels: DataFrame, k: int | None = None, lose: float = 0.003, owner: str = "resampling", seed: int = 23, **how) -> DataFrame:
+    """doc_id, n_ngrams, log_weight, mean_weight, key and selected (one of the k largest keys), for every document.
+
+    Without k: as many as reach, for their length, the `lose` quantile of labelled good documents that the target model has
+    not seen.
     """
+    d = common.stored(weigh(docs, models(docs, labels, **how)), "weights", owner)
+    sample = Sample(d, labels, k, lose, seed)
+    d = d.withColumn("key", sample.key(*map(F.col, ("doc_id", "n_ngrams", "log_weight", "mean_weight"))))
+    return d.withColumn("selected", F.col("key") >= F.lit(sample.least))
+
+
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, lose: float = 0.003, owner: str = "resampling", seed: int = 23, **how) -> DataFrame:
+    """The documents that select() selects, with all their columns; texts stay where they are, each row is judged in place."""
     ratio = models(docs, labels, **how)
-    d = common.stored(weigh(docs, ratio), "weights", owner)
-    fit = floor_of(d, held_out(labels), lose)(F.col("n_ngrams"), F.col("mean_weight"))
-    if k is None:
-        return d.withColumn("selected", fit)
-    n = d.where(fit).count()
-    if k <= n:
-        limit = kth_largest(d.where(fit), "key", k) if k else float("inf")
-        return d.withColumn("selected", fit & (F.col("key") >= F.lit(limit)))
-    return d.withColumn("selected", fit | (F.col("key") >= F.lit(kth_largest(d.where(~fit), "key", k - n))))
-
-
-def keep(docs: DataFrame, labels: DataFrame, lose: float = 0.003, owner: str = "resampling", **how) -> DataFrame:
-    """The documents that select() without k selects, with all their columns, each row judged by its own text in place."""
-    ratio = models(docs, labels, **how)
-    good = common.stored(held_out(labels), "held-out", owner)
-    few = common.table_of(docs, "doc_id", "text").join(good, "doc_id", "left_semi")
-    fit = floor_of(common.stored(weigh(few, ratio), "weights", owner), good, lose)
+    sample = Sample(common.stored(weigh(docs, ratio), "weights", owner), labels, k, lose, seed)
     table = ratio.astype(np.float32)
 
-    @F.pandas_udf("n long, mean double")
+    @F.pandas_udf("n long, sum double, mean double")
     def weight(text: pd.Series) -> pd.DataFrame:
         out = [pd.DataFrame(measure(part["text"].tolist(), table)) for part in common.batches([pd.DataFrame({"text": text})])]
         d = pd.concat(out) if out else pd.DataFrame({"n": [], "sum": [], "mean": []})
-        return pd.DataFrame({"n": d["n"].to_numpy(np.int64), "mean": d["mean"].to_numpy(np.float64)})
+        return pd.DataFrame({"n": d["n"].to_numpy(np.int64), "sum": d["sum"].to_numpy(np.float64), "mean": d["mean"].to_numpy(np.float64)})
 
     w = F.col("__weight")
-    return docs.withColumn("__weight", weight(F.col("`text`"))).where(fit(w["n"], w["mean"])).drop("__weight")
+    return docs.withColumn("__weight", weight(F.col("`text`"))).where(sample.key(F.col("`doc_id`"), w["n"], w["sum"], w["mean"]) >= F.lit(sample.least)).drop("__weight")

@@ -200,13 +200,23 @@ def balanced(body: list) -> bool:
     return not stack
 
 
+def _widths(keys: list):
+    """The widths at which some group of keys is followed by its like, in order."""
+    code: dict = {}
+    x = np.array([code.setdefault(k, len(code)) for k in keys], np.int32)
+    for width in range(1, len(x) // 2 + 1):
+        unlike = np.flatnonzero(x[:-width] != x[width:])
+        if np.diff(unlike, prepend=-1, append=len(x) - width).max() > width:
+            yield width
+
+
 def fold(items: list) -> list:
-    """Fold runs of a group repeated side by side, shortest groups first, until nothing folds."""
+    """Fold runs of a group of any width repeated side by side, shortest groups first, until nothing folds."""
     changed = True
     while changed:
         changed = False
         keys = [shape(x) for x in items]
-        for width in range(1, min(12, len(items) // 2) + 1):
+        for width in _widths(keys):
             i, out = 0, []
             while i < len(items):
                 reps = 1
