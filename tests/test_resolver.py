@@ -136,3 +136,28 @@ def test_a_token_of_every_row_costs_a_list_of_fixed_length(spark):
     assert all(r.n == 5 for r in got) and sum(r.s == 2 for r in got) > 400
     assert [(r.row.ord, r.score) for r in d.where("item = 'common ej'").orderBy("rank").collect()] == [(49, 2), (0, 1), (1, 1), (2, 1), (3, 1)]
     assert d.count() == 2500
+
+
+def test_spans_are_found_at_any_place(spark):
+    """Against plain containment: places of every alignment, overlapping copies, repeats, other alphabets, near misses."""
+    import random
+
+    from quillspan.operators import grounding
+
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("abcdeشم \n") for _ in range(n))
+    texts = [say(rng.randrange(400)) for _ in range(60)] + ["", None, "ab" * 300, "x" * 100]
+    texts += texts[:5]
+    spans = []
+    for t in [t for t in texts if t and len(t) > 60]:
+        for n in (1, 2, 3, 14, 20, 31, 32, 45, 60):
+            at = rng.randrange(len(t) - n)
+            spans.append(t[at : at + n])
+        spans.append(t[5:50] + "!")
+    spans += ["ab" * 40, "x" * 100, "x" * 101, "", "  ", None, "nowhere to be found in any of the texts above"]
+    s = spark.createDataFrame(list(enumerate(spans)), "item_id long, text string")
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    strip = lambda t: t.strip(" \n\t\r\x0b\x0c") if t else ""
+    got = {r.item_id: r.n_sources for r in grounding.verify_spans(s, d).collect()}
+    want = {i: sum(strip(x) in t for t in texts if t is not None) if strip(x) else 0 for i, x in enumerate(spans)}
+    assert got == want
