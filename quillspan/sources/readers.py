@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import text
 
@@ -71,28 +71,53 @@ def resume(todo: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
 
 
 def append_answers(spark: SparkSession, todo: DataFrame, path: str, key: list[str], answer) -> int:
-    """Answer what the checkpoint folder does not hold yet, and append it; how many rows were new."""
-    done = spark.read.json(path) if exists(spark, path) else None
-    rest = todo if done is None or not set(key) <= set(done.columns) else resume(todo, done, key)
+    """Answer what the table of answers does not hold yet, and append it in one step; how many rows were new.
+
+    A job that ends before that step leaves nothing behind, so when it is retried every key is answered once.
+    """
+    from . import versions
+
+    done = versions.read(spark, path)
+    rest = todo if done is None else resume(todo, done, key)
     seen = Observation()
-    answer(rest.observe(seen, F.count(F.lit(1)).alias("n"))).write.mode("append").json(path)
+    versions.append(answer(rest.observe(seen, F.count(F.lit(1)).alias("n"))), path, form="json")
     return seen.get["n"]
 
 
+def answers(spark: SparkSession, path: str) -> DataFrame | None:
+    from . import versions
+
+    return versions.read(spark, path)
+
+
+def score_stream(stream: DataFrame, path: str, key: list[str], answer, checkpoint: str):
+    """A running query that answers each key of a stream once: a batch that is run again, or a key that comes again, changes nothing."""
+    from . import versions
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = versions.read(spark, path)
+        fresh = batch.dropDuplicates(key)
+        versions.append(answer(fresh if done is None else resume(fresh, done, key)), path, batch=f"stream-{number}", form="json")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def upsert(cache: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
     """fresh rows replace cached ones of the same key."""
     return cache.join(fresh.select(*key), key, "left_anti").select(*cache.columns).unionByName(fresh, allowMissingColumns=True)
 
 
 def cached_if_same(spark: SparkSession, source: DataFrame, key: str, path: str, compute) -> DataFrame:
-    """The stored table if it was made for the same set of keys, else a new one. Only a fingerprint is compared."""
-    mark = source.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr(f"bit_xor(xxhash64(`{key}`))"), F.lit(0)).alias("x")).first()
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        if old.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr(f"bit_xor(xxhash64(`{key}`))"), F.lit(0)).alias("x")).first() == mark:
-            return old
-    compute(source).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The stored table if it was made for the same set of keys, else a new version of it, which replaces the old one in one
+    step and leaves its files to those who read them. Only a fingerprint of the keys is compared."""
+    from . import versions
+
+    r = source.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr(f"bit_xor(xxhash64(`{key}`))"), F.lit(0)).alias("x")).first()
+    mark = f"{r.n}:{r.x}"
+    if versions.marked(spark, path) != mark:
+        versions.replace(compute(source), path, mark=mark)
+    return versions.read(spark, path)
 
 
 def of_video(corpus: DataFrame, video: str, ident: str = "video_id", order: str = "item_index") -> DataFrame:
@@ -117,10 +142,13 @@ def summary(parts: dict[str, DataFrame | None]) -> DataFrame:
 
 
 class PagedSource(DataSource):
-    """spark.read.format("paged"): rows of a paged listing, one partition per page of options total and page.
+    """spark.read.format("paged") and spark.readStream.format("paged"): rows of a paged listing, one partition per page of
+    options total and page.
 
     fetch(offset, limit) is a module-level function named by the options module and function; it returns tuples
-    (id, text). The last row of an id wins, see last_per_id().
+    (id, text), and gets the option argument as a third value where there is one. The last row of an id wins, see
+    last_per_id(). As a stream, the place after the last row read is what a checkpoint keeps; a stream that is stopped goes
+    on from there, up to the total stated then, and reads a batch again that it had planned but not finished.
     """
 
     @classmethod
@@ -133,23 +161,44 @@ class PagedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _PagedReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _PagedStream(self.options)
+
 
-class _PagedReader(DataSourceReader):
+class _Pages:
     def __init__(self, options):
         self.total, self.page = int(options["total"]), int(options.get("page", "20"))
-        self.module, self.function = options["module"], options["function"]
-
-    def partitions(self):
-        return [InputPartition(o) for o in range(0, self.total, self.page)]
+        self.module, self.function, self.argument = options["module"], options["function"], options.get("argument")
 
     def read(self, partition):
         import importlib
 
         fetch = getattr(importlib.import_module(self.module), self.function)
-        for k, (i, t) in enumerate(fetch(partition.value, self.page)):
+        more = () if self.argument is None else (self.argument,)
+        limit = min(self.page, self.total - partition.value)
+        for k, (i, t) in enumerate(fetch(partition.value, limit, *more)):
             yield partition.value, k, i, t
 
 
+class _PagedReader(_Pages, DataSourceReader):
+    def partitions(self):
+        return [InputPartition(o) for o in range(0, self.total, self.page)]
+
+
+class _PagedStream(_Pages, DataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        return {"offset": 0}
+
+    def latestOffset(self) -> dict:
+        return {"offset": self.total}
+
+    def partitions(self, start: dict, end: dict):
+        return [InputPartition(o) for o in range(start["offset"], end["offset"], self.page)]
+
+    def commit(self, end: dict) -> None:
+        """Nothing to give back: a page can be asked for again."""
+
+
 def last_per_id(rows: DataFrame) -> DataFrame:
     """id, text of the last row, and ord, the place (offset, pos) at which the id was first seen."""
     at = F.struct("offset", "pos")
