@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import motion
+from .extras import hand_expected
 from .selection import medians
 from .series import TWO_PI, after, before, scan_runs
 
@@ -163,3 +164,23 @@ def raw_finger_angles(hand: Column) -> dict[str, Column]:
     return out
 
 
+def visible_points(points: Column) -> Column:
+    """A list of landmarks with x, y, z and a visibility for each; where a point has none it counts as fully visible."""
+    return F.transform(points, lambda p: F.struct(*[p[n].cast("double").alias(n) for n in "xyz"], F.coalesce(p["visibility"].cast("double"), F.lit(1.0)).alias("visibility")))
+
+
+def landmark_frames(d: DataFrame, key: str, fps: float, *lists: str) -> DataFrame:
+    """key, frame, t (frame / fps) and the named landmark lists with visibilities; a list that is null was not detected. d has i."""
+    return d.select(key, F.col("i").alias("frame"), (F.col("i") / float(fps)).alias("t"), *[visible_points(F.col(c)).alias(c) for c in lists])
+
+
+def expected_visible(wrist: Column) -> Column:
+    """Whether a hand should be seen, by its wrist's visibility and place; false without a wrist."""
+    return F.coalesce(hand_expected(wrist["visibility"], wrist["x"], wrist["y"]), F.lit(False))
+
+
+def detection_when_expected(frames: DataFrame, key: str, wrist: Column, hand: Column) -> DataFrame:
+    """key, frames, detected, expected, detected_expected and its percentage (null where nothing is expected)."""
+    should, there = expected_visible(wrist), hand.isNotNull()
+    g = frames.groupBy(key).agg(F.count(F.lit(1)).alias("frames"), F.count_if(there).alias("detected"), F.count_if(should).alias("expected"), F.count_if(should & there).alias("detected_expected"))
+    return g.withColumn("pct_expected", F.when(F.col("expected") > 0, 100.0 * F.col("detected_expected") / F.col("expected")))
