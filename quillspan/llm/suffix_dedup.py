@@ -1,13 +1,14 @@
-"""Exact substring removal by bucket-pointer refinement of sampled suffixes.
+"""Exact substring removal by minimiser buckets and hashes of whole strings, in place of bucket-pointer refinement.
 
 A byte goes if a string of `length` bytes over it also starts earlier (in a document with a smaller id, or before in the
 same one). Every such string is a suffix's first `length` bytes. Suffixes are first put into buckets by a q-gram, and not
 by the one at their start but by the smallest-hashed q-gram of the string, so that neighbouring suffixes share one bucket
 entry, a run. Equal strings have equal q-grams at the same offset, hence lie in the same bucket. Fixed-size bit tables,
-filled from all documents, drop buckets with a single entry. Within a bucket the runs are refined by the bucket
-identifiers (hashes) of what follows from each later offset: crowded buckets are first split by the identifiers of parts
-of the run; then the identifier of the whole run settles identical runs, where they are read if it can; only buckets left
-with several kinds of runs are refined down to single strings, in order of place, where the first of each stays.
+filled from all documents, drop buckets with a single entry (of a fixed size, they let more through the larger the input
+is; what they let through is told apart below). Within a bucket strings are told apart by 64-bit hashes: crowded buckets are
+first split by the hashes of parts of the run; then the hash of the whole run settles identical runs, where they are read if
+it can; only buckets left with several kinds of runs are taken apart into single strings, in order of place, where the
+first of each stays. Two unlike strings of one bucket and place share a hash with odds of 2**-64.
 
 Defined results: null text counts as empty; texts shorter than `length` are kept whole; rows with equal doc_id stand in
 the order of their numbers (see numbered()), rows without one come first; an empty table gives an empty result; extra

@@ -1,11 +1,12 @@
 """Groups of any width in wrappers, canvases of any size, and the sample that Gumbel keys draw."""
 
+import re
 import struct
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspan.llm import gif, resampling, wrappers
+from quillspan.llm import common, gif, resampling, toxicity, wrappers
 
 from .conftest import DOCS, docs_of
 
@@ -61,3 +62,35 @@ def test_the_kth_gumbel_key_decides(make):
     assert abs(noise.mean() - 0.5772) < 0.25 and abs(noise.std() - np.pi / np.sqrt(6)) < 0.25  # a standard Gumbel sample
     other = resampling.select(docs, labels, seed=24).toPandas()
     assert other.selected.sum() == p.selected.sum() and (other.key != p.key).any()
+
+
+def test_toxicity_scores_by_plain_loops():
+    """The network's score, one place, one filter and one number at a time."""
+    rng = np.random.default_rng(4)
+    net = toxicity.Cnn(rows=1 << 9, dim=5, filters=4)
+    net.p["bias"][0], net.shift = 0.3, -0.2
+    texts = [None, "", "One", "the cat, the dog! and é ü 12", " ".join(rng.choice(["alpha", "beta", "gammas", "gammarays", "x"], 40)), "--- ..."]
+
+    def row(word, n=None):
+        w = common.Words([word], common.IS_BREAK)
+        h = w.hash if n is None else w.prefix(n)
+        return net.p["E"][int(h[0] % np.uint64(net.rows - 1)) + 1]
+
+    want = []
+    for t in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        seen = [[float(x) for x in row(w) + row(w, 4) + row(w, 6)] for w in words] + [[0.0] * 5] * 2
+        z, q = float(net.p["bias"][0]) + net.shift, 0
+        for k in toxicity.WIDTHS:
+            for f in range(4):
+                best = 0.0
+                for p in range(len(words)):
+                    r = float(net.p[f"b{k}"][f])
+                    for j in range(k):
+                        for d in range(5):
+                            r += seen[p + j][d] * float(net.p[f"W{k}"][j, d, f])
+                    best = max(best, r)
+                z += best * float(net.p["out"][q])
+                q += 1
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(net.score(texts), want, atol=1e-5)
