@@ -59,6 +59,18 @@ def scan(d: DataFrame, by: list[str], order: list[str], out: str, start: Callabl
     return cold.unionByName(scan_ranges(d.join(hot, by, "left_semi"), by, order, out, start, step))
 
 
+class _Row:
+    """One row of a batch of columns; `at` is its place."""
+
+    __slots__ = ("columns", "at")
+
+    def __init__(self, columns: dict[str, list]):
+        self.columns, self.at = columns, 0
+
+    def __getitem__(self, name: str):
+        return self.columns[name][self.at]
+
+
 def _walker(d: DataFrame, by: list[str], out: str, start: Callable, step: Callable):
     """The result's schema, and walk(batches, first state, ends): the rows as batches; ends gets (first key, last key, last
     state, whether there was one key only)."""
@@ -67,23 +79,25 @@ def _walker(d: DataFrame, by: list[str], out: str, start: Callable, step: Callab
 
     fields = T.StructType.fromDDL(out).fields
     schema = T.StructType([*[d.schema[c] for c in by], *fields])
-    arrow, names = to_arrow_schema(schema), [f.name for f in fields]
+    arrow = to_arrow_schema(schema)
 
     def walk(it, first, ends=None):
         open_, state, head, one = None, None, None, True
         for batch in it:
-            done = []
-            for r in batch.to_pylist():
-                key = [r[c] for c in by]
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            row, keys, values = _Row(columns), [], []
+            for row.at, key in enumerate(zip(*[columns[c] for c in by], strict=True)):
                 if key != open_:
                     one = open_ is None
                     state = first[0] if one and first is not None else start()
                     head, open_ = key if one else head, key
-                state, y = step(state, r)
+                state, y = step(state, row)
                 if y is not None and ends is None:
-                    done.append(dict(zip(by, key, strict=True)) | dict(zip(names, y, strict=True)))
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=arrow)
+                    keys.append(key)
+                    values.append(y)
+            if keys:
+                done = [*zip(*keys, strict=True), *zip(*values, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, arrow, strict=True)], schema=arrow)
         if ends is not None and open_ is not None:
             ends.append((head, open_, state, one))
 
