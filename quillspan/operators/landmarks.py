@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import motion
 from .extras import hand_expected
 from .selection import medians
-from .series import TWO_PI, after, before, scan_runs
+from .series import HOLD, TWO_PI, after, before, scan_runs
 
 RIGID_HOLD, REFERENCE = 16, 9
 
@@ -41,6 +41,27 @@ def rigid_bridge(s: DataFrame, hold: int = RIGID_HOLD, key="key") -> DataFrame:
     return d.select(key, "i", hand.alias("hand"), alpha.alias("alpha"))
 
 
+def hand_bridge(s: DataFrame, hold: int = HOLD, key="key") -> DataFrame:
+    """key, i, hand, alpha: gaps of at most hold frames filled by the last hand, moved with its wrist (point 0), which slides to
+    its place after the gap; before the first hand that one is faded in, after the last one that is faded out.
+
+    hand: array<struct<x,y>>, null where not detected.
+    """
+    at = F.when(F.col("hand").isNotNull(), F.struct("i", "hand"))
+    d = s.select(key, "i", "hand", before(at, key).alias("l"), after(at, key).alias("n"))
+    gap, lead = F.col("i") - F.col("l.i"), F.col("n.i") - F.col("i")
+    t = gap / (F.col("n.i") - F.col("l.i"))
+    wrist = lambda side, c: F.get(F.col(f"{side}.hand"), F.lit(0))[c]
+    for c in "xy":
+        d = d.withColumn(f"_d{c}", (wrist("l", c) * (1 - t) + wrist("n", c) * t) - wrist("l", c))
+    moved = F.transform("l.hand", lambda q: F.struct((q["x"] + F.col("_dx")).alias("x"), (q["y"] + F.col("_dy")).alias("y")))
+    real, first = F.col("hand").isNotNull(), F.col("l").isNull() & (lead <= hold)
+    inside, bound = F.col("l").isNotNull() & (gap <= hold), F.col("n").isNotNull()
+    hand = F.when(real, F.col("hand")).when(first, F.col("n.hand")).when(inside & bound, moved).when(inside, F.col("l.hand"))
+    alpha = F.when(real, 1.0).when(first, 1.0 - lead / float(hold)).when(inside & bound, 1.0).when(inside, 1.0 - gap / float(hold)).otherwise(0.0)
+    return d.select(key, "i", hand.alias("hand"), alpha.alias("alpha"))
+
+
 def blend(prev, cur, alpha: float):
     """Numbers are averaged, structs and lists of equal length part by part; texts, nulls and new parts are taken as they are."""
     if isinstance(cur, dict):

@@ -15,9 +15,11 @@ from ..operators import landmarks
 from ..operators import resolve as r
 from ..operators.series import global_number
 from ..sources import readers, sinks, versions
-from ..streaming import event_log
+from ..streaming import event_log, ordered
 from .base import query, sql_values, table
-from .store_queries import scratch
+from .landmark_queries import _hand
+from .series_queries import _B, KEY
+from .store_queries import ROCKS, scratch
 
 # -- a listing crawled page by page -----------------------------------------------------------------
 
@@ -255,3 +257,47 @@ def clitic_names(spark, sf_dir):
     return r.clitic(items, _catalog(spark, sf_dir)).select("item", F.col("clitic.form").alias("form"), F.col("clitic.row.id").alias("id"))
 
 
+
+
+# -- hands on a stream, readers of the log ----------------------------------------------------------
+
+_HAND = f"""WITH {_B}, k AS (SELECT *, CASE WHEN x IS NOT NULL THEN 'real' WHEN li IS NULL AND ni - i <= 8 THEN 'first' WHEN i - li <= 8 AND ni IS NOT NULL THEN 'moved' WHEN i - li <= 8 THEN 'held' ELSE 'none' END k FROM t),
+q AS (SELECT *, CASE k WHEN 'real' THEN x WHEN 'first' THEN nx WHEN 'none' THEN NULL ELSE lx END s, CASE WHEN k = 'moved' THEN (lx * (1 - t) + nx * t) - lx ELSE 0 END dx, CASE WHEN k = 'moved' THEN (lx / 2 * (1 - t) + nx / 2 * t) - lx / 2 ELSE 0 END dy FROM k)
+SELECT CAST(user_id AS VARCHAR) AS key, i::BIGINT AS i, floor((s + dx) * 1e6 + 0.5::DOUBLE) / 1e6 AS wrist_x, floor((s / 2 + 9 * sin(s / 7) + dy) * 1e6 + 0.5::DOUBLE) / 1e6 AS base_y,
+CASE k WHEN 'first' THEN 1.0::DOUBLE - (ni - i) / 8.0::DOUBLE WHEN 'held' THEN 1.0::DOUBLE - (i - li) / 8.0::DOUBLE WHEN 'none' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS alpha FROM q"""
+
+
+@query(_HAND)
+def hand_bridge(spark, sf_dir):
+    d = landmarks.hand_bridge(_hand(spark, sf_dir), key=KEY)
+    at = lambda k, c: rounded(F.get("hand", F.lit(k))[c])
+    return d.select(F.col(KEY).cast("string").alias("key"), F.col("i").cast("long").alias("i"), at(0, "x").alias("wrist_x"), at(9, "y").alias("base_y"), "alpha")
+
+
+@query(_HAND)
+def streamed_hand_bridge(spark, sf_dir):
+    """The hands come in no order, in two runs of a stream that holds what it needs of each key."""
+    path = scratch(spark, "hands")
+    last = F.col("i") == F.max("i").over(W.partitionBy(KEY))
+    flat = F.flatten(F.transform("hand", lambda p: F.array(p["x"], p["y"])))
+    d = _hand(spark, sf_dir).select(F.col(KEY).cast("string").alias("key"), F.col("i").cast("long").alias("i"), flat.alias("x"), last.alias("last"), F.pmod(F.xxhash64(KEY, "i"), F.lit(2)).alias("part"))
+    d.repartition(4, "part", "i").write.partitionBy("part").parquet(f"{path}/all")
+    schema = "key string, i long, x array<double>, last boolean"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    for part in range(2):
+        spark.read.schema(schema).parquet(f"{path}/all/part={part}").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/in")
+        ordered.hand_bridge_stream(stream).writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("key", "i", rounded(F.get("hand", F.lit(0))).alias("wrist_x"), rounded(F.get("hand", F.lit(19))).alias("base_y"), "alpha")
+
+
+@query(f"SELECT 'j' || job AS job_id, unnest(range(0, len(e))) AS seq, CASE WHEN unnest(range(0, len(e))) < job % 4 THEN 1 ELSE 2 END AS poll FROM ({_STAGES})")
+def polled_events(spark, sf_dir):
+    """A reader of the log who comes twice: first when each job has written some events, then when all are there."""
+    e = _jobs(spark, sf_dir).select("job_id", "seq", "stage", "status")
+    some = e.where(F.col("seq") < F.pmod(F.substring("job_id", 2, 20).cast("long"), F.lit(4)))
+    one, cursors = event_log.since(some, e.select("job_id", "seq").limit(0))
+    two, _ = event_log.since(e, cursors)
+    return one.withColumn("poll", F.lit(1)).unionByName(two.withColumn("poll", F.lit(2))).select("job_id", "seq", "poll")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.series import _alpha
@@ -23,6 +24,19 @@ def read_stream(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFra
     return spark.readStream.schema(schema).json(path)
 
 
+def since(events: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new events, new cursors): what a reader that holds cursors (job_id, seq of the last event it has) has not seen yet.
+
+    Events are taken up to the first that is missing, so that one which arrives late is not passed over.
+    """
+    known = cursors.select("job_id", F.col("seq").alias("_seen"))
+    fresh = events.join(known, "job_id", "left").where(F.col("seq") > F.coalesce("_seen", F.lit(-1))).dropDuplicates(["job_id", "seq"])
+    place = F.coalesce("_seen", F.lit(-1)) + F.row_number().over(W.partitionBy("job_id").orderBy("seq"))
+    ready = fresh.withColumn("_place", place).where(F.col("seq") == F.col("_place")).drop("_place", "_seen")
+    moved = ready.groupBy("job_id").agg(F.max("seq").alias("seq"))
+    return ready, moved.unionByName(cursors.select("job_id", "seq").join(moved, "job_id", "left_anti"))
+
+
 def statuses(stream: DataFrame, done: str = "DONE") -> DataFrame:
     """Current status of every job, for update or complete mode: blocked, error (last stage is not the final one) or done."""
     last = stream.groupBy("job_id").agg(F.max_by(F.struct("stage", "status"), "seq").alias("l"), F.count(F.lit(1)).alias("n_events"))

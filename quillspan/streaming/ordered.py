@@ -1,6 +1,6 @@
 """Step functions over a stream of frames that may arrive in any order: a reorder buffer, look-ahead and timers for each key.
 
-A frame is (key, i, x), with i counting from 0. It may come in any file, batch or order; the state keeps what has come too
+A frame is (key, i, x), with i counting from 0 and x a number or a list of them. It may come in any file, batch or order; the state keeps what has come too
 early and hands frames on in the order of i. `last` marks the final frame of a key, after which its pending rows are given
 out and its state is dropped. With an event time `ts` and a watermark on the stream, a key from which nothing has come for
 `patience` is closed as well: frames that never came count as not detected and give no row. Frames that come again, or after
@@ -23,7 +23,7 @@ HOLD = 8
 class Steps:
     """A plain step function as a walker: one row (i, y) for each frame, at once."""
 
-    columns = "y double"
+    value, columns = "double", "y double"
 
     def __init__(self, step: Callable):
         self.step = step
@@ -43,7 +43,7 @@ class GapBridge:
     reaches. What waits is faded in, glides to the next value, or fades out when the key ends.
     """
 
-    columns = "y double, alpha double"
+    value, columns = "double", "y double, alpha double"
 
     def __init__(self, hold: int = HOLD):
         self.hold = hold
@@ -62,21 +62,34 @@ class GapBridge:
     def _reached(self, seen, j: int, i: int, x: float) -> tuple:
         if seen is None:
             return (j, x, 1.0 - (i - j) / float(self.hold))
-        t = (j - seen[0]) / (i - seen[0])
-        return (j, seen[1] + ((seen[1] * (1 - t) + x * t) - seen[1]), 1.0)
+        return (j, self.glide(seen[1], x, (j - seen[0]) / (i - seen[0])), 1.0)
+
+    def glide(self, a, b, t: float):
+        return a + ((a * (1 - t) + b * t) - a)
 
     def close(self, state) -> list[tuple]:
         seen, waiting = state or (None, [])
         return [(j, None, 0.0) if seen is None else (j, seen[1], 1.0 - (j - seen[0]) / float(self.hold)) for j in waiting]
 
 
+class HandBridge(GapBridge):
+    """The same for a hand, a list of coordinates x, y, x, y and so on with the wrist first: in a gap the last hand seen keeps
+    its shape and moves with the wrist, which slides to where the next hand has it."""
+
+    value, columns = "array<double>", "hand array<double>, alpha double"
+
+    def glide(self, a: list[float], b: list[float], t: float) -> list[float]:
+        shift = [(a[c] * (1 - t) + b[c] * t) - a[c] for c in (0, 1)]
+        return [p + shift[k % 2] for k, p in enumerate(a)]
+
+
 class Walk:
     """What a key has so far: the next place, the walker's state, frames that came too early, the place of the final one."""
 
     def __init__(self, walker, kept: tuple | None = None):
         self.walker = walker
         self.next, state, at, x, self.last = kept or (0, "null", [], [], -1)
-        self.state, self.early = json.loads(state), dict(zip(at, x, strict=True))
+        self.state, self.early = json.loads(state), dict(zip(at, map(json.loads, x), strict=True))
 
     def add(self, i: int, x: float | None, last: bool) -> None:
         if i >= self.next:
@@ -110,7 +123,7 @@ class Walk:
 
     def kept(self) -> tuple:
         at = sorted(self.early)
-        return self.next, json.dumps(self.state), at, [self.early[i] for i in at], self.last
+        return self.next, json.dumps(self.state), at, [json.dumps(self.early[i]) for i in at], self.last
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -119,12 +132,12 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("walk", "next long, state string, at array<long>, x array<double>, last long")
+        self.state = handle.getValueState("walk", "next long, state string, at array<long>, x array<string>, last long")
 
     def _rows(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
-            names = ["i", *[c.split()[0] for c in self.walker.columns.split(", ")]]
-            out = pd.DataFrame(rows, columns=names).astype({n: "float64" for n in names[1:]})
+            kinds = dict(c.split() for c in self.walker.columns.split(", "))
+            out = pd.DataFrame(rows, columns=["i", *kinds]).astype({n: "float64" for n, kind in kinds.items() if kind == "double"})
             out.insert(0, "key", key[0])
             yield out
 
@@ -132,7 +145,7 @@ class OrderedProcessor(StatefulProcessor):
         walk, latest = Walk(self.walker, self.state.get() if self.state.exists() else None), None
         for pdf in rows:
             for i, x, last in zip(pdf["i"].tolist(), pdf["x"].tolist(), pdf["last"].tolist(), strict=True):
-                walk.add(i, None if pd.isna(x) else x, bool(last))
+                walk.add(i, None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else list(map(float, x)) if self.walker.value != "double" else x, bool(last))
             if self.patience_ms is not None and len(pdf):
                 latest = max(latest or 0, int(pdf["ts"].max().timestamp() * 1000))
         out = walk.go()
@@ -178,3 +191,8 @@ def walk_stream(stream: DataFrame, walker, patience: str | None = None) -> DataF
 def gap_bridge_stream(stream: DataFrame, hold: int = HOLD, patience: str | None = None) -> DataFrame:
     """key, i, y, alpha: what series.gap_bridge() gives, for frames that come in any order."""
     return walk_stream(stream, GapBridge(hold), patience)
+
+
+def hand_bridge_stream(stream: DataFrame, hold: int = HOLD, patience: str | None = None) -> DataFrame:
+    """key, i, hand, alpha: what landmarks.hand_bridge() gives, of hands x as lists of coordinates that come in any order."""
+    return walk_stream(stream, HandBridge(hold), patience)

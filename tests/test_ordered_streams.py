@@ -91,3 +91,35 @@ def test_scratch_is_named_by_the_session(spark):
     from quillspan.operators import durable
 
     assert os.path.isdir(durable.shared(spark))
+
+
+def test_hands_are_carried_like_the_batch_operator(spark):
+    from quillspan.operators import landmarks
+
+    rng = random.Random(4)
+    hands = [None if rng.random() < 0.45 else [rng.uniform(-5, 5) for _ in range(6)] for _ in range(200)]
+    hands[:12], hands[-14:] = [None] * 12, [None] * 14
+    order = list(range(200))
+    rng.shuffle(order)
+    walk, rows = ordered.Walk(ordered.HandBridge()), []
+    for k in order:
+        walk.add(k, hands[k], k == 199)
+        rows += walk.go()
+        walk = ordered.Walk(walk.walker, walk.kept())  # as if every frame were a batch of its own
+    assert walk.over
+    rows += walk.walker.close(walk.state)
+    point = lambda h: None if h is None else [(h[0], h[1]), (h[2], h[3]), (h[4], h[5])]
+    d = spark.createDataFrame([("k", i, point(h)) for i, h in enumerate(hands)], "key string, i int, hand array<struct<x:double,y:double>>")
+    want = {r.i: (None if r.hand is None else [c for p in r.hand for c in p], r.alpha) for r in landmarks.hand_bridge(d).collect()}
+    assert {i: (h, a) for i, h, a in rows} == want and len(rows) == 200
+
+
+def test_a_reader_of_the_log_misses_nothing_and_sees_nothing_twice(spark):
+    schema = "job_id string, seq long, stage string"
+    log = [("a", i, "s") for i in range(5)] + [("b", 0, "s"), ("b", 2, "s")]
+    ready, cursors = event_log.since(spark.createDataFrame(log + log[:2], schema), spark.createDataFrame([("a", 1), ("z", 9)], "job_id string, seq long"))
+    assert sorted((r.job_id, r.seq) for r in ready.collect()) == [("a", 2), ("a", 3), ("a", 4), ("b", 0)]  # 1 of b is still to come
+    assert sorted(map(tuple, cursors.collect())) == [("a", 4), ("b", 0), ("z", 9)]
+    late = spark.createDataFrame([*log, ("b", 1, "s")], schema)
+    ready, cursors = event_log.since(late, cursors)
+    assert sorted((r.job_id, r.seq) for r in ready.collect()) == [("b", 1), ("b", 2)]
