@@ -1,4 +1,4 @@
-"""The layered resolver bound to part names: a dictionary of some names and nouns, and mutated names as items."""
+"""The layered resolver bound to part names: a dictionary of all names and some nouns, and mutated names as items."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..operators import series
 from .base import query, sql_list, table
 
 _CATALOG = """catalog AS (SELECT CAST(row_number() OVER (ORDER BY w) - 1 AS INT) AS ord, w AS word_en, 'c' || CAST(row_number() OVER (ORDER BY w) - 1 AS VARCHAR) AS id, CASE WHEN w LIKE '%a%' THEN 'Directions and Locations' ELSE 'Things' END AS category
-FROM (SELECT DISTINCT p_name w FROM part WHERE length(split_part(p_name, ' ', 2)) % 2 = 0 UNION SELECT unnest(['ring', 'bolt', 'gear'])))"""
+FROM (SELECT DISTINCT p_name w FROM part UNION SELECT unnest(['ring', 'bolt', 'gear'])))"""
 _ITEMS = """items AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN p_name || 's' WHEN 3 THEN 'very ' || p_name WHEN 4 THEN split_part(p_name, ' ', 2) || 's' ELSE split_part(p_name, ' ', 2) || 'ing' END AS item FROM part)"""
 _MODS = sql_list(text.MODIFIERS)
 _TOK = f"list_filter(regexp_extract_all(lower(item), '[a-z'']+'), lambda x: x NOT IN ({sql_list(text.STOP_WORDS)}))"
@@ -45,7 +45,7 @@ CASE WHEN eid IS NOT NULL AND ec <> 'Directions and Locations' THEN 'FULL' WHEN
 
 def catalog_of(spark, sf_dir):
     """A dictionary of distinct names in their order."""
-    p = table(spark, sf_dir, "part").select("p_name").distinct().where(F.length(F.split_part("p_name", F.lit(" "), F.lit(2))) % 2 == 0)
+    p = table(spark, sf_dir, "part").select("p_name")
     w = p.union(spark.createDataFrame([("ring",), ("bolt",), ("gear",)], "p_name string")).distinct()
     ordered = series.global_number(w, "p_name", name="ord").select(F.col("ord").cast("int").alias("ord"), F.col("p_name").alias("word_en"))
     return ordered.select("ord", F.concat(F.lit("c"), F.col("ord").cast("string")).alias("id"), "word_en", F.lit(None).cast("string").alias("word_ar"), F.when(F.contains("word_en", F.lit("a")), "Directions and Locations").otherwise("Things").alias("category"), F.lit(True).alias("has_video"))
