@@ -20,6 +20,8 @@ STRIP = " \t\n\r\f\v"
 AR_LETTERS = "[\\u0600-\\u06FF]"
 AR_WIDE = "[\\u0600-\\u06FF\\u0750-\\u077F]"
 AR_FULL = "[\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF\\uFB50-\\uFDFF\\uFE70-\\uFEFF]"
+# Limits and marks of a proposed term and of a gloss.
+TERM_MOST, GLOSS_MOST, ALTERNATIVE_MARKS = 60, 40, ("or", "أو", "/", "،", ",", ";", "(", ")")
 
 
 def strip(c: Column) -> Column:
@@ -127,12 +129,12 @@ def term_gate(c: Column) -> Column:
     """struct(clean, status, reason) of a proposed Arabic term; the first failing check names the reason."""
     t = strip(F.btrim(strip(c), F.lit('"')))
     many = F.lit(False)
-    for mark in ("or", "أو", "/", "،", ",", ";", "(", ")"):
+    for mark in ALTERNATIVE_MARKS:
         many = many | F.contains(t, F.lit(mark))
     review = lambda why: F.struct(F.lit(None).cast("string").alias("clean"), F.lit("REVIEW_REQUIRED").alias("status"), F.lit(why).alias("reason"))
     return (
         F.when(t == "", review("empty"))
-        .when(F.contains(t, F.lit("\n")) | (F.length(t) > 60), review("commentary"))
+        .when(F.contains(t, F.lit("\n")) | (F.length(t) > TERM_MOST), review("commentary"))
         .when(many, review("alternatives"))
         .when(~t.rlike(AR_LETTERS), review("no Arabic script"))
         .when(~t.rlike("^[\\u0600-\\u06FF\\s]+$"), review("other characters"))
@@ -147,7 +149,7 @@ def terminology_need(item: Column, source_arabic: Column) -> Column:
 
 def gloss_gate(c: Column) -> Column:
     t = strip(c)
-    return (~F.contains(t, F.lit("\n"))) & (F.length(t) <= 40) & ~t.rlike(AR_LETTERS) & t.rlike("^[A-Za-z\\s\\-]+$")
+    return (~F.contains(t, F.lit("\n"))) & (F.length(t) <= GLOSS_MOST) & ~t.rlike(AR_LETTERS) & t.rlike("^[A-Za-z\\s\\-]+$")
 
 
 def category_of_path(c: Column) -> Column:

@@ -10,6 +10,7 @@ from .extras import hand_expected
 from .selection import medians
 from .series import HOLD, TWO_PI, after, before, scan_runs
 
+# Frames over which a hand is carried as one piece, and the point that gives its direction.
 RIGID_HOLD, REFERENCE = 16, 9
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+# Words that do not tell variants apart.
 VARIANT_STOP = ["the", "a", "an", "of", "my", "your", "his", "her", "our", "their", "is", "are", "to", "in", "on"]
 
 
