@@ -15,13 +15,13 @@ MODIFIERS_AR = [
 KINSHIP_POSSESSIVE = ["امي", "امى", "ابي", "ابى", "اخي", "اخى", "اختي", "اختى"]
 CLITICS = ["وال", "فال", "بال", "كال", "لل", "ال", "و", "ف", "ب", "ل", "ك"]
 STRIP = " \t\n\r\f\v"
-# End of fixed values.
-
+# Ranges of Arabic letters: basic, with the supplement, and all forms.
 AR_LETTERS = "[\\u0600-\\u06FF]"
 AR_WIDE = "[\\u0600-\\u06FF\\u0750-\\u077F]"
 AR_FULL = "[\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF\\uFB50-\\uFDFF\\uFE70-\\uFEFF]"
 # Limits and marks of a proposed term and of a gloss.
 TERM_MOST, GLOSS_MOST, ALTERNATIVE_MARKS = 60, 40, ("or", "أو", "/", "،", ",", ";", "(", ")")
+# End of fixed values.
 
 
 def strip(c: Column) -> Column:

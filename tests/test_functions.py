@@ -77,7 +77,7 @@ def test_sequence_scores():
     same = "a b c d e".split()
     assert vectors.bleu4(same, same) == pytest.approx(1.0) and vectors.bleu4(same, []) == 0.0
     assert 0 < vectors.bleu4(same, "a b c d x".split()) < 1
-    assert vectors._lcs("abcde", "ace") == 3
+    assert vectors.lcs_length("abcde", "ace") == 3
     assert vectors.bleu4(same, "a x".split()) == pytest.approx(math.exp(1 - 5 / 2 + 0.25 * (math.log(1 / 2) + math.log(math.log(2) / 10 / 1) + math.log(math.log(2) / 20 / 1) + math.log(math.log(2) / 40 / 1))), rel=1e-6)
 
 
