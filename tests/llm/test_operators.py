@@ -726,4 +726,4 @@ def test_empty_tables(make):
 
 
 def test_registered_names():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
