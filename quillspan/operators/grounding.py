@@ -45,11 +45,12 @@ def gram_index(sources: DataFrame) -> DataFrame:
 
     def run(it):
         for pdf in it:
-            for t1, t2, text_ in zip(pdf["t1"], pdf["t2"], pdf["text"], strict=True):
-                raw = text_.encode()
-                at = np.arange(0, len(raw) - GRAM + 1, STRIDE)
-                if len(at):
-                    yield pd.DataFrame({"gram": _grams(raw, at), "t1": t1, "t2": t2, "pos": at.astype(np.int32)})
+            raws = [t.encode() for t in pdf["text"]]
+            places = [np.arange(0, len(raw) - GRAM + 1, STRIDE) for raw in raws]
+            n = [len(at) for at in places]
+            if sum(n):
+                grams = np.concatenate([_grams(raw, at) for raw, at in zip(raws, places, strict=True) if len(at)])
+                yield pd.DataFrame({"gram": grams, "t1": np.repeat(pdf["t1"].to_numpy(), n), "t2": np.repeat(pdf["t2"].to_numpy(), n), "pos": np.concatenate(places).astype(np.int32)})
 
     return sources.where("text is not null").select("t1", "t2", "text").mapInPandas(run, "gram long, t1 long, t2 long, pos int")
 
@@ -59,10 +60,10 @@ def span_grams(spans: DataFrame) -> DataFrame:
 
     def run(it):
         for pdf in it:
-            for span in pdf["span"]:
-                raw = span.encode()
-                at = np.arange(len(raw) - GRAM + 1)
-                yield pd.DataFrame({"span": span, "gram": _grams(raw, at), "off": at.astype(np.int32)})
+            raws = [s.encode() for s in pdf["span"]]
+            places = [np.arange(len(raw) - GRAM + 1) for raw in raws]
+            if len(raws):
+                yield pd.DataFrame({"span": np.repeat(pdf["span"].to_numpy(object), [len(at) for at in places]), "gram": np.concatenate([_grams(r, at) for r, at in zip(raws, places, strict=True)]), "off": np.concatenate(places).astype(np.int32)})
 
     return spans.mapInPandas(run, "span string, gram long, off int")
 
@@ -102,6 +103,8 @@ def short_hits(spans: DataFrame, sources: DataFrame) -> DataFrame:
         bits = table.setdefault(r.n, np.zeros(1 << _HEAD_BITS, bool))
         head = bytes(r.head)
         bits[(head[0] << 8) + head[1] if len(head) > 1 else slice(head[0] << 8, (head[0] << 8) + 256)] = True
+    if not table:
+        return spark.createDataFrame([], "span string, n long")
     held = spark.sparkContext.broadcast(table)
 
     def run(it):

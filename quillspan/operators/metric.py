@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .durable import cut
 
 PIVOTS, CELL, BLOCK, NONE = 1024, 256, 2048, -1
+#: Rows up to which all vectors meet: two blocks of them a side are less work than cells.
+FEW = 2 * BLOCK
 ROOM = 1e-7
 
 
@@ -31,9 +33,12 @@ def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pivots(vectors: DataFrame, n: int | None = None) -> np.ndarray:
-    """Unit vectors of the rows (vec_id, v) with the smallest hashes, one for about CELL rows."""
-    count = vectors.count() if n is None else 0
-    n = n or max(1, min(PIVOTS, count // CELL))
+    """Unit vectors of the rows (vec_id, v) with the smallest hashes, one for about CELL rows; none for a table of FEW rows."""
+    if n is None:
+        count = vectors.count()
+        if count <= FEW:
+            return np.zeros((0, 0))
+        n = min(PIVOTS, count // CELL)
     some = F.exists("v", lambda x: x != 0)
     rows = vectors.where(some).select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(n).collect()
     return _unit(_array(pd.Series([r.v for r in rows])))[0] if rows else np.zeros((0, 0))
@@ -112,10 +117,28 @@ def meet(left: DataFrame, right: DataFrame, run, schema: str, block: int = BLOCK
     return l.unionByName(r, allowMissingColumns=True).groupBy("cell", "i", "j").applyInPandas(both, schema)
 
 
+def _pairs(least: float):
+    """The pairs of two blocks that are alike enough, each once: see similar_pairs()."""
+
+    def run(x, y):
+        a, b = _unit(_array(x["v"]))[0], _unit(_array(y["v"]))[0]
+        p, q = np.nonzero((s := a @ b.T) >= least)
+        i, j = x["vec_id"].to_numpy()[p], y["vec_id"].to_numpy()[q]
+        mine, other = x["home"].to_numpy()[p], y["home"].to_numpy()[q]
+        keep = np.where(mine == other, i < j, (other > mine) | (other == NONE))
+        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j), "similarity": s[p, q]})[keep & (i != j)]
+
+    return run
+
+
 def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK, n_pivots: int | None = None, work: list | None = None) -> DataFrame:
     """a < b with cosine >= least, exactly. vectors: vec_id, v. `work` gets the number of pairs of vectors that meet and of all pairs."""
     cells = Cells(pivots(vectors, n_pivots))
-    rows = cut(placed(vectors, cells).drop("d"))
+    rows = placed(vectors, cells).drop("d")
+    if not len(cells.p):
+        own = rows.withColumn("home", F.col("cell"))
+        return meet(own, own, _pairs(least), "a long, b long, similarity double", block)
+    rows = cut(rows)
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
     own = rows.withColumn("home", F.col("cell"))
     guests = visits(rows if least <= 0 else rows.where(F.col("cell") != NONE), cells, radius)
@@ -124,15 +147,7 @@ def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK, n_pivots
         total = F.sum("n")
         work.extend(n.agg(F.sum(F.expr("n * (n - 1) div 2 + n * m")), total * (total - 1) / 2).first())
 
-    def run(x, y):
-        a, b = _unit(_array(x["v"]))[0], _unit(_array(y["v"]))[0]
-        p, q = np.nonzero((s := a @ b.T) >= least)
-        i, j = x["vec_id"].to_numpy()[p], y["vec_id"].to_numpy()[q]
-        mine, other = x["home"].to_numpy()[p], y["home"].to_numpy()[q]
-        keep = np.where(mine == other, i < j, (other > mine) | (other == NONE))
-        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j), "similarity": s[p, q]})[keep & (i != j)]
-
-    return meet(own, own.unionByName(guests), run, "a long, b long, similarity double", block)
+    return meet(own, own.unionByName(guests), _pairs(least), "a long, b long, similarity double", block)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float, block: int, n_pivots: int | None = None) -> DataFrame:
@@ -143,7 +158,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float, block:
     """
     spark = vectors.sparkSession
     cells = Cells(pivots(vectors, n_pivots))
-    rows = cut(placed(vectors, cells))
+    rows = placed(vectors, cells)
+    if not len(cells.p):
+        asked = queries.select(F.col("query_id").alias("vec_id"), F.col("q").cast("array<double>").alias("v"), F.lit(NONE).alias("cell"))
+        return _best(meet(asked, rows.select("vec_id", "v", "cell"), _near(k, least), "query_id long, vec_id long, similarity double", block), k)
+    rows = cut(rows)
     order = W.partitionBy("cell").orderBy("d", "vec_id")
     first = rows.where(F.col("cell") != NONE).select("cell", "d", F.row_number().over(order).alias("r")).where(F.col("r") <= k + 1)
     lists = np.full((len(cells.p), k + 1), np.inf)
@@ -160,21 +179,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float, block:
                 continue
             home, d, some = c.place(_array(pdf["v"]))
             out = np.zeros((len(pdf), len(c.p) + 1), bool)
-            if len(c.p):
-                # d(query, pivot) + d(pivot, vector), the k + 1 smallest of all: one of them may be the query itself
-                bound = np.stack([np.partition((x[:, None] + lists).ravel(), k)[k] for x in d])
-                bound = np.where(some, np.minimum(bound, most), np.inf) + ROOM
-                near = (c.reach(np.where(some, home, 0), d) <= bound[:, None]) & (d - size[None] <= bound[:, None])
-                out[:, :-1] = np.where(some[:, None], near, True)
-                out[:, -1] = ~some | (bound >= np.sqrt(2))
-            else:
-                out[:, -1] = True
-            out[:, -1] &= some_none
+            # d(query, pivot) + d(pivot, vector), the k + 1 smallest of all: one of them may be the query itself
+            bound = np.stack([np.partition((x[:, None] + lists).ravel(), k)[k] for x in d])
+            bound = np.where(some, np.minimum(bound, most), np.inf) + ROOM
+            near = (c.reach(np.where(some, home, 0), d) <= bound[:, None]) & (d - size[None] <= bound[:, None])
+            out[:, :-1] = np.where(some[:, None], near, True)
+            out[:, -1] = (~some | (bound >= np.sqrt(2))) & some_none
             i, cell = np.nonzero(out)
             yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "cell": np.where(cell == len(c.p), NONE, cell)})
 
     asked = queries.select(F.col("query_id").alias("vec_id"), F.col("q").cast("array<double>").alias("v")).mapInPandas(go, "vec_id long, v array<double>, cell int")
 
+    found = meet(asked, rows.select("vec_id", "v", "cell"), _near(k, least), "query_id long, vec_id long, similarity double", block)
+    return _best(found, k)
+
+
+def _near(k: int, least: float):
+    """The k vectors of a block that are most similar to each query of another."""
+
     def run(x, y):
         q, v = _array(x["v"]), _array(y["v"])
         n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
@@ -188,6 +210,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float, block:
             out.append(pd.DataFrame({"query_id": ids[j], "vec_id": other[top], "similarity": s[j][top]}))
         return pd.concat(out)
 
-    found = meet(asked, rows.select("vec_id", "v", "cell"), run, "query_id long, vec_id long, similarity double", block)
+    return run
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     best: Column = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")

@@ -22,18 +22,20 @@ def label_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower(c), r"\b\d+\b", ""), F.lit("([a-z]+)"), F.lit(1)))
 
 
-def integrity(d: DataFrame, shared: str, label: str, block: int = 2048) -> DataFrame:
+def integrity(d: DataFrame, shared: str, label: str, block: int = 2048, few: int = 64) -> DataFrame:
     """shared, status: MISSING, or SUSPECT if two labels under it have no token in common, else VALID.
 
     Only the distinct token sets of a shared key count. A key of which a token stands in all sets is sound at once, by
-    counting. The sets of the others are dealt in blocks, every two blocks of a key are a task: the sets of one with a token
+    counting. Up to `few` sets of a key are compared as one row; the sets of other keys are dealt in blocks, every two blocks of a key are a task: the sets of one with a token
     are the bits of a number, and a set is disjoint from one of them if the numbers of its tokens together miss a bit.
     """
     t = d.where(F.coalesce(F.col(shared), F.lit("")) != "").select(F.col(shared).alias("k"), F.array_sort(label_tokens(F.col(label))).alias("t")).distinct().where(F.size("t") > 0)
     many = t.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
     sound = t.select("k", F.explode("t").alias("x")).groupBy("k", "x").agg(F.count(F.lit(1)).alias("c")).join(many, "k").where("c = m").select("k").distinct()
     open_ = t.join(many, "k").join(sound, "k", "left_anti").withColumn("n", F.ceil(F.col("m") / block).cast("int"))
-    dealt = open_.withColumn("b", F.pmod(F.xxhash64("t"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pair = F.exists("ts", lambda x: F.exists(F.col("ts"), lambda y: ~F.arrays_overlap(x, y)))
+    small = open_.where(F.col("m") <= few).groupBy("k").agg(F.collect_list("t").alias("ts")).select("k", pair.alias("bad"))
+    dealt = open_.where(F.col("m") > few).withColumn("b", F.pmod(F.xxhash64("t"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pairs = dealt.select("k", "t", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
 
     def clash(pdf):
@@ -53,7 +55,7 @@ def integrity(d: DataFrame, shared: str, label: str, block: int = 2048) -> DataF
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "bad": [bad]})
 
     kind = d.schema[shared].dataType.simpleString()
-    bad = pairs.groupBy("k", "i", "j").applyInPandas(clash, f"k {kind}, bad boolean").groupBy("k").agg(F.max("bad").alias("bad"))
+    bad = pairs.groupBy("k", "i", "j").applyInPandas(clash, f"k {kind}, bad boolean").groupBy("k").agg(F.max("bad").alias("bad")).unionByName(small)
     out = d.select(F.col(shared).alias("k")).distinct().join(bad, "k", "left")
     return out.select(F.col("k").alias("shared"), F.when(F.coalesce("k", F.lit("")) == "", "MISSING").when(F.coalesce("bad", F.lit(False)), "SUSPECT").otherwise("VALID").alias("status"))
 

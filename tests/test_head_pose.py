@@ -46,8 +46,8 @@ def test_noise_moves_angles_little():
     assert ok.all() and np.abs(head_pose.angles(r) - [10, -20, 5]).max() < 5
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_disjoint_token_sets_in_blocks(spark, block):
+@pytest.mark.parametrize(("block", "few"), [(3, 0), (2048, 0), (4, 6), (2048, 64)])
+def test_disjoint_token_sets_in_blocks(spark, block, few):
     rng = random.Random(block)
     rows, words = [], [f"{a}{b}" for a in "abcdef" for b in "xyz"]
     for k in range(25):
@@ -60,7 +60,7 @@ def test_disjoint_token_sets_in_blocks(spark, block):
     for k, _ in rows:
         sets = [s for s in {frozenset(w for w in t.split() if w.isalpha()) for q, t in rows if q == k} if s]
         want[k] = "MISSING" if not k else "SUSPECT" if any(not a & b for a in sets for b in sets) else "VALID"
-    assert {r.shared: r.status for r in reports.integrity(d, "k", "w", block).collect()} == want
+    assert {r.shared: r.status for r in reports.integrity(d, "k", "w", block, few).collect()} == want
 
 
 def test_landmark_frames_and_expected_hands(spark):
