@@ -76,9 +76,10 @@ def stored(df: DataFrame, tag: str, owner: str) -> DataFrame:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """A small table that comes out of a shuffle, in a sixteenth of the files: ids and labels need no more tasks than that."""
+    """A table of ids, labels or pairs in a sixteenth of the files of a shuffle. Only rows that are done are dealt to the
+    tasks that write; what makes them runs in as many tasks as before."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(-(-n // 16))
+    return df.repartition(-(-n // 16))
 
 
 def drop_stored(df: DataFrame) -> None:

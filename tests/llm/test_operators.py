@@ -358,8 +358,8 @@ def near_by_hand(rows, width, percent):
     return {d: (len(sets[d]), low[d]) for d in ids}
 
 
-@pytest.mark.parametrize("wide", [2, 16])
-def test_near_duplicates(make, monkeypatch, wide):
+@pytest.mark.parametrize(("wide", "hot"), [(2, 0), (16, 0), (16, -1)])
+def test_near_duplicates(make, monkeypatch, wide, hot):
     rng = random.Random(6)
     draw = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
     texts = [None, "", "  ", "one", "ONE", "one two three", LONG]
@@ -373,7 +373,7 @@ def test_near_duplicates(make, monkeypatch, wide):
     rows = docs_of(texts)
     docs = make(DOCS, [*rows, rows[20], (None, "one", "en", "s", 3)])
     inner = jaccard_join.similar_links
-    monkeypatch.setattr(jaccard_join, "similar_links", lambda *a: inner(*a, wide=wide, chunk=300))
+    monkeypatch.setattr(jaccard_join, "similar_links", lambda *a: inner(*a, wide=wide, chunk=300, hot=hot))
     got = jaccard_join.near_duplicates(docs, 4, 85).toPandas()
     want = near_by_hand([(r[0], r[1]) for r in rows], 4, 85)
     assert len(got) == len(rows) + 2
