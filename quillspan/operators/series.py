@@ -50,12 +50,15 @@ def scan(d: DataFrame, by: list[str], order: list[str], out: str, start: Callabl
     """
     most = HOT_ROWS if hot_rows is None else hot_rows
     schema, walk = _walker(d, by, out, start, step)
-    few = d.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(lambda it: walk(it, None), schema)
+    # dealt by a value of its own: Spark leaves out a repartition by columns that a union or a join below claims to be dealt
+    # by already, and then reads the sides of that union in partitions of different sizes, or cuts those of that join
+    dealt = lambda x: x.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order)
+    few = dealt(d).mapInArrow(lambda it: walk(it, None), schema)
     hot = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= most).select(*by)
     if hot.isEmpty():
         return few
     hot = cut(hot)
-    cold = d.join(hot, by, "left_anti").repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(lambda it: walk(it, None), schema)
+    cold = dealt(d.join(hot, by, "left_anti")).mapInArrow(lambda it: walk(it, None), schema)
     return cold.unionByName(scan_ranges(d.join(hot, by, "left_semi"), by, order, out, start, step))
 
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.operators import series
@@ -167,3 +168,27 @@ def test_ranges_whose_states_never_forget(spark):
     got = series.scan_ranges(d, ["key"], ["i"], "i int, n int", lambda: 0, count)
     want = {(k, i): sum(j % 3 for j in range(i + 1)) for k, n in (("a", 400), ("b", 1500)) for i in range(n)}
     assert {(r.key, r.i): r.n for r in got.collect()} == want
+
+
+def test_labels_meet_samples_however_partitions_are_joined(spark):
+    """Small targets for partitions: the labels' and the samples' side of a union are then read in different ones."""
+    n, per = 300, 40
+    s = spark.range(n * per).selectExpr(f"id % {n} as key", "id as at", "element_at(array('view', 'click', 'none', 'error'), cast(1 + pmod(xxhash64(id), 4) as int)) as text")
+    s = s.select("key", (F.row_number().over(W.partitionBy("key").orderBy("at")) - 1).alias("i"), "text")
+    l = s.select("key").distinct().crossJoin(F.broadcast(spark.createDataFrame([(0, "view"), (1, "click"), (2, "error")], "pos int, label string")))
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {(r.key, r.i): r.pos for r in series.align_labels(s, l).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want, at = {}, {}
+    for r in sorted(s.collect(), key=lambda r: (r.key, r.i)):
+        cur = at.setdefault(r.key, 0)
+        hit = next((p for p, t in enumerate(["view", "click", "error"]) if p >= cur and t in r.text), None)
+        want[r.key, r.i] = hit
+        at[r.key] = cur if hit is None else hit
+    assert got == want
