@@ -350,9 +350,10 @@ def crossfade_offsets(s: DataFrame, overlap: str = "0.16", key="key") -> DataFra
 
 def global_number(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     """Position of every row in one global order, from 0, without a single-task window: ranges are sorted on their own and
-    shifted by the counts of the ranges before them (one count per range reaches the driver)."""
+    shifted by the counts of the ranges before them (one count per range reaches the driver). Each run of a plan cuts ranges
+    by another sample, so counts and rows are read from one run's."""
     spark = df.sparkSession
-    sorted_ = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    sorted_ = cut(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
     counts = {r["_p"]: r["n"] for r in sorted_.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     shift, at = [], 0
     for p in sorted(counts):

@@ -192,3 +192,18 @@ def test_labels_meet_samples_however_partitions_are_joined(spark):
         want[r.key, r.i] = hit
         at[r.key] = cur if hit is None else hit
     assert got == want
+
+
+def test_global_number_beyond_what_is_sampled(spark):
+    """Ranges are cut by samples, so the counts and the rows must be of one cut."""
+    d = spark.range(0, 60_000, 1, 8).selectExpr("xxhash64(id) as v", "id")
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = series.global_number(d, "v").orderBy("v").select("number").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r.number for r in got] == list(range(60_000))
