@@ -71,6 +71,31 @@ def test_nearest_with_pivots_matches_brute_force(spark, k, least, block, n):
     assert {i: sorted(v) for i, v in got.items()} == want
 
 
+def test_blocks_of_matrices_where_cells_rule_nothing_out(spark, monkeypatch):
+    """Vectors in many dimensions, copies and zeros among them: no vector is sent to the cells it may have neighbours in."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 24)), np.tile(rng.normal(size=24), (30, 1)), np.zeros((3, 24))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(3)
+    s = _cosines(x)
+    monkeypatch.setattr(metric, "FEW", 10)
+    monkeypatch.setattr(metric, "CELL", 16)
+    monkeypatch.setattr(metric, "BLOCK", 64)
+    monkeypatch.setattr(metric, "meet", lambda *a: pytest.fail("cells are visited"))
+    near = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.4}
+    got = vectors.similar_pairs(d, 0.4).collect()
+    assert len(got) == len(near) and {(r.a, r.b) for r in got} == near
+    assert all(abs(r.similarity - s[r.a, r.b]) < 1e-9 for r in got)
+    links = vectors.similar_links(d, 0.4)
+    assert links.count() < 5 * len(x)
+    assert {r.vec_id: r.cluster for r in vectors.clusters(links).collect()} == {r.vec_id: r.cluster for r in vectors.clusters(spark.createDataFrame(sorted(near), "a long, b long")).collect()}
+    for k, least in ((4, -1.0), (50, 0.2)):
+        found: dict = {}
+        for r in vectors.nearest(d.where("vec_id % 3 = 0").selectExpr("vec_id as query_id", "v as q"), d, k, least).collect():
+            found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        want = {i: [j for _, j in sorted((-round(s[i, j], 12) + 0.0, j) for j in range(len(x)) if j != i and s[i, j] >= least)[:k]] for i in range(0, len(x), 3)}
+        assert {q: [v for _, v in sorted(f)] for q, f in found.items()} == {q: v for q, v in want.items() if v}
+
+
 def _plain_lcs(x, y):
     row = [0] * (len(y) + 1)
     for a in x:
