@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import planning, resolve
+from .durable import spread, spread_parts
 
 
 def as_catalog(rows: DataFrame) -> DataFrame:
@@ -86,28 +87,33 @@ def validate(units: DataFrame, sources: DataFrame, resolutions: DataFrame) -> Da
     ord, pos, term, status, ref_id, spelled (whether every letter was found), reason.
     """
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    u = units.join(sources.select("doc_id", "source_text"), "doc_id", "left")
+    n = spread_parts(units, resolutions)
+    u = spread(units, n, "doc_id").join(spread(sources.select("doc_id", "source_text"), n, "doc_id"), "doc_id", "left")
     u = u.withColumn("_ok", ~blank(F.col("source_span")) & F.coalesce(F.contains("source_text", "source_span"), F.lit(False)))
     ident = F.coalesce("unit_id", F.lit("None"))
     say = lambda when, kind, sub, pos, what: F.when(when, F.struct(F.lit(kind).alias("kind"), F.col("ord").cast("long").alias("ord"), F.lit(sub).alias("sub"), pos.cast("long").alias("pos"), F.concat(ident, F.lit(": "), what).alias("what")))
     zero = F.lit(0)
-    of_unit = u.select("doc_id", F.explode(F.array_compact(F.array(
+    of_unit = F.array_compact(F.array(
         say(~F.col("_ok"), "B", 0, zero, F.lit("source_span not found verbatim in source text")),
         say(blank(F.col("concept")) | blank(F.col("source_span")), "B", 1, zero, F.lit("missing concept or source_span (no provenance)")),
         say(F.coalesce("review_required", F.lit(False)), "R", 3, zero, F.lit("unit-level review_required flag set")),
-    ))).alias("x"))
-    r = resolutions.join(units.select("doc_id", "ord", "unit_id"), ["doc_id", "ord"])
+    ))
+    r = spread(resolutions, n, "doc_id", "ord").join(spread(units.select("doc_id", "ord", "unit_id"), n, "doc_id", "ord"), ["doc_id", "ord"])
     term, status, why = F.col("term"), F.col("status"), F.coalesce("reason", F.lit(""))
-    of_item = r.select("doc_id", F.explode(F.array_compact(F.array(
+    of_item = F.array_compact(F.array(
         say((status == "VERIFIED") & blank(F.col("ref_id")), "B", 2, F.col("pos"), F.concat(F.lit("VERIFIED '"), term, F.lit("' has no row in either dictionary"))),
         say((status == "FINGERSPELL_CANDIDATE") & ~F.coalesce("spelled", F.lit(False)), "B", 2, F.col("pos"), F.concat(F.lit("FINGERSPELL_CANDIDATE '"), term, F.lit("' is not fully resolved to letters"))),
         say(status.isin("UNSUPPORTED", "REVIEW_REQUIRED"), "R", 2, F.col("pos"), F.concat(F.lit("'"), term, F.lit("' "), status, F.lit(": "), why)),
-    ))).alias("x"))
-    lines = lambda kind: F.transform(F.array_sort(F.filter(F.collect_list("x"), lambda x: x["kind"] == kind)), lambda x: x["what"])
-    reasons = of_unit.unionByName(of_item).groupBy("doc_id").agg(lines("B").alias("blocking"), lines("R").alias("review"))
-    counts = u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_units"), F.count_if("_ok").alias("verified_spans"))
-    by = r.groupBy("doc_id").agg(*[F.count_if(status == s).alias(n) for s, n in (("VERIFIED", "verified_signs"), ("FINGERSPELL_CANDIDATE", "fingerspelled"), ("UNSUPPORTED", "unsupported"), ("REVIEW_REQUIRED", "review_required"))])
-    d = counts.join(by, "doc_id", "left").na.fill(0, ["verified_signs", "fingerspelled", "unsupported", "review_required"]).join(reasons, "doc_id", "left")
+    ))
+    # reasons and counts of a document in one pass on either side; rows without a reason collect nothing
+    said = lambda x: F.flatten(F.collect_list(F.when(F.size(x) > 0, x)))
+    counts = spread(u.withColumn("x", of_unit), n, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_units"), F.count_if("_ok").alias("verified_spans"), said(F.col("x")).alias("of_unit"))
+    named = (("VERIFIED", "verified_signs"), ("FINGERSPELL_CANDIDATE", "fingerspelled"), ("UNSUPPORTED", "unsupported"), ("REVIEW_REQUIRED", "review_required"))
+    by = spread(r.select("doc_id", "status", of_item.alias("x")), n, "doc_id").groupBy("doc_id").agg(*[F.count_if(status == s).alias(c) for s, c in named], said(F.col("x")).alias("of_item"))
+    d = counts.join(by, "doc_id", "left").na.fill(0, ["verified_signs", "fingerspelled", "unsupported", "review_required"])
+    every = F.when(F.col("doc_id").isNotNull(), F.array_sort(F.when(F.col("of_item").isNull(), F.col("of_unit")).otherwise(F.concat("of_unit", "of_item"))))
+    lines = lambda kind: F.transform(F.filter("_every", lambda x: x["kind"] == kind), lambda x: x["what"])
+    d = d.withColumn("_every", every).withColumns({"blocking": lines("B"), "review": lines("R")}).drop("_every", "of_unit", "of_item")
     none = F.array().cast("array<string>")
     d = d.withColumn("blocking", F.coalesce("blocking", none)).withColumn("review", F.coalesce("review", none))
     return d.withColumn("overall", F.when(F.size("blocking") > 0, "BLOCKED").when(F.size("review") > 0, "REVIEW_REQUIRED").when(F.col("fingerspelled") > 0, "PASS_WITH_FALLBACK").otherwise("PASS"))
