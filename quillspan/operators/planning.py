@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -63,8 +64,7 @@ def segments(units: DataFrame, available: DataFrame) -> tuple[DataFrame, DataFra
 
     units: unit_id, idx, term, status, clip_keys (one for a sign, one per letter for spelling); available: clip_key.
     """
-    parts = units.where(F.col("status").isin("VERIFIED", "FINGERSPELL_CANDIDATE"))
+    parts = units.where(F.col("status").isin("VERIFIED", "FINGERSPELL_CANDIDATE") & F.col("unit_id").isNotNull() & F.col("idx").isNotNull())
     each = parts.select("unit_id", "idx", "term", F.posexplode_outer("clip_keys").alias("pos", "clip_key")).join(available.select("clip_key", F.lit(True).alias("ok")).distinct(), "clip_key", "left")
-    bad = each.groupBy("unit_id", "idx").agg(F.every(F.coalesce("ok", F.lit(False))).alias("all_ok"))
-    out = each.join(bad, ["unit_id", "idx"])
+    out = each.withColumn("all_ok", F.every(F.coalesce("ok", F.lit(False))).over(W.partitionBy("unit_id", "idx")))
     return out.where("all_ok").select("unit_id", "idx", "pos", "term", "clip_key"), out.where("not all_ok").select("unit_id", "idx", "term").distinct()

@@ -8,6 +8,7 @@ from ..functions import parsing, text
 from ..functions.text import rounded
 from ..operators import landmarks, motion, planning, series
 from ..operators import resolve as r
+from ..operators.durable import spread, spread_parts
 from .base import query, rows, sql_list, sql_values, table
 from .episode_queries import _STOPS
 from .motion_queries import _V, _angle, hands
@@ -126,7 +127,8 @@ def render_segments(spark, sf_dir):
     f, k = F.col("l_returnflag"), F.col("l_linenumber").cast("string")
     clips = F.when(F.col("l_linestatus") == "F", F.array(F.concat(f, k))).otherwise(F.array(f, F.lit("X"), F.col("l_linestatus")))
     status = F.when(F.col("l_quantity") < 10, "UNSUPPORTED").when(F.col("l_linestatus") == "F", "VERIFIED").otherwise("FINGERSPELL_CANDIDATE")
-    u = li.select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("unit_id"), F.col("l_linenumber").alias("idx"), F.lit("t").alias("term"), status.alias("status"), clips.alias("clip_keys")).distinct()
+    u = li.select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("unit_id"), F.col("l_linenumber").alias("idx"), F.lit("t").alias("term"), status.alias("status"), clips.alias("clip_keys"))
+    u = spread(u, spread_parts(li), "unit_id").distinct()
     have = li.where("l_linenumber % 4 <> 0").select(F.concat(f, k).alias("clip_key")).distinct().union(rows(spark, "clip_key string", [("N",), ("X",), ("O",)])).distinct()
     good, bad = planning.segments(u, have)
     both = good.distinct().select(F.lit(True).alias("rendered"), "unit_id").unionByName(bad.select(F.lit(False).alias("rendered"), "unit_id"))
