@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 HOLD = 8
+#: Groups into which keys without timers are dealt: a call, and a batch of rows between Spark and Python, serves one of them.
+BUCKETS = 1024
+#: Rows that leave a call in one batch.
+ROWS = 1 << 16
 
 
 class Steps:
@@ -134,6 +138,11 @@ class OrderedProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("walk", "next long, state string, at array<long>, x array<string>, last long")
 
+    def _value(self, x):
+        if x is None or x is pd.NA or (isinstance(x, float) and x != x):
+            return None
+        return list(map(float, x)) if self.walker.value != "double" else x
+
     def _rows(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
             kinds = dict(c.split() for c in self.walker.columns.split(", "))
@@ -145,7 +154,7 @@ class OrderedProcessor(StatefulProcessor):
         walk, latest = Walk(self.walker, self.state.get() if self.state.exists() else None), None
         for pdf in rows:
             for i, x, last in zip(pdf["i"].tolist(), pdf["x"].tolist(), pdf["last"].tolist(), strict=True):
-                walk.add(i, None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else list(map(float, x)) if self.walker.value != "double" else x, bool(last))
+                walk.add(i, self._value(x), bool(last))
             if self.patience_ms is not None and len(pdf):
                 latest = max(latest or 0, int(pdf["ts"].max().timestamp() * 1000))
         out = walk.go()
@@ -172,6 +181,42 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
+class BucketProcessor(OrderedProcessor):
+    """The same without timers for all keys of a bucket at once; each key has its own entry in the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("walks", "key string", "next long, state string, at array<long>, x array<string>, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        walks: dict = {}
+        for pdf in rows:
+            for k, i, x, last in zip(pdf["key"].tolist(), pdf["i"].tolist(), pdf["x"].tolist(), pdf["last"].tolist(), strict=True):
+                if (walk := walks.get(k)) is None:
+                    walk = walks[k] = Walk(self.walker, self.state.getValue(self._name(k)))
+                walk.add(i, self._value(x), bool(last))
+        out: list[tuple] = []
+        for k, walk in walks.items():
+            done = walk.go()
+            if walk.over:
+                done += walk.walker.close(walk.state)
+                self.state.removeKey(self._name(k))
+            else:
+                self.state.updateValue(self._name(k), walk.kept())
+            out += [(k, *r) for r in done]
+            if len(out) >= ROWS:
+                yield self._frame(out)
+                out = []
+        if out:
+            yield self._frame(out)
+
+    def _name(self, k: str | None) -> tuple[str]:
+        return ("" if k is None else "=" + k,)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        kinds = dict(c.split() for c in self.walker.columns.split(", "))
+        return pd.DataFrame(rows, columns=["key", "i", *kinds]).astype({n: "float64" for n, kind in kinds.items() if kind == "double"})
+
+
 def walk_stream(stream: DataFrame, walker, patience: str | None = None) -> DataFrame:
     """key, i and the walker's columns in append mode, of a stream of (key, i, x) and, where it has them, last and ts.
 
@@ -182,9 +227,12 @@ def walk_stream(stream: DataFrame, walker, patience: str | None = None) -> DataF
     if patience is not None and not d._jdf.queryExecution().analyzed().toString().count("EventTimeWatermark"):
         d = d.withWatermark("ts", "0 seconds")
     ms = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
-    columns = ["key", "i", "x", "last"] + ["ts"] * (patience is not None)
+    if ms is None:
+        d = d.select("key", "i", "x", "last", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        return d.groupBy("bucket").transformWithStateInPandas(statefulProcessor=BucketProcessor(walker), outputStructType=f"key string, i long, {walker.columns}", outputMode="Append", timeMode="None")
+    columns = ["key", "i", "x", "last", "ts"]
     return d.select(*columns).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=OrderedProcessor(walker, ms), outputStructType=f"key string, i long, {walker.columns}", outputMode="Append", timeMode="None" if ms is None else "EventTime"
+        statefulProcessor=OrderedProcessor(walker, ms), outputStructType=f"key string, i long, {walker.columns}", outputMode="Append", timeMode="EventTime"
     )
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,36 @@ def test_a_reader_of_the_log_misses_nothing_and_sees_nothing_twice(spark):
     late = spark.createDataFrame([*log, ("b", 1, "s")], schema)
     ready, cursors = event_log.since(late, cursors)
     assert sorted((r.job_id, r.seq) for r in ready.collect()) == [("b", 1), ("b", 2)]
+
+
+def test_keys_without_timers_share_calls(spark, tmp_path, monkeypatch):
+    """Keys of a bucket are served by one call, and what waits of each is found again in the next run."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    old = ordered.BucketProcessor.handleInputRows
+
+    def counted(self, key, rows, timerValues):
+        (calls / f"{key[0]}-{time.time_ns()}").touch()
+        yield from old(self, key, rows, timerValues)
+
+    walker = ordered.GapBridge()
+    processor = type("Counted", (ordered.BucketProcessor,), {"handleInputRows": counted, "__module__": "__main__"})
+    monkeypatch.setattr(ordered, "BucketProcessor", processor)
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    keys, n = 40, 9
+    data = [(f"k{k}", i, float(i) if i % 4 else None, i == n - 1) for k in range(keys) for i in range(n)] + [(None, 0, 1.0, True)]
+    schema = "key string, i long, x double, last boolean"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for part in (1, 0):
+        spark.createDataFrame([r for r in data if r[1] % 2 == part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        ordered.walk_stream(stream, walker).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {(r.key, r.i): (r.y, r.alpha) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    state, want = None, {}
+    for i in range(n):
+        state, rows = walker.push(state, i, float(i) if i % 4 else None)
+        want |= {j: (y, a) for j, y, a in rows}
+    want |= {j: (y, a) for j, y, a in walker.close(state)}
+    assert got == {(f"k{k}", i): want[i] for k in range(keys) for i in range(n)} | {(None, 0): (1.0, 1.0)}
+    assert 2 <= len(list(calls.iterdir())) <= 2 * 3
