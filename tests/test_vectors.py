@@ -3,12 +3,15 @@
 import random
 import time
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspan.operators import metric, vectors
+from quillspan.plans import registry
 
 
 def test_nearest_in_blocks_of_queries(spark):
@@ -96,6 +99,63 @@ def test_blocks_of_matrices_where_cells_rule_nothing_out(spark, monkeypatch):
         assert {q: [v for _, v in sorted(f)] for q, f in found.items()} == {q: v for q, v in want.items() if v}
 
 
+@pytest.mark.parametrize(("k", "least", "n_pivots", "block"), [(3, -1.0, None, 2048), (3, -1.0, None, 40), (7, 0.2, None, 40), (400, -1.0, None, 40), (4, -1.0, 5, 40)])
+def test_all_vectors_ask(spark, monkeypatch, k, least, n_pivots, block):
+    """Copies, opposite vectors and zeros among them: ids settle equal similarities, in blocks that meet once and in cells."""
+    rng = np.random.default_rng(k)
+    x = np.concatenate([rng.normal(size=(120, 7)), np.tile(rng.normal(size=7), (40, 1)), np.zeros((3, 7))])
+    x = np.concatenate([x, -x[:9]])[rng.permutation(172)]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(5)
+    monkeypatch.setattr(metric, "BLOCK", block)
+    monkeypatch.setattr(metric, "PACK", 8)
+    monkeypatch.setattr(metric, "TILE", (16, 32))
+    s = _cosines(x)
+    got: dict = {}
+    for r in metric.nearest(None, d, k, least, block, n_pivots).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.similarity, 9)))
+    want = {}
+    for i in range(len(x)):
+        near = sorted((-round(s[i, j], 9) + 0.0, j) for j in range(len(x)) if j != i and s[i, j] >= least - 1e-12)[:k]
+        if near:
+            want[i] = [(p, j, -c + 0.0) for p, (c, j) in enumerate(near, 1)]
+    assert {i: sorted(v) for i, v in got.items()} == want
+    assert metric.nearest(None, d.limit(0), k, least, block).count() == 0
+
+
+def test_many_copies_of_a_vector_are_few_candidates():
+    """A block of copies does not hold all pairs of them, and each copy finds the smallest ids but its own."""
+    v = np.concatenate([np.tile(np.arange(1.0, 9.0), (20_000, 1)), np.eye(8)])
+    side = metric._Side(np.arange(len(v))[::-1].copy(), v, 3, -1.0)
+    assert len(side.v) == 4 + 8
+    got = pd.concat(metric._own_near(3, -1.0)(np.arange(len(v)), v, None, None, True))
+    found = got.groupby("query_id")["vec_id"].agg(list)
+    assert len(found) == len(v) and found[0] == [1, 2, 3] and found[1] == [0, 2, 3] and found[19_999] == [0, 1, 2]
+
+
+def test_copies_are_equally_similar_wherever_they_lie():
+    """Products of matrices differ in the last bit from column to column."""
+    rng = np.random.default_rng(0)
+    for m in (16, 64, 65):
+        for nq, nv in ((1, 3), (5, 13), (17, 257)):
+            q, v = rng.normal(size=(nq, m)), np.tile(rng.normal(size=m), (nv, 1))
+            x, y = pd.DataFrame({"vec_id": -1 - np.arange(nq), "v": q.tolist()}), pd.DataFrame({"vec_id": np.arange(nv), "v": v.tolist()})
+            assert all(list(g) == [0, 1, 2] for _, g in metric._near(3, -1.0)(x, y).groupby("query_id")["vec_id"])
+
+
+def test_recall_counts_every_vector(spark, tmp_path):
+    """One vector in twenty has a neighbour of its label, as a reader of every twentieth would not see."""
+    rows = []
+    for i in range(0, 120, 2):
+        a = [float(np.cos(i)), float(np.sin(i)), float(i)]
+        rows += [(i, a, 1), (i + 1, [a[0], a[1], a[2] + 0.001], 1 if i % 20 == 0 else 2 + i)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in registry.QUERIES["recall_at_k"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as c:
+        c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert got == c.execute(registry.ORACLE_SQL["recall_at_k"]).fetchall()
+    assert got[0][0] == 120 and got[0][1] < 1
+
+
 def _plain_lcs(x, y):
     row = [0] * (len(y) + 1)
     for a in x:
